@@ -35,6 +35,25 @@ def smoothed(counts: DataFrame, totals: Sequence[int], eta: float, vocab_size: i
     return counts.select("*", factor(0).alias("free"), factor(1).alias("own")).drop("n")
 
 
+def unroll(rows: DataFrame, k: int, *names: str) -> DataFrame:
+    """Few topics: one column per entry of the named arrays, never NULL, so that
+    the weights compile to plain arithmetic. Many topics: unchanged."""
+    if k > UNROLLED:
+        return rows
+    others = [column for column in rows.columns if column not in names]
+    slots = [
+        F.coalesce(F.col(name)[topic], F.lit(0)).alias(f"_{name}{topic}")
+        for name in names
+        for topic in range(k)
+    ]
+    return rows.select(*others, *slots)
+
+
+def entry(name: str, topic: Column | int) -> Column:
+    """Entry of an array that ``unroll`` may have turned into columns."""
+    return F.col(f"_{name}{topic}") if isinstance(topic, int) else F.get(name, topic)
+
+
 def collapsed_weight(alpha: float) -> Weight:
     """Weight without the token itself; needs topic, free, own and nd.
 
@@ -43,12 +62,10 @@ def collapsed_weight(alpha: float) -> Weight:
     """
 
     def weight(topic: Column | int) -> Column:
-        index = F.lit(topic) if isinstance(topic, int) else topic
-        here = F.col("topic") == index
-        nd = F.get("nd", index)
-        return F.when(here, F.get("own", index) * (nd - 1 + F.lit(alpha))).otherwise(
-            F.get("free", index) * (nd + F.lit(alpha))
-        )
+        nd = entry("nd", topic)
+        return F.when(
+            F.col("topic") == topic, entry("own", topic) * (nd - 1 + F.lit(alpha))
+        ).otherwise(entry("free", topic) * (nd + F.lit(alpha)))
 
     return weight
 
@@ -58,10 +75,9 @@ def edge_weight(alpha: float, eta: float, vocab_size: int) -> Weight:
     mass = F.lit(vocab_size * eta)
 
     def weight(topic: Column | int) -> Column:
-        index = F.lit(topic) if isinstance(topic, int) else topic
-        word = F.get("n", index) - 1 + F.lit(eta)
-        doc = F.get("nd", index) - 1 + F.lit(alpha)
-        return word * doc / (F.get("nk", index) - 1 + mass)
+        word = entry("n", topic) - 1 + F.lit(eta)
+        doc = entry("nd", topic) - 1 + F.lit(alpha)
+        return word * doc / (entry("nk", topic) - 1 + mass)
 
     return weight
 
@@ -70,8 +86,7 @@ def cell_weight(alpha: float) -> Weight:
     """Weight of a (document, term) cell: nothing is taken out; needs free and nd."""
 
     def weight(topic: Column | int) -> Column:
-        index = F.lit(topic) if isinstance(topic, int) else topic
-        return F.get("free", index) * (F.get("nd", index) + F.lit(alpha))
+        return entry("free", topic) * (entry("nd", topic) + F.lit(alpha))
 
     return weight
 
@@ -145,13 +160,9 @@ def join_counts(
     """
     k = len(totals)
     vectors = docs.withColumnRenamed("n", "nd")
-    near = state.join(vectors, list(doc_keys))
-    terms = smoothed(
-        words.withColumn("_tokens", vector_sum("n")),
-        totals,
-        eta,
-        vocab_size,
-    )
+    near = state.join(unroll(vectors, k, "nd"), list(doc_keys))
+    counted = words.withColumn("_tokens", vector_sum("n"))
+    terms = unroll(smoothed(counted, totals, eta, vocab_size), k, "free", "own")
     return lookup(
         near,
         terms,
@@ -215,7 +226,7 @@ def edge_sweep(
         F.col("n").alias("nd"),
         F.lit(list(totals)).cast("array<bigint>").alias("nk"),
     )
-    near = cells.join(vectors, list(doc_keys))
+    near = unroll(cells, k, "n").join(unroll(vectors, k, "nd", "nk"), list(doc_keys))
     if largest <= BLOCK:
         return _redraw(one_block(near), alpha, eta, vocab_size, seed, iteration, keys, k)
     small = one_block(near.filter(F.col("cnt") <= BLOCK))

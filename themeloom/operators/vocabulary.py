@@ -28,20 +28,17 @@ def tokenize(docs: DataFrame, **options) -> DataFrame:
 def term_counts(words: DataFrame) -> DataFrame:
     """(term, n_tokens, n_docs) over arrays of words, one array per document.
 
-    Repeats are removed inside each document's array, so only the term is
-    shuffled, after partial aggregation, and no (document, term) pairs are.
+    Each array is followed by its distinct words: the first part counts tokens,
+    the second documents. Only terms are shuffled, after partial aggregation,
+    and no (document, term) pairs.
     """
-    marked = F.concat(
-        F.transform("words", lambda word: F.struct(word.alias("term"), F.lit(False).alias("doc"))),
-        F.transform(
-            F.array_distinct("words"),
-            lambda word: F.struct(word.alias("term"), F.lit(True).alias("doc")),
-        ),
+    doubled = words.select(
+        F.size("words").alias("_size"),
+        F.posexplode(F.concat("words", F.array_distinct("words"))).alias("_at", "term"),
     )
-    return (
-        words.select(F.inline(marked))
-        .groupBy("term")
-        .agg(F.count_if(~F.col("doc")).alias("n_tokens"), F.count_if(F.col("doc")).alias("n_docs"))
+    first_half = F.col("_at") < F.col("_size")
+    return doubled.groupBy("term").agg(
+        F.count_if(first_half).alias("n_tokens"), F.count_if(~first_half).alias("n_docs")
     )
 
 

@@ -46,17 +46,26 @@ def prepare_corpus(
     **tokenizer,
 ) -> Corpus:
     """Free text (doc_id, text): words between white space, most frequent terms."""
-    words = document_words(docs, **tokenizer)
+    words = document_words(spread_documents(docs), **tokenizer)
     vocab = fit_vocabulary(words, scratch, vocab_size, min_df)
     return _encode(docs, words, vocab, scratch)
 
 
 def prepare_lines(docs: DataFrame, scratch: Scratch) -> Corpus:
     """One token per line (doc_id, text): every distinct term is in the vocabulary."""
-    words = line_words(docs)
+    words = line_words(spread_documents(docs))
     return _encode(docs, words, distinct_vocabulary(words, scratch), scratch)
 
 
+def spread_documents(docs: DataFrame) -> DataFrame:
+    """Deal documents out when they come from fewer files than there are cores.
+
+    A file with one row group is read by one task. Many files need no shuffle.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition("doc_id") if 0 < len(docs.inputFiles()) < cores else docs
+
+
 def _encode(docs: DataFrame, words: DataFrame, vocab: DataFrame, scratch: Scratch) -> Corpus:
     vocab = scratch.keep(vocab, "vocabulary")
     size = vocabulary_bytes(vocab)

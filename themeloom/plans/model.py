@@ -79,6 +79,16 @@ class LdaModel:
             "cnt", counts.vector_sum("n")
         )
 
+    def edge_rows(self) -> DataFrame:
+        """Cells with the counts the edge weight needs: n, nd and nk."""
+        vectors = self.docs.select(
+            "doc_id",
+            F.col("n").alias("nd"),
+            F.lit(self.totals).cast("array<bigint>").alias("nk"),
+        )
+        near = self.cells.join(meet(vectors, self.layout), "doc_id")
+        return sampling.unroll(near, self.k, "n", "nd", "nk")
+
     def word_topic_counts(self, grain: str = "term") -> DataFrame:
         keys = counts.grain_keys(grain)
         vectors = self.words if grain == "term" else self.cells
@@ -120,11 +130,9 @@ class LdaModel:
 
     def topic_assignments(self) -> DataFrame:
         """Most likely topic of each (document, term): (doc_id, term_id, topic)."""
-        vectors = self.docs.withColumnRenamed("n", "nd")
         if self.mode == "edge":
             weight = sampling.edge_weight(self.alpha, self.eta, self.vocab_size)
-            nk = F.lit(self.totals).cast("array<bigint>")
-            cells = self.cells.join(meet(vectors, self.layout), "doc_id").withColumn("nk", nk)
+            cells = self.edge_rows()
         else:
             weight = sampling.cell_weight(self.alpha)
             cells = sampling.join_counts(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +49,20 @@ def line_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def explode_words(words: DataFrame) -> DataFrame:
-    """Long form of an array of words: (doc_id, pos, term)."""
-    return words.select("doc_id", F.posexplode("words").alias("pos", "term"))
+    """Long form of an array of words: (doc_id, pos, term).
+
+    The outer form keeps the optimizer from testing the array's size in front
+    of the explode, which would split every text again.
+    """
+    rows = words.select("doc_id", F.posexplode_outer("words").alias("pos", "term"))
+    return rows.filter(F.col("term").isNotNull())
 
 
-def assign_doc_ids(docs: DataFrame, order: str | Column, scratch: Scratch) -> DataFrame:
+def assign_doc_ids(
+    docs: DataFrame, order: Sequence[str | Column], scratch: Scratch
+) -> DataFrame:
     """Adds a dense 0-based ``doc_id`` in the given order, for sources without a key."""
-    return dense_index(docs, [order], "doc_id", scratch, "documents")
+    return dense_index(docs, order, "doc_id", scratch, "documents")
 
 
 def bag_from_counts(
