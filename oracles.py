@@ -70,11 +70,15 @@ def with_uniform(source: str, iteration: int, seed: int = SEED) -> str:
     for tag, name in enumerate(("doc_id", "term_id", "pos")):
         columns += hash_columns(name, before, f"_{tag}")
         before = columns[-1][0]
-    listed = ", ".join(f"{expression} AS {name}" for name, expression in columns)
+    # One level per step: an alias used twice in its own SELECT would be
+    # expanded twice, and so on through all the steps.
+    nested = source
+    for name, expression in columns:
+        nested = f"(SELECT *, {expression} AS {name} FROM {nested})"
     hidden = ", ".join(name for name, _ in columns)
     return (
         f"SELECT * EXCLUDE ({hidden}), ({before}::UBIGINT >> 11)::DOUBLE / 9007199254740992::DOUBLE AS u"
-        f" FROM (SELECT *, {listed} FROM {source})"
+        f" FROM {nested}"
     )
 
 
