@@ -50,7 +50,7 @@ def topic_vector(state: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
         counts = [F.count_if(F.col("topic") == topic) for topic in range(k)]
         return state.groupBy(*keys).agg(F.array(*counts).alias("n"))
     # Pre-aggregated to (keys, topic), then one array slot per topic.
-    wide = state.groupBy(*keys).pivot("topic", list(range(k))).agg(F.count("*"))
+    wide = state.groupBy(*keys).pivot("topic", list(range(k))).agg(F.count(F.lit(1)))
     slots = [F.coalesce(F.col(f"`{topic}`"), F.lit(0)).cast("bigint") for topic in range(k)]
     return wide.select(*keys, F.array(*slots).alias("n"))
 

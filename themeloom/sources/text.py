@@ -18,10 +18,42 @@ def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Spark packs many small files into one partition up to
     ``spark.sql.files.maxPartitionBytes``.
     """
+    return whole_files(spark, paths).select("path", trim_control(F.col("text")).alias("text"))
+
+
+def whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row per file, untouched: (path, text).
+
+    The text source passes over empty files; their names are added from the
+    directory listing, as an empty file is a document too.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
     files = spark.read.text(paths, wholetext=True)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"), trim_control(F.col("value")).alias("text")
-    )
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    empty = [(name, "") for name in _empty_files(spark, paths)]
+    if not empty:
+        return rows
+    return rows.unionAll(spark.createDataFrame(empty, "path STRING, text STRING"))
+
+
+def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Names of empty files, from the same directory listing Spark makes."""
+    context = spark.sparkContext
+    listed = []
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        for status in system.globStatus(path) or []:
+            listed.extend(
+                system.listStatus(status.getPath()) if status.isDirectory() else [status]
+            )
+    return [
+        status.getPath().toUri().toString()
+        for status in listed
+        if status.getLen() == 0
+        and status.isFile()
+        and not status.getPath().getName().startswith((".", "_"))
+    ]
 
 
 def corpus_from_table(table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,12 +64,6 @@ def corpus_from_table(table: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
-def read_token_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files with one token per line, untouched: (path, text)."""
-    files = spark.read.text(paths, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-
-
 def read_token_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One token per line, order kept: (doc_id, pos, term)."""
     return explode_words(line_words(docs, doc_id, text))
