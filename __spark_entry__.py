@@ -133,7 +133,7 @@ def topic_weights_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = edge_trained(spark, sf_dir, iterations=0)
     weights = sampling.topic_weights(
         model.edge_rows(),
-        sampling.edge_weight(EDGE_ALPHA, EDGE_BETA, model.vocab_size),
+        sampling.edge_weight(EDGE_BETA),
         K,
         ["doc_id", "term_id"],
     )

@@ -65,9 +65,9 @@ def hash_columns(value: str, seed: str, tag: str) -> list[tuple[str, str]]:
 def with_uniform(source: str, iteration: int, seed: int = SEED) -> str:
     """SELECT of all columns of ``source`` and the uniform number u of each token."""
     key = hash_step(iteration, hash_step(seed, START))
-    before = number(hash_step(key, START))
-    columns: list[tuple[str, str]] = []
-    for tag, name in enumerate(("doc_id", "term_id", "pos")):
+    columns = hash_columns("doc_id", number(hash_step(key, START)), "_doc")
+    before = number(START)
+    for tag, name in (("key", columns[-1][0]), ("term", "term_id"), ("pos", "pos")):
         columns += hash_columns(name, before, f"_{tag}")
         before = columns[-1][0]
     # One level per step: an alias used twice in its own SELECT would be
@@ -140,8 +140,8 @@ def collapsed_terms(k: int) -> str:
 
 def edge_terms(k: int) -> str:
     return (
-        f"(n{k} - 1 + {EDGE_BETA}::DOUBLE) * (d{k} - 1 + {EDGE_ALPHA}::DOUBLE)"
-        f" / (s{k} - 1 + vocab_size * {EDGE_BETA}::DOUBLE)"
+        f"(n{k} - 1 + {EDGE_BETA}::DOUBLE) * ((d{k} - 1 + {EDGE_ALPHA}::DOUBLE)"
+        f" / (s{k} - 1 + vocab_size * {EDGE_BETA}::DOUBLE))"
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import oracles
 from conftest import docs_frame
 from themeloom import LDA, prepare_corpus
-from themeloom.functions.uniform import draw_key, uniform
+from themeloom.functions.uniform import document_key, uniform
 from themeloom.operators import counts, sampling, state
 from themeloom.plans import joins, training
 from themeloom.plans.scratch import Scratch
@@ -40,8 +40,9 @@ def two_edge_sweeps(corpus):
 
 def python_uniform(seed, iteration, doc, term, pos):
     key = oracles.hash_step(iteration, oracles.hash_step(seed, oracles.START))
+    key = oracles.hash_step(doc, oracles.hash_step(key, oracles.START))
     h = oracles.START
-    for value in (key, doc, term, pos):
+    for value in (key, term, pos):
         h = oracles.hash_step(value, h)
     return (h >> 11) / float(1 << 53)
 
@@ -95,8 +96,7 @@ def python_edge(bag, k, iterations, alpha, eta, vocab_size, seed):
             (d, t, i): python_draw(
                 [
                     (cell[d, t, j] - 1 + eta)
-                    * (nd[d, j] - 1 + alpha)
-                    / (nk[j] - 1 + vocab_size * eta)
+                    * ((nd[d, j] - 1 + alpha) / (nk[j] - 1 + vocab_size * eta))
                     for j in range(k)
                 ],
                 python_uniform(seed, sweep, d, t, i),
@@ -112,7 +112,7 @@ def python_edge(bag, k, iterations, alpha, eta, vocab_size, seed):
 def test_uniform_is_the_public_hash(spark):
     rows = [(d, t, p) for d in (0, 5, 1 << 40) for t in (0, 9) for p in (0, 1, 1 << 33)]
     frame = spark.createDataFrame(rows, "d BIGINT, t INT, p BIGINT")
-    u = uniform(draw_key(42, 3), F.col("d"), F.col("t"), F.col("p"))
+    u = uniform(document_key(42, 3, F.col("d")), F.col("t"), F.col("p"))
     for r in frame.select("d", "t", "p", u.alias("u")).collect():
         assert r.u == python_uniform(42, 3, r.d, r.t, r.p)
         assert 0 <= r.u < 1

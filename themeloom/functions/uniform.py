@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def draw_key(seed: int, iteration: int) -> Column:
-    """One BIGINT that stands for a seed and an iteration (0 = initial state)."""
-    return F.xxhash64(F.lit(seed).cast("bigint"), F.lit(iteration).cast("bigint"))
+def document_key(seed: int, iteration: int, doc_id: Column) -> Column:
+    """One BIGINT for a document in an iteration (0 = initial state)."""
+    return F.xxhash64(
+        F.xxhash64(F.lit(seed).cast("bigint"), F.lit(iteration).cast("bigint")),
+        doc_id.cast("bigint"),
+    )
 
 
-def uniform(key: Column, doc_id: Column, term_id: Column, pos: Column) -> Column:
-    """Uniform double in [0, 1) with 53 random bits for one token of one iteration.
+def uniform(key: Column, term_id: Column, pos: Column) -> Column:
+    """Uniform double in [0, 1) with 53 random bits for one token of a document.
 
     The same token gets the same number after a retry, a repartitioning or a
     restart, which keeps recomputed partitions consistent with the others.
     """
-    bits = F.xxhash64(key, doc_id.cast("bigint"), term_id.cast("bigint"), pos.cast("bigint"))
+    bits = F.xxhash64(key, term_id.cast("bigint"), pos.cast("bigint"))
     return F.shiftrightunsigned(bits, 11) / F.lit(float(1 << 53))

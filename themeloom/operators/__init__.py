@@ -1,0 +1 @@
+"""One module per group of operators; each takes and returns DataFrames."""

@@ -47,8 +47,8 @@ def topic_vector(state: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     holds a large part of the tokens costs one row per task.
     """
     if k <= UNROLLED:
-        counts = [F.count_if(F.col("topic") == topic) for topic in range(k)]
-        return state.groupBy(*keys).agg(F.array(*counts).alias("n"))
+        counts = ", ".join(f"count_if(topic = {topic})" for topic in range(k))
+        return state.groupBy(*keys).agg(F.expr(f"array({counts})").alias("n"))
     # Pre-aggregated to (keys, topic), then one array slot per topic.
     wide = state.groupBy(*keys).pivot("topic", list(range(k))).agg(F.count(F.lit(1)))
     slots = [F.coalesce(F.col(f"`{topic}`"), F.lit(0)).cast("bigint") for topic in range(k)]
@@ -57,8 +57,8 @@ def topic_vector(state: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 
 def add_vectors(vectors: DataFrame, keys: Sequence[str], k: int, *more: Column) -> DataFrame:
     """Sums of the arrays ``n`` per key."""
-    sums = [F.coalesce(F.sum(F.col("n")[topic]), F.lit(0)) for topic in range(k)]
-    return vectors.groupBy(*keys).agg(F.array(*sums).alias("n"), *more)
+    sums = ", ".join(f"coalesce(sum(get(n, {topic})), 0)" for topic in range(k))
+    return vectors.groupBy(*keys).agg(F.expr(f"array({sums})").alias("n"), *more)
 
 
 def spread(vectors: DataFrame, name: str = "n") -> DataFrame:

@@ -7,13 +7,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.uniform import draw_key, uniform
+from themeloom.functions.uniform import document_key, uniform
 from themeloom.operators.counts import UNROLLED, topic_vector, vector_sum
 from themeloom.operators.state import BLOCK, cut_blocks
 from themeloom.plans.joins import lookup
 
-# Weight of one topic; the index is a literal or a column.
-Weight = Callable[[Column | int], Column]
+# Weight of one topic as SQL; the topic is a number or the name of a variable.
+Weight = Callable[[int | str], str]
+
+
+def double(value: float) -> str:
+    """Exact DOUBLE literal."""
+    return f"{float(value)!r}D"
 
 
 def smoothed(counts: DataFrame, totals: Sequence[int], eta: float, vocab_size: int) -> DataFrame:
@@ -40,18 +45,18 @@ def unroll(rows: DataFrame, k: int, *names: str) -> DataFrame:
     the weights compile to plain arithmetic. Many topics: unchanged."""
     if k > UNROLLED:
         return rows
-    others = [column for column in rows.columns if column not in names]
+    others = [f"`{column}`" for column in rows.columns if column not in names]
     slots = [
-        F.coalesce(F.col(name)[topic], F.lit(0)).alias(f"_{name}{topic}")
+        f"coalesce(get({name}, {topic}), 0) AS _{name}{topic}"
         for name in names
         for topic in range(k)
     ]
-    return rows.select(*others, *slots)
+    return rows.selectExpr(*others, *slots)
 
 
-def entry(name: str, topic: Column | int) -> Column:
+def entry(name: str, topic: int | str) -> str:
     """Entry of an array that ``unroll`` may have turned into columns."""
-    return F.col(f"_{name}{topic}") if isinstance(topic, int) else F.get(name, topic)
+    return f"_{name}{topic}" if isinstance(topic, int) else f"get({name}, {topic})"
 
 
 def collapsed_weight(alpha: float) -> Weight:
@@ -61,41 +66,45 @@ def collapsed_weight(alpha: float) -> Weight:
     token's topic and 0 elsewhere.
     """
 
-    def weight(topic: Column | int) -> Column:
-        nd = entry("nd", topic)
-        return F.when(
-            F.col("topic") == topic, entry("own", topic) * (nd - 1 + F.lit(alpha))
-        ).otherwise(entry("free", topic) * (nd + F.lit(alpha)))
+    def weight(topic: int | str) -> str:
+        own, free, nd = entry("own", topic), entry("free", topic), entry("nd", topic)
+        return (
+            f"CASE WHEN topic = {topic} THEN {own} * ({nd} - 1 + {double(alpha)})"
+            f" ELSE {free} * ({nd} + {double(alpha)}) END"
+        )
 
     return weight
 
 
-def edge_weight(alpha: float, eta: float, vocab_size: int) -> Weight:
-    """(N_wk - 1 + eta)(N_dk - 1 + alpha) / (N_k - 1 + V eta); needs n, nd and nk."""
-    mass = F.lit(vocab_size * eta)
+def edge_weight(eta: float) -> Weight:
+    """(N_wk - 1 + eta) times the document's factor; needs n and factor."""
+    return lambda topic: f"({entry('n', topic)} - 1 + {double(eta)}) * {entry('factor', topic)}"
 
-    def weight(topic: Column | int) -> Column:
-        word = entry("n", topic) - 1 + F.lit(eta)
-        doc = entry("nd", topic) - 1 + F.lit(alpha)
-        return word * doc / (entry("nk", topic) - 1 + mass)
 
-    return weight
+def edge_factors(
+    docs: DataFrame, totals: Sequence[int], alpha: float, eta: float, vocab_size: int
+) -> DataFrame:
+    """Document factors of the edge weight from ``n`` ARRAY<BIGINT>:
+    ``factor`` holds (N_dk - 1 + alpha) / (N_k - 1 + V eta)."""
+    total = F.lit(list(totals)).cast("array<bigint>")
+    mass = F.lit(vocab_size * eta)
+    factors = F.transform(
+        "n",
+        lambda n, topic: (n - 1 + F.lit(alpha)) / (F.get(total, topic) - 1 + mass),
+    )
+    return docs.select("*", factors.alias("factor")).drop("n")
 
 
 def cell_weight(alpha: float) -> Weight:
     """Weight of a (document, term) cell: nothing is taken out; needs free and nd."""
-
-    def weight(topic: Column | int) -> Column:
-        return entry("free", topic) * (entry("nd", topic) + F.lit(alpha))
-
-    return weight
+    return lambda topic: f"{entry('free', topic)} * ({entry('nd', topic)} + {double(alpha)})"
 
 
 def weight_array(weight: Weight, k: int) -> Column:
     """All k weights of a row as an array."""
     if k <= UNROLLED:
-        return F.array(*[weight(topic) for topic in range(k)])
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), weight)
+        return F.expr(f"array({', '.join(weight(topic) for topic in range(k))})")
+    return F.expr(f"transform(sequence(0, {k - 1}), k -> {weight('k')})")
 
 
 def draw(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str], u: Column) -> DataFrame:
@@ -105,13 +114,14 @@ def draw(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str], u: Column
     Sums run from left to right. Few topics: one column per topic, compiled as
     straight code. Many topics: two folds over the array of weights.
     """
+    rows = rows.withColumn("_u", u)
     if k <= UNROLLED:
-        rows = thresholds(rows, weight, k, [*keep])
-        marked = rows.withColumn("_mark", u * F.col(f"_c{k - 1}"))
+        limits = thresholds(rows, weight, k, [*keep, "_u"])
+        marked = limits.withColumn("_mark", F.col("_u") * F.col(f"_c{k - 1}"))
         return marked.select(*keep, first_above(k).alias("topic"))
-    weighted = rows.select(*keep, weight_array(weight, k).alias("_w"))
+    weighted = rows.select(*keep, "_u", weight_array(weight, k).alias("_w"))
     total = F.aggregate("_w", F.lit(0.0), lambda so_far, w: so_far + w)
-    marked = weighted.withColumn("_mark", u * total)
+    marked = weighted.withColumn("_mark", F.col("_u") * total)
     passed = F.aggregate(
         "_w",
         F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("passed")),
@@ -127,19 +137,16 @@ def draw(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str], u: Column
 
 def thresholds(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str]) -> DataFrame:
     """Running sums ``_c0`` .. of the weights, as columns next to ``keep``."""
-    weighted = rows.select(*keep, *[weight(topic).alias(f"_w{topic}") for topic in range(k)])
-    running = [F.col("_w0")]
-    for topic in range(1, k):
-        running.append(running[-1] + F.col(f"_w{topic}"))
-    return weighted.select(*keep, *[c.alias(f"_c{topic}") for topic, c in enumerate(running)])
+    sums = [" + ".join(f"_w{topic}" for topic in range(last + 1)) for last in range(k)]
+    return rows.selectExpr(
+        *keep, *[f"{weight(topic)} AS _w{topic}" for topic in range(k)]
+    ).selectExpr(*keep, *[f"{total} AS _c{topic}" for topic, total in enumerate(sums)])
 
 
 def first_above(k: int) -> Column:
     """Index of the first threshold above ``_mark``; the last topic if there is none."""
-    chosen = F.lit(k - 1)
-    for topic in reversed(range(k - 1)):
-        chosen = F.when(F.col(f"_c{topic}") > F.col("_mark"), topic).otherwise(chosen)
-    return chosen
+    cases = " ".join(f"WHEN _c{topic} > _mark THEN {topic}" for topic in range(k - 1))
+    return F.expr(f"CASE {cases} ELSE {k - 1} END" if cases else "0")
 
 
 def join_counts(
@@ -190,10 +197,13 @@ def gibbs_sweep(
     minus the token itself. Keeps the columns of ``state``; the old topic is
     in ``_was``."""
     keep = [column for column in state.columns if column != "topic"]
+    # The key sits with the documents: hashed once for each, and no number that
+    # changes from sweep to sweep gets into the code compiled for the tokens.
+    keyed = docs.withColumn("_key", document_key(seed, iteration, F.col("doc_id")))
     rows = join_counts(
-        state, words, docs, totals, eta=eta, vocab_size=vocab_size, doc_keys=doc_keys
+        state, words, keyed, totals, eta=eta, vocab_size=vocab_size, doc_keys=doc_keys
     ).withColumn("_was", F.col("topic"))
-    u = uniform(draw_key(seed, iteration), F.col("doc_id"), F.col("term_id"), F.col("pos"))
+    u = uniform(F.col("_key"), F.col("term_id"), F.col("pos"))
     return draw(rows, collapsed_weight(alpha), len(totals), [*keep, "_was"], u)
 
 
@@ -221,19 +231,14 @@ def edge_sweep(
         raise ValueError("edge sampling needs alpha > 1 and eta > 1")
     k = len(totals)
     keys = [*doc_keys, "term_id"]
-    vectors = docs.select(
-        *doc_keys,
-        F.col("n").alias("nd"),
-        F.lit(list(totals)).cast("array<bigint>").alias("nk"),
-    )
-    near = unroll(cells, k, "n").join(unroll(vectors, k, "nd", "nk"), list(doc_keys))
+    keyed = docs.withColumn("_key", document_key(seed, iteration, F.col("doc_id")))
+    factors = unroll(edge_factors(keyed, totals, alpha, eta, vocab_size), k, "factor")
+    near = unroll(cells, k, "n").join(factors, list(doc_keys))
     if largest <= BLOCK:
-        return _redraw(one_block(near), alpha, eta, vocab_size, seed, iteration, keys, k)
+        return _redraw(one_block(near), eta, keys, k)
     small = one_block(near.filter(F.col("cnt") <= BLOCK))
     huge = cut_blocks(near.filter(F.col("cnt") > BLOCK))
-    return _redraw(small, alpha, eta, vocab_size, seed, iteration, keys, k).unionByName(
-        _redraw(huge, alpha, eta, vocab_size, seed, iteration, keys, k)
-    )
+    return _redraw(small, eta, keys, k).unionByName(_redraw(huge, eta, keys, k))
 
 
 def one_block(cells: DataFrame) -> DataFrame:
@@ -242,21 +247,13 @@ def one_block(cells: DataFrame) -> DataFrame:
     )
 
 
-def _redraw(
-    cells: DataFrame,
-    alpha: float,
-    eta: float,
-    vocab_size: int,
-    seed: int,
-    iteration: int,
-    keys: Sequence[str],
-    k: int,
-) -> DataFrame:
-    weight = edge_weight(alpha, eta, vocab_size)
-    u = uniform(draw_key(seed, iteration), F.col("doc_id"), F.col("term_id"), F.col("pos"))
+def _redraw(cells: DataFrame, eta: float, keys: Sequence[str], k: int) -> DataFrame:
+    """Draws the copies ``_first`` .. ``_last`` of each cell and counts them again."""
+    weight = edge_weight(eta)
+    u = uniform(F.col("_key"), F.col("term_id"), F.col("pos"))
     copies = F.explode(F.sequence("_first", "_last")).alias("pos")
     if k <= UNROLLED:
-        limits = thresholds(cells, weight, k, [*keys, "_first", "_last"])
+        limits = thresholds(cells, weight, k, [*keys, "_key", "_first", "_last"])
         rows = limits.select("*", copies).withColumn("_mark", u * F.col(f"_c{k - 1}"))
         drawn = rows.select(*keys, first_above(k).alias("topic"))
     else:

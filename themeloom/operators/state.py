@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.uniform import draw_key, uniform
+from themeloom.functions.uniform import document_key, uniform
 from themeloom.operators.counts import topic_vector, vector_sum
 
 # Copies of a cell are generated in blocks of this many.
@@ -66,5 +66,5 @@ def init_cells(bag: DataFrame, k: int, seed: int, largest: int) -> DataFrame:
 
 def init_assignments(tokens: DataFrame, k: int, seed: int) -> DataFrame:
     """Uniform random topic for each token: (doc_id, pos, term_id, topic)."""
-    u = uniform(draw_key(seed, 0), F.col("doc_id"), F.col("term_id"), F.col("pos"))
+    u = uniform(document_key(seed, 0, F.col("doc_id")), F.col("term_id"), F.col("pos"))
     return tokens.withColumn("topic", F.floor(u * F.lit(float(k))).cast("int"))

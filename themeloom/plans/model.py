@@ -80,14 +80,12 @@ class LdaModel:
         )
 
     def edge_rows(self) -> DataFrame:
-        """Cells with the counts the edge weight needs: n, nd and nk."""
-        vectors = self.docs.select(
-            "doc_id",
-            F.col("n").alias("nd"),
-            F.lit(self.totals).cast("array<bigint>").alias("nk"),
+        """Cells with what the edge weight needs: n and factor."""
+        factors = sampling.edge_factors(
+            self.docs, self.totals, self.alpha, self.eta, self.vocab_size
         )
-        near = self.cells.join(meet(vectors, self.layout), "doc_id")
-        return sampling.unroll(near, self.k, "n", "nd", "nk")
+        near = self.cells.join(meet(factors, self.layout), "doc_id")
+        return sampling.unroll(near, self.k, "n", "factor")
 
     def word_topic_counts(self, grain: str = "term") -> DataFrame:
         keys = counts.grain_keys(grain)
@@ -131,7 +129,7 @@ class LdaModel:
     def topic_assignments(self) -> DataFrame:
         """Most likely topic of each (document, term): (doc_id, term_id, topic)."""
         if self.mode == "edge":
-            weight = sampling.edge_weight(self.alpha, self.eta, self.vocab_size)
+            weight = sampling.edge_weight(self.eta)
             cells = self.edge_rows()
         else:
             weight = sampling.cell_weight(self.alpha)

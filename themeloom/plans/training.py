@@ -118,7 +118,9 @@ class LDA:
             .sortWithinPartitions("doc_id", "pos")
             .select("doc_id", "chunk", "pos", "term_id", "topic")
         )
-        totals = [F.count_if(F.col("topic") == topic) for topic in range(k)]
+
+        def totals(state: DataFrame) -> DataFrame:
+            return topic_vector(state, [], k)
 
         def step(state: DataFrame, counted: list[int], iteration: int) -> DataFrame:
             swept = gibbs_sweep(
@@ -142,7 +144,9 @@ class LDA:
         k = self.k
         columns = ["doc_id", "chunk", "term_id", "cnt", "n"]
         first = init_cells(placed, k, self.seed, largest)
-        totals = [F.coalesce(F.sum(F.col("n")[topic]), F.lit(0)) for topic in range(k)]
+
+        def totals(cells: DataFrame) -> DataFrame:
+            return add_vectors(cells, [], k)
 
         def back(cells: DataFrame) -> DataFrame:
             """Counts of huge cells come from all over; bring them home."""
@@ -184,7 +188,7 @@ class _Run:
         self,
         first: DataFrame,
         layout: Layout,
-        totals: list[Column],
+        totals: Callable[[DataFrame], DataFrame],
         step: Callable[[DataFrame, list[int], int], DataFrame],
         changed: Column | None,
     ) -> LdaModel:
@@ -237,21 +241,17 @@ class _Run:
         rows: DataFrame,
         name: str,
         layout: Layout,
-        totals: list[Column],
+        totals: Callable[[DataFrame], DataFrame],
         changed: Column | None,
     ) -> tuple[DataFrame, list[int], int | None]:
-        """Write one generation; the job that writes it also counts the topics."""
+        """Write one generation, then read back its topic column for the totals."""
         watch = Observation(name)
-        measures = [c.alias(f"t{topic}") for topic, c in enumerate(totals)]
-        if changed is not None:
-            measures.append(changed.alias("changed"))
-        watched = rows.observe(watch, *measures).drop("_was")
-        table = self.scratch.keep_bucketed(watched, name, layout.buckets, layout.keys)
-        seen = watch.get
-        counted = [int(seen.get(f"t{topic}") or 0) for topic in range(len(totals))]
-        if sum(counted) != layout.tokens:
-            counted = [int(n or 0) for n in table.agg(*totals).first()]
-        return table, counted, seen.get("changed")
+        watched = rows if changed is None else rows.observe(watch, changed.alias("changed"))
+        table = self.scratch.keep_bucketed(
+            watched.drop("_was"), name, layout.buckets, layout.keys
+        )
+        counted = [int(n) for n in totals(table).first()["n"]]
+        return table, counted, None if changed is None else watch.get["changed"]
 
 
 def whole_documents(vectors: DataFrame, layout: Layout, k: int) -> DataFrame:

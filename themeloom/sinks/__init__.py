@@ -1,0 +1 @@
+"""Models as text and Parquet files."""

@@ -1,0 +1 @@
+"""Readers of text and term counts."""

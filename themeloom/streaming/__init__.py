@@ -1,0 +1 @@
+"""Empty: all jobs are batch jobs; nothing here reads a stream."""
