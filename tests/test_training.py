@@ -155,6 +155,8 @@ def test_salted_term_join_changes_nothing(corpus, two_sweeps, monkeypatch):
     model = LDA(k=4, iterations=2, alpha=0.3, beta=0.5, seed=1).fit(corpus.tokens, corpus.vocab)
     assert tokens_of(model) == tokens_of(two_sweeps)
     assert model.table.count() == corpus.tokens.count()
+    # Tokens are back in their buckets: one file for each at most.
+    assert len(model.table.inputFiles()) <= model.layout.buckets
 
 
 def test_huge_cells_change_nothing(corpus, two_edge_sweeps, monkeypatch):

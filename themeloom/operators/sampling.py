@@ -176,10 +176,15 @@ def join_counts(
         "term_id",
         weight="_tokens",
         spread_by=["doc_id", "pos"],
-        table_bytes=vocab_size * (16 * k + 96),
+        table_bytes=term_bytes(vocab_size, k),
     )
 
 
+def term_bytes(vocab_size: int, k: int) -> int:
+    """Memory of the term factors: two doubles per topic, and the row."""
+    return vocab_size * (16 * k + 96)
+
+
 def gibbs_sweep(
     state: DataFrame,
     words: DataFrame,

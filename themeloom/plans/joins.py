@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
+def can_broadcast(table_bytes: int | None) -> bool:
+    return table_bytes is not None and table_bytes <= BROADCAST_LIMIT
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -28,7 +32,7 @@ def lookup(
     than partitions can be that heavy, which bounds the list that is broadcast
     and the rows that are repeated.
     """
-    if table_bytes is not None and table_bytes <= BROADCAST_LIMIT:
+    if can_broadcast(table_bytes):
         return rows.join(F.broadcast(table.drop(weight)), key)
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.operators.counts import add_vectors, doc_lengths, topic_vector
-from themeloom.operators.sampling import edge_sweep, gibbs_sweep
+from themeloom.operators.sampling import edge_sweep, gibbs_sweep, term_bytes
 from themeloom.operators.state import BLOCK, expand_bag, init_assignments, init_cells
 from themeloom.operators.vocabulary import count_vectorize
+from themeloom.plans.joins import can_broadcast
 from themeloom.plans.layout import BUCKET_TOKENS, SPLIT_TOKENS, Layout, meet, place, plan_layout
 from themeloom.plans.model import LdaModel
 from themeloom.plans.scratch import Scratch
@@ -135,7 +136,11 @@ class LDA:
                 iteration=iteration,
                 doc_keys=layout.keys,
             )
-            return swept.select("doc_id", "chunk", "pos", "term_id", "topic", "_was")
+            swept = swept.select("doc_id", "chunk", "pos", "term_id", "topic", "_was")
+            if can_broadcast(term_bytes(run.vocab_size, k)):
+                return swept
+            # The join by term took the tokens away from their buckets.
+            return swept.repartition(layout.buckets, *layout.keys)
 
         changed = F.count_if(F.col("topic") != F.col("_was"))
         return run.train(first, layout, totals, step, changed)
