@@ -14,6 +14,11 @@ from themeloom.operators import counts, graph, sampling, state, vocabulary
 from themeloom.sinks import files, lines
 from themeloom.sources import text
 
+try:
+    from themeloom.llm import registry as llm
+except ImportError:  # the library works without that subpackage
+    llm = None
+
 K, SEED = oracles.K, oracles.SEED
 ALPHA, BETA = oracles.ALPHA, oracles.BETA
 EDGE_ALPHA, EDGE_BETA = oracles.EDGE_ALPHA, oracles.EDGE_BETA
@@ -213,6 +218,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return model_queries() | (llm.queries() if llm else {})
+
+
+def model_queries() -> dict[str, Query]:
     return {
         "read_corpus": documents,
         "read_token_lines": lambda s, d: text.read_token_lines(table(s, d, "documents")),
@@ -307,4 +316,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements()
+    return oracles.statements() | (llm.oracle_sql() if llm else {})

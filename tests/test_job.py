@@ -85,5 +85,5 @@ def test_registered_queries_against_duckdb(spark, name):
 
 
 def test_every_query_but_the_timings_has_an_oracle():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == {"iteration_metrics"}
+    assert set(registered.model_queries()) - set(registered.oracle_sql()) == {"iteration_metrics"}
     assert set(registered.oracle_sql()) <= set(registered.queries())
