@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import chat
+from themeloom.llm import chat, warc
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
@@ -54,3 +54,17 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    path = f"{scratch.root}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), path, scratch)
+    captures = warc.assemble(warc.read_records(spark, path, payloads=False))
+    return captures.select(
+        "metadata.page_id",
+        "response.payload_bytes",
+        "response.payload_digest",
+        F.col("response.type").alias("record_type"),
+        "response.refers_to",
+    )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from themeloom.llm import queries as q
+from themeloom.llm import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,4 +17,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.STATEMENTS
