@@ -33,4 +33,48 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
-STATEMENTS = {"op1_chat_formatting": OP1, "op9_warc": OP9}
+
+
+def license_sql() -> str:
+    from themeloom.llm import licenses as lic
+
+    rows = ", ".join(
+        f"({i}, '{label}', {words})" for i, (label, words) in enumerate(lic.template_words(lic.TEMPLATES))
+    )
+    phrases = " UNION ALL ".join(
+        "SELECT k, i - 1 AS spot, '" + label + "' AS label FROM spots WHERE "
+        + " AND ".join(f"words[i + {j}] = '{word}'" for j, word in enumerate(phrase.split()))
+        for phrase, label in lic.PHRASES
+    )
+    return rf"""
+WITH templates(t, label, words) AS (VALUES {rows}),
+worded AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), '{lic.UPPER}', '{lic.LOWER}'),
+      '{lic.NOT_WORD}'), lambda x: x <> '') AS words
+  FROM documents),
+spots AS (SELECT k, words, unnest(range(1, len(words) + 1)) AS i FROM worded),
+places AS ({phrases}),
+base AS (
+  SELECT k, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word FROM places GROUP BY k),
+blocks AS (
+  SELECT k, list_distinct(words[s + 1 : s + {lic.BLOCK}]) AS block
+  FROM (SELECT k, words, unnest(range(0, greatest(len(words) - {lic.STEP}, 1), {lic.STEP})) AS s FROM worded)),
+matches AS (
+  SELECT k, label, len(list_intersect(templates.words, block)) / len(templates.words)::DOUBLE AS score
+  FROM blocks, templates
+  WHERE len(list_intersect(templates.words, block)) >= ceil({lic.CONTAINMENT} * len(templates.words))),
+named AS (
+  SELECT k, label, 1 AS b FROM places UNION ALL SELECT k, label, 0 FROM matches),
+labelled AS (
+  SELECT k, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (b = 1), '') AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM named GROUP BY k),
+best AS (SELECT k, max(score) AS score FROM matches GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0)::DOUBLE END AS score
+FROM worded LEFT JOIN base USING (k) LEFT JOIN labelled USING (k) LEFT JOIN best USING (k)
+"""
+
+
+STATEMENTS = {"op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
