@@ -77,4 +77,48 @@ FROM worded LEFT JOIN base USING (k) LEFT JOIN labelled USING (k) LEFT JOIN best
 """
 
 
-STATEMENTS = {"op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
+OP7 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM documents),
+worded AS (
+  SELECT doc_id, line_no, list_transform(
+    list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda t: t <> ''),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM lines),
+shaped AS (
+  SELECT doc_id, line_no, tokens, len(list_filter(tokens, lambda t: t <> '<*>')) AS words,
+    len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf, array_to_string(tokens, ' ') AS shape
+  FROM worded),
+counted AS (SELECT * FROM shaped WHERE words >= 4),
+shapes AS (
+  SELECT leaf, shape, any_value(tokens) AS tokens, any_value(words) AS words, count(DISTINCT doc_id) AS n_docs
+  FROM counted GROUP BY leaf, shape),
+several AS (SELECT * FROM shapes WHERE leaf IN (SELECT leaf FROM shapes GROUP BY leaf HAVING count(*) > 1)),
+spots AS (
+  SELECT leaf, shape, words, n_docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
+  FROM several),
+constant AS (
+  SELECT leaf, place, token FROM spots WHERE token <> '<*>'
+  GROUP BY ALL HAVING sum(n_docs) >= 2),
+general AS (
+  SELECT leaf, shape, leaf || ' | ' || string_agg(place || ' ' || token, ' ' ORDER BY place) AS template
+  FROM spots JOIN constant USING (leaf, place, token)
+  GROUP BY leaf, shape, words HAVING count(*) >= 0.75 * words),
+named AS (
+  SELECT doc_id, line_no, coalesce(template, shape) AS template
+  FROM counted LEFT JOIN general USING (leaf, shape)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY template ORDER BY doc_id, line_no) AS r,
+    min(doc_id) OVER (PARTITION BY template) AS lo, max(doc_id) OVER (PARTITION BY template) AS hi
+  FROM named),
+marked AS (
+  SELECT doc_id, line_no, line, coalesce(lo < hi AND r > 1, false) AS gone
+  FROM lines LEFT JOIN ranked USING (doc_id, line_no))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text,
+  count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
+FROM marked GROUP BY doc_id
+"""
+
+STATEMENTS = {"op7_line_dedup": OP7, "op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
