@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import chat, licenses, lines, warc
+from themeloom.llm import chat, language, licenses, lines, warc
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
@@ -77,3 +77,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, Scratch(spark))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out("doc_id"))
+    model = language.fit_languages(docs.filter("NOT held_out"))
+    found = language.predict_languages(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
