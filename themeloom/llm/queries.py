@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import chat, language, licenses, lines, warc
+from themeloom.llm import bpe, chat, language, licenses, lines, warc
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
+# The tokenizer of the two queries that need one.
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,3 +88,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit_languages(docs.filter("NOT held_out"))
     found = language.predict_languages(docs.select("doc_id", "text", "held_out"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
