@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, chat, language, licenses, lines, warc
+from themeloom.llm import bpe, chat, language, licenses, lines, packing, warc
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
@@ -92,3 +92,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), Scratch(spark))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
