@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import ann, bpe, chat, language, licenses, lines, ngram_join, packing, warc
+from themeloom.llm import ann, bpe, chat, language, licenses, lines, ngram_join, packing, vector_dedup, warc
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
@@ -109,3 +109,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), Scratch(spark))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))

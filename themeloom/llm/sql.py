@@ -121,4 +121,18 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT g
 FROM marked GROUP BY doc_id
 """
 
-STATEMENTS = {"op7_line_dedup": OP7, "op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
+OP2 = """
+WITH RECURSIVE pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, root = vec_id AS kept
+FROM embeddings JOIN roots ON roots.x = vec_id LEFT JOIN counts ON counts.x = vec_id
+"""
+
+STATEMENTS = {"op2_embedding_dedup": OP2, "op7_line_dedup": OP7, "op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
