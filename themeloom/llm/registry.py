@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from themeloom.llm import queries as q
 from themeloom.llm import sql
 
@@ -13,7 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: function for name, function in vars(q).items() if name.startswith("op")}
+    operators = {name: function for name, function in vars(q).items() if name.startswith("op")}
+    return operators | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
