@@ -135,4 +135,27 @@ SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, root = vec_id AS
 FROM embeddings JOIN roots ON roots.x = vec_id LEFT JOIN counts ON counts.x = vec_id
 """
 
-STATEMENTS = {"op2_embedding_dedup": OP2, "op7_line_dedup": OP7, "op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
+OP4 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM worded WHERE len(words) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * c >= 80 * (s.n + t.n - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
+SELECT worded.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id
+FROM worded JOIN roots ON roots.x = worded.doc_id LEFT JOIN sizes ON sizes.doc_id = worded.doc_id
+"""
+
+STATEMENTS = {"op4_ngram_join": OP4, "op2_embedding_dedup": OP2, "op7_line_dedup": OP7, "op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
