@@ -307,7 +307,7 @@ def assemble(records: DataFrame) -> DataFrame:
     record_id counts. Records of other types and without any name are left out.
     """
     kinds = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
-    whole = F.struct("record_id", *[c for c in records.columns if c not in ("record_id", "concurrent_to")])
+    whole = F.struct(*records.columns)
     anchored = records.filter(F.col("type").isin([k for group in kinds.values() for k in group])).select(
         F.when(F.col("type").isin(kinds["response"]), F.col("record_id"))
         .otherwise(F.coalesce("concurrent_to", "record_id"))
