@@ -61,11 +61,11 @@ class Bands:
 
 
 def band_starts(largest: int, percent: int) -> np.ndarray:
-    """Similar sets lie in one band or in two next to each other."""
-    starts = [1]
-    while starts[-1] <= largest:
+    """Similar sets lie in one band or in two next to each other; a band reaches
+    from a size to 1.1 times that at least, so that there are few of them."""
+    starts, percent = [1], min(percent, 90)
+    while len(starts) < 3 or starts[-2] <= largest:
         starts.append(max(starts[-1] + 1, -(-100 * starts[-1] // percent)))
-    starts.append(max(starts[-1] + 1, -(-100 * starts[-1] // percent)))
     return np.array(starts, np.int64)
 
 
@@ -182,11 +182,9 @@ def plan_bands(classes: DataFrame, percent: int) -> Bands:
     """Bands and allocations for the sets in ``classes``, from counts over all of them."""
     largest = classes.agg(F.coalesce(F.max("n_shingles"), F.lit(1))).first()[0]
     starts = band_starts(int(largest), percent)
-    place = F.lit(0)
-    for start in starts[1:-1].tolist():
-        place = place + (F.col("n_shingles") >= start).cast("int")
+    begun = F.filter(F.lit(starts[:-1].tolist()), lambda start: start <= F.col("n_shingles"))
     sets, excess = np.zeros(len(starts)), np.zeros(len(starts))
-    banded = classes.select(place.alias("band"), "sample")
+    banded = classes.select((F.size(begun) - 1).alias("band"), "sample")
     for row in banded.groupBy("band").count().toLocalIterator():
         sets[row["band"]] = row["count"]
     common = banded.select("band", F.explode("sample").alias("element")).groupBy("band", "element").count()
