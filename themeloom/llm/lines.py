@@ -25,64 +25,100 @@ SIMILARITY = 0.75
 MIN_TOKENS = 4
 
 FIELD = "<*>"
+# Rows of the bitmap, of 64 bits each, that tells which texts need not be shuffled.
+SIEVE = 1 << 17
 
 
 def masked(line: Column) -> Column:
     """Tokens of a line with single spaces between, those with a digit as FIELD."""
-    single = F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))
-    return F.regexp_replace(single, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    odd = F.rlike(line, F.lit(r"[\t\x0B\f\r]|  |^ | $"))
+    single = F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
+    fields = F.regexp_replace(single, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    return F.when(F.rlike(single, F.lit("[0-9]")), fields).otherwise(single)
 
 
 def occurrences(text: Column, part: str) -> Column:
-    return F.floor((F.char_length(text) - F.char_length(F.replace(text, F.lit(part), F.lit("")))) / len(part))
+    left = F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+    return F.floor((F.octet_length(text) - left) / len(part))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """(doc, line_no, leaf, shape, words): one row per line that can be dropped.
 
-    ``leaf`` is the line's place in the tree, ``shape`` its masked tokens, both
-    as pairs of 64-bit hashes or one; ``words`` counts tokens that are no field.
+    ``leaf`` is a hash of the line's place in the tree, ``shape`` one of its masked
+    tokens; lines are the same if both are. ``words`` counts tokens that are no
+    field.
     """
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    masks = lines.select("doc", "line_no", masked(F.col("line")).alias("mask")).filter("mask <> ''")
-    counted = masks.withColumn("tokens", occurrences(F.col("mask"), " ") + 1)
+    # The masks are made before the rows are, else each use would make them again.
+    masks = docs.select(
+        "doc", F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("line_no", "mask")
+    ).filter("mask <> ''")
+    tokens = occurrences(F.col("mask"), " ") + 1
     spaced = F.concat(F.lit(" "), F.replace("mask", F.lit(" "), F.lit("  ")), F.lit(" "))
-    return counted.select(
+    fields = F.when(F.contains("mask", F.lit(FIELD)), occurrences(spaced, f" {FIELD} ")).otherwise(0)
+    return masks.select(
         "doc",
         "line_no",
-        F.xxhash64("tokens", F.substring_index("mask", " ", DEPTH)).alias("leaf"),
-        F.struct(F.xxhash64("mask").alias("a"), F.xxhash64(F.lit(1), "mask").alias("b")).alias("shape"),
-        (F.col("tokens") - occurrences(spaced, f" {FIELD} ")).alias("words"),
+        F.xxhash64(tokens, F.substring_index("mask", " ", DEPTH)).alias("leaf"),
+        F.xxhash64("mask").alias("shape"),
+        (tokens - fields).cast("int").alias("words"),
     ).filter(F.col("words") >= MIN_TOKENS)
 
 
-def generalise(docs: DataFrame, shapes: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """(shape, template) of the shapes whose tokens are constant often enough.
+def bit_of(name: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({name}), 32), 64) AS INT))")
+
+
+def sieve(keys: DataFrame, name: str) -> DataFrame:
+    """(_word, _bits): a bitmap of the hashes of ``keys``, of at most SIEVE rows."""
+    return keys.select(
+        F.pmod(F.xxhash64(name), F.lit(SIEVE)).alias("_word"), bit_of(name).alias("_bit")
+    ).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def sifted(rows: DataFrame, bitmap: DataFrame, name: str) -> DataFrame:
+    """Adds ``_maybe``: false only for rows whose key is not in the bitmap."""
+    marked = rows.withColumn("_word", F.pmod(F.xxhash64(name), F.lit(SIEVE))).join(F.broadcast(bitmap), "_word", "left")
+    held = F.coalesce(F.col("_bits"), F.lit(0).cast("bigint")).bitwiseAND(bit_of(name)) != 0
+    return marked.withColumn("_maybe", held).drop("_word", "_bits")
+
+
+def generalise(
+    docs: DataFrame, shapes: DataFrame, scratch: Scratch, min_docs: int, similarity: float
+) -> DataFrame:
+    """(leaf, shape, template) of the shapes whose tokens are constant often enough.
 
     ``shapes`` has (leaf, shape, n_docs, words, first): the shapes of leaves that
     hold several. One line of each is read again, ``first``, and its tokens are
     counted by leaf and place.
     """
-    wanted = shapes.groupBy(F.col("first.doc").alias("doc")).agg(
-        F.collect_list(F.struct("first.line_no", "leaf", "shape", "n_docs", "words")).alias("wanted")
+    wanted = scratch.keep(
+        shapes.groupBy(F.col("first.doc").alias("doc")).agg(
+            F.collect_list(F.struct("first.line_no", "leaf", "shape", "n_docs", "words")).alias("wanted")
+        ),
+        "wanted",
     )
-    found = docs.join(wanted, "doc").select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
-    tokens = found.select(
-        "w.leaf", "w.shape", "w.n_docs", "w.words",
-        F.posexplode(F.split(masked(F.get("lines", F.col("w.line_no"))), " ")).alias("place", "token"),
-    ).filter(F.col("token") != FIELD)
-    spots = tokens.withColumn("spot", F.xxhash64("leaf", "place", "token"))
+    some = sifted(docs, scratch.keep(sieve(wanted, "doc"), "wanted-sieve"), "doc").filter("_maybe").drop("_maybe")
+    lines = F.split("text", "\n")
+    masks = some.join(wanted, "doc").withColumn("lines", lines).select(
+        F.explode(
+            F.transform("wanted", lambda w: F.struct(w.alias("w"), masked(F.get("lines", w["line_no"])).alias("mask")))
+        ).alias("m")
+    )
+    tokens = masks.select("m.w.*", F.posexplode(F.split("m.mask", " ")).alias("place", "token"))
+    spots = tokens.filter(F.col("token") != FIELD).select(
+        "leaf", "shape", "n_docs", "words", F.xxhash64("leaf", "place", "token").alias("spot")
+    )
+    spots = scratch.keep(spots, "spots")
     support = spots.groupBy("spot").agg(F.sum("n_docs").alias("docs"), F.count("*").alias("shapes"))
-    constant = support.filter(F.col("docs") >= min_docs)
-    kept = lookup(spots, constant.select("spot", "shapes"), "spot", weight="shapes", spread_by=["shape"])
+    constant = scratch.keep(support.filter(F.col("docs") >= min_docs).select("spot", "shapes"), "constant")
+    kept = lookup(spots, constant, "spot", weight="shapes", spread_by=["shape"])
     return (
-        kept.groupBy("shape", "leaf", "words")
+        kept.groupBy("leaf", "shape", "words")
         .agg(F.sort_array(F.collect_list("spot")).alias("constants"))
         .filter(F.size("constants") >= F.lit(similarity) * F.col("words"))
-        .select("shape", F.struct(
-            F.xxhash64("leaf", "constants").alias("a"), F.xxhash64(F.lit(1), "leaf", "constants").alias("b")
-        ).alias("template"))
-    )
+        .select("leaf", "shape", F.xxhash64("constants").alias("template"))
+    )
 
 
 def recurring_lines(
@@ -91,33 +127,42 @@ def recurring_lines(
     """(doc, line_no) of the lines to drop: every line of a recurring template
     but the first in the order of documents and lines."""
     lines = scratch.keep(document_lines(docs), "lines")
+    # Only leaves of several documents go on: most lines stand alone.
+    busy = (
+        lines.groupBy("leaf")
+        .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"),
+             F.min("shape").alias("least"), F.max("shape").alias("most"))
+        .filter("lo <> hi")
+        .select("leaf", "n", (F.col("least") != F.col("most")).alias("mixed"))
+    )
+    busy = scratch.keep(busy, "busy")
+    lines = scratch.keep(lookup(lines, busy, "leaf", weight="n", spread_by=["doc", "line_no"]), "busy-lines")
     by_shape = (
         lines.groupBy("leaf", "shape", "doc")
-        .agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"), F.max("words").alias("words"))
+        .agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"), F.max("words").alias("words"),
+             F.max("mixed").alias("mixed"))
         .groupBy("leaf", "shape")
-        .agg(
-            F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.max("words").alias("words"),
-            F.min(F.struct("doc", "line_no")).alias("first"),
-        )
+        .agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.max("words").alias("words"),
+             F.max("mixed").alias("mixed"), F.min(F.struct("doc", "line_no")).alias("first"))
     )
     shapes = scratch.keep(by_shape, "shapes")
-    mixed = shapes.groupBy("leaf").agg(F.count("*").alias("shapes")).filter("shapes > 1")
-    several = lookup(shapes, mixed, "leaf", weight="shapes", spread_by=["shape"])
-    general = generalise(docs, several, min_docs, similarity)
+    general = generalise(docs, shapes.filter("mixed"), scratch, min_docs, similarity)
     # A shape of its own, or one that shares its template with other shapes.
-    named = shapes.join(general, "shape", "left").select(
-        "shape", "n", "n_docs", F.coalesce("template", "shape").alias("template")
+    named = shapes.join(general, ["leaf", "shape"], "left").select(
+        "leaf", "shape", "n", "n_docs", F.coalesce("template", "shape").alias("template")
     )
     named = scratch.keep(named, "templates")
-    repeated = named.groupBy("template").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    suspects = scratch.keep(named.join(repeated.select("template"), "template", "left_semi"), "suspects")
+    repeated = named.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n_docs")).filter(
+        F.col("n_docs") >= min_docs
+    )
+    suspects = named.join(repeated.select("leaf", "template"), ["leaf", "template"], "left_semi").select(
+        F.struct("leaf", "shape").alias("line"), "template", "n"
+    )
+    suspects = scratch.keep(suspects, "suspects")
     spread = lookup(
-        lines.select("doc", "line_no", "shape"),
-        suspects.select("shape", "template", "n"),
-        "shape",
-        weight="n",
-        spread_by=["doc", "line_no"],
-    ).select("doc", "line_no", "template")
+        lines.select("doc", "line_no", F.struct("leaf", "shape").alias("line")),
+        suspects, "line", weight="n", spread_by=["doc", "line_no"],
+    ).select("doc", "line_no", F.struct("line.leaf", "template").alias("template"))
     spread = scratch.keep(spread, "suspect-lines")
     recurring = (
         spread.groupBy("template", "doc")
@@ -148,23 +193,24 @@ def dedup_lines(
     loses all lines is empty. An empty table gives no rows.
     """
     # The identity of a document, also where ids repeat or are missing.
-    whole = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash")).alias("doc")
-    keyed = docs.filter("text IS NOT NULL").select(whole, "text")
+    whole = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    keyed = docs.filter("text IS NOT NULL").select(whole.alias("doc"), "text")
     drops = recurring_lines(keyed, scratch, min_docs, similarity)
-    dropped = drops.groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    dropped = scratch.keep(drops.groupBy("doc").agg(F.collect_set("line_no").alias("gone")), "dropped")
+    bitmap = scratch.keep(sieve(dropped, "doc"), "dropped-sieve")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(whole.alias("__doc"), F.struct(*others).alias("__row")).join(
-        dropped.select(F.col("doc").alias("__doc"), "gone"), "__doc", "left"
-    )
-    lines = F.split("__row.text", "\n")
+    rows = sifted(docs.select(whole.alias("doc"), F.struct(*others).alias("row")), bitmap, "doc")
+    # Only documents that may lose lines are shuffled.
+    cut = rows.filter("_maybe").join(dropped, "doc", "left").select("row", "gone")
+    same = rows.filter("NOT _maybe").select("row", F.lit(None).cast("array<int>").alias("gone"))
+    lines = F.split("row.text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("__row.text")).otherwise(
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     )
-    n_lines = F.when(F.col("__row.text").isNull(), 0).otherwise(F.size("lines"))
-    cut = rows.withColumn("lines", lines)
-    return cut.select(
-        *[text.alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in others],
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines"))
+    return cut.unionByName(same).withColumn("lines", lines).select(
+        *[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in others],
         n_lines.cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
