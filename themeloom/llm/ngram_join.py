@@ -54,6 +54,13 @@ class Bands:
     starts: np.ndarray  # sizes of band k: starts[k] .. starts[k + 1] - 1
     segments: np.ndarray  # segments of band k
     wide: np.ndarray  # the first ones of them index one-deletion neighbourhoods too
+    buckets: np.ndarray  # buckets of the keys of band k: buckets[k] .. buckets[k + 1] - 1
+
+    def bucket(self, band: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Keys of one band share few buckets, as every bucket names the pairs it
+        finds, and pairs with many common keys lie in one band or two."""
+        first = self.buckets[band]
+        return first + (keys % (self.buckets[band + 1] - first).astype(np.uint64)).astype(np.int64)
 
     def difference(self, total: np.ndarray) -> np.ndarray:
         """Most elements in which similar sets of ``total`` elements in all differ."""
@@ -77,7 +84,7 @@ def allocate(percent: int, starts: np.ndarray, sets: np.ndarray, excess: np.ndar
     falls with the size of segments: half as many, wide segments make more keys
     and fewer matches. The cheaper of the two, in keys and pairs, is taken.
     """
-    segments, wide = [], []
+    segments, wide, buckets = [], [], [0]
     for k in range(len(starts) - 1):
         top = int(starts[k + 1]) - 1
         units = (100 - percent) * (top + 100 * top // percent) // (100 + percent) + 1
@@ -92,16 +99,19 @@ def allocate(percent: int, starts: np.ndarray, sets: np.ndarray, excess: np.ndar
         _, number, broad = min(choices)
         segments.append(number)
         wide.append(broad)
-    return Bands(percent, starts, np.array(segments, np.int64), np.array(wide, np.int64))
+        # The band above is indexed with this one's segments as well.
+        entries = float(sets[k] + (sets[k + 1] if k + 1 < len(sets) else 0)) * (number + (top if broad else 0))
+        buckets.append(buckets[-1] + max(1, math.ceil(entries / BUCKET_KEYS)))
+    return Bands(percent, starts, *(np.array(x, np.int64) for x in (segments, wide, buckets)))
 
 
-def segment_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key): the index entries of sorted sets, none of them empty."""
+def segment_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, bucket): the index entries of sorted sets, none of them empty."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     own_band = np.searchsorted(bands.starts, sizes, side="right") - 1
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    owners, keys = [], []
+    owners, keys, buckets = [], [], []
     largest_partner = 100 * sizes // bands.percent
     for lower in (0, 1):  # a set meets its own band's, and those of the band below
         band = own_band - lower
@@ -115,13 +125,15 @@ def segment_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.n
         for entry_owner, entry_key, unit_owner, unit in _band_keys(flat, owner, band, takes, bands):
             owners.append(entry_owner)
             keys.append(entry_key)
+            buckets.append(bands.bucket(band[entry_owner], entry_key))
             units += np.bincount(unit_owner, unit, len(sets)).astype(np.int64)
         short = takes & (units <= bands.difference(sizes + partner))
         some = short[owner]
         owners.append(owner[some])
         salt = mix(SECOND + band[owner[some]].astype(np.uint64))
         keys.append(mix(flat[some] ^ salt))
-    return np.concatenate(owners), np.concatenate(keys)
+        buckets.append(bands.bucket(band[owners[-1]], keys[-1]))
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(buckets)
 
 
 def _band_keys(
@@ -194,13 +206,12 @@ def plan_bands(classes: DataFrame, percent: int) -> Bands:
     return allocate(percent, starts, sets, excess)
 
 
-def indexed(docs: DataFrame, bands: Bands, buckets: int) -> DataFrame:
+def indexed(docs: DataFrame, bands: Bands) -> DataFrame:
     """(bucket, keys, sets): index entries of all documents as packed numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(bands)
 
-    def packed(owners: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own, key = np.concatenate(owners), np.concatenate(keys)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
+    def packed(owners: list, keys: list, buckets: list) -> Iterator[pa.RecordBatch]:
+        own, key, bucket = (np.concatenate(x) for x in (owners, keys, buckets))
         order = np.argsort(bucket, kind="stable")
         own, key = own[order], key[order]
         found, heads = np.unique(bucket[order], return_index=True)
@@ -217,6 +228,7 @@ def indexed(docs: DataFrame, bands: Bands, buckets: int) -> DataFrame:
         seen: set[int] = set()  # copies in one task are indexed once
         owners: list[np.ndarray] = []
         keys: list[np.ndarray] = []
+        buckets: list[np.ndarray] = []
         held = 0
         waiting: list[np.ndarray] = []
         names: list[int] = []
@@ -224,9 +236,10 @@ def indexed(docs: DataFrame, bands: Bands, buckets: int) -> DataFrame:
         def flush() -> None:
             nonlocal held, waiting, names
             if waiting:
-                own, key = segment_keys(waiting, sent.value)
+                own, key, bucket = segment_keys(waiting, sent.value)
                 owners.append(np.array(names, np.int64)[own])
                 keys.append(key)
+                buckets.append(bucket)
                 held += len(key)
                 waiting, names = [], []
 
@@ -240,11 +253,11 @@ def indexed(docs: DataFrame, bands: Bands, buckets: int) -> DataFrame:
                     if sum(map(len, waiting)) > 1 << 17 if len(waiting) % 64 == 0 else len(members) > 1 << 17:
                         flush()
                         if held > SENT_KEYS:
-                            yield from packed(owners, keys)
-                            owners, keys, held = [], [], 0
+                            yield from packed(owners, keys, buckets)
+                            owners, keys, buckets, held = [], [], [], 0
         flush()
         if owners:
-            yield from packed(owners, keys)
+            yield from packed(owners, keys, buckets)
 
     return docs.select("text").mapInArrow(index, "bucket bigint, keys binary, sets binary")
 
@@ -253,8 +266,14 @@ def meetings(entries: DataFrame) -> DataFrame:
     """(center, other): sets that share a key with a smaller one, by hash."""
 
     def meet(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.int64)
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
+        sets = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sets")])
+        order = np.argsort(keys)
+        keys, sets = keys[order], sets[order]
+        # Most keys stand alone; the rest are sorted by set as well.
+        same = keys[1:] == keys[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        keys, sets = keys[shared], sets[shared]
         order = np.lexsort((sets, keys))
         keys, sets = keys[order], sets[order]
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -314,6 +333,45 @@ def members_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.mapInArrow(collect, schema)
 
 
+def differing(
+    rows: np.ndarray, n: np.ndarray, component: np.ndarray, block: np.ndarray | None,
+    sketches: list[bytes], percent: int,
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) of the rows of one group whose pairs lie in different
+    components, and blocks if given, and may be similar by size and sketch."""
+    lengths = np.fromiter((len(sketches[r]) // 8 for r in rows), np.int64, len(rows))
+    held = {}
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        held[int(length)] = at, np.frombuffer(b"".join(sketches[rows[a]] for a in at), np.uint64).reshape(len(at), -1)
+    # Similar sets have sketches of one length, or one is twice as long and folded.
+    folded = {length // 2: (at, m[:, : length // 2] ^ m[:, length // 2 :]) for length, (at, m) in held.items() if length > 1}
+    nothing = np.zeros(0, np.int64), np.zeros((0, 1), np.uint64)
+    sizes, parts = n[rows], component[rows]
+    for i, length in enumerate(lengths.tolist()):
+        at, own = held[length]
+        mine = own[np.searchsorted(at, i)]
+        half = mine[: length // 2] ^ mine[length // 2 :] if length > 1 else None
+        for side, (others, matrix) in (
+            (mine, held[length]),
+            (mine, folded.get(length, nothing)),
+            (half, held.get(length // 2, nothing) if length > 1 else nothing),
+        ):
+            later = np.searchsorted(others, i, side="right")
+            others = others[later:]
+            fits = (parts[others] != parts[i]) & (
+                100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
+            )
+            if block is not None:
+                fits &= block[others] != block[i]
+            if fits.any():
+                others = others[fits]
+                apart = np.bitwise_count(matrix[later:][fits] ^ side).sum(axis=1)
+                others = others[apart <= (100 - percent) * (sizes[i] + sizes[others]) // (100 + percent)]
+                if len(others):
+                    yield rows[i], rows[others]
+
+
 def around_centers(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Pairs (x, y) of sets that meet at one center, lie in different components,
     and are not ruled out by sizes and sketches.
@@ -337,31 +395,22 @@ def around_centers(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("center", "ascending"), ("low", "ascending"), ("high", "ascending")])
-        columns = {c: table.column(c).to_pylist() for c in ("center", "low", "high", "doc", "component", "own")}
-        n = np.array(table.column("n").to_pylist(), np.int64)
+        group, low, high, own = (table.column(c).to_numpy() for c in ("center", "low", "high", "own"))
+        change = (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        heads = np.flatnonzero(np.append(True, change)) if len(group) else np.zeros(0, np.int64)
+        n = table.column("n").to_numpy()
         sketches = table.column("sketch").to_pylist()
-        component = np.unique(columns["component"], return_inverse=True)[1]
-        own = np.array(columns["own"])
-        keys = list(zip(columns["center"], columns["low"], columns["high"], strict=True))
-        heads = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-        found: set[tuple[int, int]] = set()
-        for head, end in zip(heads, [*heads[1:], len(keys)], strict=True):
-            across = keys[head][1] != keys[head][2]
-            for i in range(head, end):
-                later = np.arange(i + 1, end)
-                small, large = np.minimum(n[i], n[later]), np.maximum(n[i], n[later])
-                fits = (component[later] != component[i]) & (100 * small >= percent * large)
-                if across:
-                    fits &= own[later] != own[i]
-                for j in later[fits].tolist():
-                    if maybe_similar(int(n[i]), int(n[j]), sketches[i], sketches[j], percent):
-                        x, y = columns["doc"][i], columns["doc"][j]
-                        found.add((min(x, y), max(x, y)))
-        pairs = sorted(found)
-        return pa.table({
-            "x": pa.array([p[0] for p in pairs], table.schema.field("doc").type),
-            "y": pa.array([p[1] for p in pairs], table.schema.field("doc").type),
-        })
+        component = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        docs = table.column("doc").to_numpy()
+        found: list[np.ndarray] = []
+        for head, end in zip(heads, np.append(heads[1:], len(group)), strict=True):
+            rows = np.arange(head, end)
+            block = own[rows] if low[head] != high[head] else None
+            for i, j in differing(rows, n, component, block, sketches, percent):
+                found.append(np.stack([np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j])]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        kind = table.schema.field("doc").type
+        return pa.table({"x": pa.array(pairs[0], kind), "y": pa.array(pairs[1], kind)})
 
     schema = T.StructType([T.StructField("x", kind), T.StructField("y", kind)])
     return work.groupBy("work").applyInArrow(compare, schema).distinct()
@@ -393,10 +442,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
         "classes",
     )
     bands = plan_bands(classes, percent)
-    total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, math.ceil(0.6 * total / BUCKET_KEYS))
-    stars = scratch.keep(meetings(indexed(docs, bands, buckets)), "meetings")
+    stars = scratch.keep(meetings(indexed(docs, bands)), "meetings")
 
     def side(name: str, hashed: str, n: str, sketch: str) -> DataFrame:
         return classes.select(
@@ -427,6 +473,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
     ).filter("lo < hi")
     groups = placed.join(apart.select("center", "size"), "center")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     second = exact_links(around_centers(groups, least, percent), sets, percent)
     # Documents of several classes hold them together.
     several = linked.groupBy("doc_id").agg(F.countDistinct("a", "b").alias("n")).filter("n > 1").select("doc_id")
