@@ -182,7 +182,7 @@ def phi_lines(model: LdaModel) -> DataFrame:
     values = F.posexplode(F.split("line", " ")).alias("_at", "value")
     return rows.select("line_no", "part", values).select(
         F.col("line_no").cast("int").alias("line_no"),
-        (F.col("part") * lines.PART + F.col("_at")).cast("int").alias("term_id"),
+        (F.col("part") * lines.PART + F.col("_at")).cast("bigint").alias("term_id"),
         F.round(F.col("value").cast("double") * 1e3, 6).alias("value_permille"),
     )
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 # Parameters of the registered queries.
 K = 5
 SEED = 42
-VOCABULARY = 262144
 ALPHA, BETA = 0.3, 0.5
 EDGE_ALPHA, EDGE_BETA = 1.3, 1.5
 
@@ -91,11 +90,11 @@ WORDS = r"""tok AS MATERIALIZED (
     SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'),
                                lambda x: length(x) > 0) AS w FROM documents))"""
 
-VOCAB = f"""vocab AS MATERIALIZED (
-  SELECT (row_number() OVER (ORDER BY n_tokens DESC, term) - 1)::INT AS term_id,
+VOCAB = """vocab AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY n_tokens DESC, term) - 1 AS term_id,
          term, n_tokens, n_docs
   FROM (SELECT term, count(*) AS n_tokens, count(DISTINCT doc_id) AS n_docs
-        FROM tok GROUP BY term ORDER BY n_tokens DESC, term LIMIT {VOCABULARY}))"""
+        FROM tok GROUP BY term))"""
 
 ENCODED = """enc AS MATERIALIZED (
   SELECT doc_id, pos, term_id FROM tok JOIN vocab USING (term))"""
@@ -278,7 +277,7 @@ def statements() -> dict[str, str]:
     )
     sql["fit_vocabulary"] = chain(WORDS, VOCAB) + " SELECT term_id, term, n_tokens, n_docs FROM vocab"
     sql["fit_vocabulary_min_df"] = chain(WORDS) + """
-      SELECT (row_number() OVER (ORDER BY n_tokens DESC, term) - 1)::INT AS term_id,
+      SELECT row_number() OVER (ORDER BY n_tokens DESC, term) - 1 AS term_id,
              term, n_tokens, n_docs
       FROM (SELECT term, count(*) AS n_tokens, count(DISTINCT doc_id) AS n_docs FROM tok
             GROUP BY term HAVING count(DISTINCT doc_id) >= 3

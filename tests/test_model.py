@@ -203,3 +203,49 @@ def test_many_topics(spark, words_corpus):
     assert model.describe_topics(3).count() == 120
     assert model.topic_assignments().count() == corpus.bag.count()
     assert model.perplexity().first()[0] > 1
+
+
+def test_long_lists_of_documents_are_sorted_apart(model, plain, monkeypatch):
+    short = sorted(model.top_documents_per_topic(25).collect())
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", 5)
+    assert sorted(model.top_documents_per_topic(25).collect()) == short
+    assert model.top_documents_per_topic(10**6).count() == K * len(plain.docs)
+    with pytest.raises(ValueError):
+        ranking.top_documents_per_topic(model.docs, 25)
+
+
+def test_log_prior_by_document_and_term(model, plain):
+    expected = sum(
+        (ETA - 1) * math.log((plain.cell[d, t, k] + ETA - 1) / (plain.nk[k] + plain.v * (ETA - 1)))
+        for d, t in plain.pairs
+        for k in range(K)
+    )
+    for d in plain.docs:
+        norm = sum(plain.nd[d, k] + ALPHA - 1 for k in range(K))
+        expected += sum((ALPHA - 1) * math.log((plain.nd[d, k] + ALPHA - 1) / norm) for k in range(K))
+    assert model.log_prior("doc_term").first()[0] == pytest.approx(expected, rel=1e-9)
+
+
+def test_normalised_weights_add_up(model):
+    from themeloom.operators import sampling
+
+    if model.mode == "edge":
+        rows, weight, keys = model.edge_rows(), sampling.edge_weight(ETA), ["doc_id", "term_id"]
+    else:
+        rows = sampling.join_counts(
+            model.state, model.words, model.docs, model.totals, eta=ETA, vocab_size=model.vocab_size
+        )
+        weight, keys = sampling.collapsed_weight(ALPHA), ["doc_id", "pos"]
+    plain = {(*r[:2], r.topic): r.weight for r in sampling.topic_weights(rows, weight, K, keys).collect()}
+    sums = defaultdict(float)
+    for key, value in plain.items():
+        sums[key[:2]] += value
+    for r in sampling.topic_weights(rows, weight, K, keys, normalize=True).collect():
+        assert r.weight == pytest.approx(plain[(*r[:2], r.topic)] / sums[tuple(r[:2])])
+
+
+def test_tokens_are_those_of_the_cells(model, plain):
+    found = Counter((r.doc_id, r.term_id, r.topic) for r in model.tokens.collect())
+    assert found == +plain.cell
+    rows = model.tokens.select("doc_id", "term_id", "pos")
+    assert rows.distinct().count() == rows.count()

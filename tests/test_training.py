@@ -124,6 +124,18 @@ def test_collapsed_sweeps_against_plain_python(corpus, two_sweeps):
     assert tokens_of(two_sweeps) == expected
 
 
+@pytest.mark.parametrize("k", [16, 17, 24, 32, 33, 64, 70])
+def test_sweeps_of_many_topics_against_plain_python(corpus, k):
+    size = corpus.vocab.count()
+    tokens = [tuple(r) for r in corpus.tokens.select("doc_id", "pos", "term_id").collect()]
+    model = LDA(k=k, iterations=1, alpha=0.3, beta=0.5, seed=1).fit(corpus.tokens, corpus.vocab)
+    assert tokens_of(model) == python_collapsed(tokens, k, 1, 0.3, 0.5, size, 1)
+    bag = [tuple(r) for r in corpus.bag.collect()]
+    edge = LDA(k=k, iterations=1, alpha=1.3, beta=1.5, seed=1, mode="edge")
+    model = edge.fit_bag(corpus.bag, corpus.vocab)
+    assert cells_of(model) == python_edge(bag, k, 1, 1.3, 1.5, size, 1)
+
+
 def test_edge_sweeps_against_plain_python(corpus, two_edge_sweeps):
     bag = [tuple(r) for r in corpus.bag.collect()]
     expected = python_edge(bag, 4, 2, 1.3, 1.5, corpus.vocab.count(), 1)

@@ -55,10 +55,12 @@ def main(argv: list[str] | None = None) -> int:
     if given.twords > 0:
         words = model.describe_topics(given.twords).orderBy("topic", "rank")
         words.select("topic", "term", "phi").show(given.ntopics * given.twords, truncate=False)
-    if given.output and given.mode == "collapsed":
+    if given.output:
         write_model(
             model, given.output, given.modelname, given.twords, given.wordmap, corpus.docs
         )
+    model.release()
+    corpus.release()
     return 0
 
 

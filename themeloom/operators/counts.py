@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Up to this many topics, per-topic expressions are written out and compiled;
-# beyond it arrays are folded.
-UNROLLED = 32
+# Up to this many topics, weights and their running sums are written out and
+# compiled; beyond it they are computed over matrices.
+UNROLLED = 16
+# Up to this many topics, one aggregate per topic is compiled.
+COUNTED = 64
 
 GRAINS = {"term": ["term_id"], "doc_term": ["doc_id", "term_id"]}
 
@@ -46,7 +48,7 @@ def topic_vector(state: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     Partial aggregation runs before the shuffle, so a term or document that
     holds a large part of the tokens costs one row per task.
     """
-    if k <= UNROLLED:
+    if k <= COUNTED:
         counts = ", ".join(f"count_if(topic = {topic})" for topic in range(k))
         return state.groupBy(*keys).agg(F.expr(f"array({counts})").alias("n"))
     # Pre-aggregated to (keys, topic), then one array slot per topic.

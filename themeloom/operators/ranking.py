@@ -13,9 +13,9 @@ from themeloom.operators.sampling import Weight, weight_array
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
-# A window holds the best rows of a topic in one task; longer lists are
-# numbered by a distributed sort instead.
-WINDOW_ROWS = 100_000
+# Fixed value: up to this rank Spark drops the other rows of a window before the
+# shuffle; longer lists are numbered by a distributed sort instead.
+WINDOW_ROWS = 1000
 # Arrays of one document hold at most the vocabulary.
 ARRAY_TERMS = 1 << 22
 
@@ -57,12 +57,27 @@ def describe_topics(
     )
 
 
-def top_documents_per_topic(docs: DataFrame, documents: int) -> DataFrame:
+def top_documents_per_topic(
+    docs: DataFrame, documents: int, scratch: Scratch | None = None
+) -> DataFrame:
     """Documents with most tokens of each topic: (topic, rank, doc_id, weight).
 
     Equal weights: the larger document id first. Documents without tokens of
-    the topic take part with weight 0.
+    the topic take part with weight 0. Lists above WINDOW_ROWS need ``scratch``.
     """
+    if documents > WINDOW_ROWS:
+        if scratch is None:
+            raise ValueError(f"more than {WINDOW_ROWS} documents of a topic need a scratch folder")
+        docs = scratch.keep(docs, "topic-document-counts")
+        order = [F.asc("topic"), F.desc("n"), F.desc("doc_id")]
+        placed = dense_index(spread(docs), order, "_place", scratch, "topic-documents")
+        # Every topic has one row for each document.
+        rank = F.col("_place") - F.col("topic").cast("bigint") * F.lit(docs.count()) + 1
+        return (
+            placed.withColumn("rank", rank.cast("int"))
+            .filter(F.col("rank") <= documents)
+            .select("topic", "rank", "doc_id", F.col("n").alias("weight"))
+        )
     best = Window.partitionBy("topic").orderBy(F.desc("n"), F.desc("doc_id"))
     return (
         spread(docs)

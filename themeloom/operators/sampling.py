@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.functions.uniform import document_key, uniform
 from themeloom.operators.counts import UNROLLED, topic_vector, vector_sum
 from themeloom.operators.state import BLOCK, cut_blocks
 from themeloom.plans.joins import lookup
 
-# Weight of one topic as SQL; the topic is a number or the name of a variable.
-Weight = Callable[[int | str], str]
+# Rows whose weights are computed at a time beyond UNROLLED topics.
+ROWS = 4096
+
+
+@dataclass(frozen=True)
+class Weight:
+    """Weight of a topic, written twice: as SQL of one topic, a number or the name
+    of a variable, and over matrices (row, topic) of the columns it needs."""
+
+    sql: Callable[[int | str], str]
+    columns: tuple[str, ...]
+    values: Callable[..., np.ndarray]
+
+    def __call__(self, topic: int | str) -> str:
+        return self.sql(topic)
 
 
 def double(value: float) -> str:
@@ -73,12 +90,22 @@ def collapsed_weight(alpha: float) -> Weight:
             f" ELSE {free} * ({nd} + {double(alpha)}) END"
         )
 
-    return weight
+    def values(own: np.ndarray, free: np.ndarray, nd: np.ndarray, topic: np.ndarray) -> np.ndarray:
+        found = free * (nd + alpha)
+        at = np.arange(len(topic)), topic
+        found[at] = own[at] * (nd[at] - 1 + alpha)
+        return found
+
+    return Weight(weight, ("own", "free", "nd", "topic"), values)
 
 
 def edge_weight(eta: float) -> Weight:
     """(N_wk - 1 + eta) times the document's factor; needs n and factor."""
-    return lambda topic: f"({entry('n', topic)} - 1 + {double(eta)}) * {entry('factor', topic)}"
+    return Weight(
+        lambda topic: f"({entry('n', topic)} - 1 + {double(eta)}) * {entry('factor', topic)}",
+        ("n", "factor"),
+        lambda n, factor: (n - 1 + eta) * factor,
+    )
 
 
 def edge_factors(
@@ -97,7 +124,11 @@ def edge_factors(
 
 def cell_weight(alpha: float) -> Weight:
     """Weight of a (document, term) cell: nothing is taken out; needs free and nd."""
-    return lambda topic: f"{entry('free', topic)} * ({entry('nd', topic)} + {double(alpha)})"
+    return Weight(
+        lambda topic: f"{entry('free', topic)} * ({entry('nd', topic)} + {double(alpha)})",
+        ("free", "nd"),
+        lambda free, nd: free * (nd + alpha),
+    )
 
 
 def weight_array(weight: Weight, k: int) -> Column:
@@ -112,27 +143,45 @@ def draw(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str], u: Column
     weights is above u times the sum of all weights.
 
     Sums run from left to right. Few topics: one column per topic, compiled as
-    straight code. Many topics: two folds over the array of weights.
+    straight code, whose size grows with the square of their number. Many
+    topics: the same sums over matrices of ROWS tokens, in numpy.
     """
     rows = rows.withColumn("_u", u)
     if k <= UNROLLED:
         limits = thresholds(rows, weight, k, [*keep, "_u"])
         marked = limits.withColumn("_mark", F.col("_u") * F.col(f"_c{k - 1}"))
         return marked.select(*keep, first_above(k).alias("topic"))
-    weighted = rows.select(*keep, "_u", weight_array(weight, k).alias("_w"))
-    total = F.aggregate("_w", F.lit(0.0), lambda so_far, w: so_far + w)
-    marked = weighted.withColumn("_mark", F.col("_u") * total)
-    passed = F.aggregate(
-        "_w",
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("passed")),
-        lambda state, w: F.struct(
-            (state["sum"] + w).alias("sum"),
-            F.when(state["sum"] + w <= F.col("_mark"), state["passed"] + 1)
-            .otherwise(state["passed"])
-            .alias("passed"),
-        ),
-    )["passed"]
-    return marked.select(*keep, F.least(passed, F.lit(k - 1)).alias("topic"))
+    return draw_in_batches(rows, weight, k, keep)
+
+
+def draw_in_batches(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str]) -> DataFrame:
+    """``draw`` over matrices; ``rows`` has the uniform number in ``_u``."""
+    needed = list(dict.fromkeys([*keep, "_u", *weight.columns]))
+    given = rows.select(*needed)
+    schema = T.StructType([*[given.schema[c] for c in keep], T.StructField("topic", T.IntegerType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topics = []
+            for start in range(0, batch.num_rows, ROWS):
+                some = batch.slice(start, ROWS)
+                sums = np.cumsum(weight.values(*[values_of(some.column(c), k) for c in weight.columns]), axis=1)
+                mark = some.column("_u").to_numpy() * sums[:, -1]
+                topics.append(np.minimum((sums <= mark[:, None]).sum(axis=1), k - 1))
+            drawn = np.concatenate(topics) if topics else np.zeros(0, int)
+            columns = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(drawn, pa.int32())], names=[*keep, "topic"]
+            )
+
+    return given.mapInArrow(work, schema)
+
+
+def values_of(column: pa.Array, k: int) -> np.ndarray:
+    """A column of numbers, or of arrays of k numbers as a matrix."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return column.to_numpy(zero_copy_only=False)
 
 
 def thresholds(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str]) -> DataFrame:
@@ -267,6 +316,14 @@ def _redraw(cells: DataFrame, eta: float, keys: Sequence[str], k: int) -> DataFr
     return topic_vector(drawn, keys, k).withColumn("cnt", vector_sum("n"))
 
 
-def topic_weights(rows: DataFrame, weight: Weight, k: int, keys: Sequence[str]) -> DataFrame:
-    """Unnormalised weights in long form: keys, topic, weight."""
-    return rows.select(*keys, F.posexplode(weight_array(weight, k)).alias("topic", "weight"))
+def topic_weights(
+    rows: DataFrame, weight: Weight, k: int, keys: Sequence[str], normalize: bool = False
+) -> DataFrame:
+    """Weights in long form: keys, topic, weight. Unnormalised, or adding up to one."""
+    weighted = rows.select(*keys, weight_array(weight, k).alias("_w"))
+    if normalize:
+        total = F.aggregate("_w", F.lit(0.0), lambda total, w: total + w)
+        weighted = weighted.withColumn("_total", total).select(
+            *keys, F.transform("_w", lambda w: w / F.col("_total")).alias("_w")
+        )
+    return weighted.select(*keys, F.posexplode("_w").alias("topic", "weight"))

@@ -64,6 +64,22 @@ def init_cells(bag: DataFrame, k: int, seed: int, largest: int) -> DataFrame:
     return cells.withColumn("cnt", vector_sum("n"))
 
 
+def expand_cells(cells: DataFrame) -> DataFrame:
+    """One row per token of cells (doc_id, term_id, n ARRAY): (doc_id, pos, term_id,
+    topic), a cell's tokens in the order of their topics."""
+    before = F.aggregate(
+        F.slice("n", 1, F.col("topic")), F.lit(0).cast("bigint"), lambda total, n: total + n
+    )
+    topics = cells.select("doc_id", "term_id", "n", F.posexplode("n").alias("topic", "_count"))
+    ranges = topics.filter("_count > 0").withColumn("_before", before)
+    last = F.floor((F.col("_count") - 1) / BLOCK)
+    blocks = ranges.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    first = F.col("_block") * BLOCK
+    end = F.least(first + BLOCK, F.col("_count")) - 1
+    copies = F.explode(F.sequence(F.col("_before") + first, F.col("_before") + end)).alias("pos")
+    return blocks.select("doc_id", copies, "term_id", "topic")
+
+
 def init_assignments(tokens: DataFrame, k: int, seed: int) -> DataFrame:
     """Uniform random topic for each token: (doc_id, pos, term_id, topic)."""
     u = uniform(document_key(seed, 0, F.col("doc_id")), F.col("term_id"), F.col("pos"))

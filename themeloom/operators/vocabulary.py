@@ -11,10 +11,6 @@ from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 from themeloom.sources.text import explode_words
 
-# Fixed value: default number of terms a count vectorizer keeps.
-VOCABULARY_SIZE = 1 << 18
-
-
 def document_words(docs: DataFrame, **options) -> DataFrame:
     """Tokens of each document as an array: (doc_id, words)."""
     return docs.select("doc_id", split_words(F.col("text"), **options).alias("words"))
@@ -45,15 +41,15 @@ def term_counts(words: DataFrame) -> DataFrame:
 def fit_vocabulary(
     words: DataFrame,
     scratch: Scratch,
-    vocab_size: int = VOCABULARY_SIZE,
+    vocab_size: int | None = None,
     min_df: float = 1.0,
 ) -> DataFrame:
-    """The ``vocab_size`` most frequent terms: (term_id, term, n_tokens, n_docs).
+    """All terms, or the ``vocab_size`` most frequent: (term_id, term, n_tokens, n_docs).
 
     ``term_id`` is the rank by tokens descending, then term ascending. From
     ``min_df`` documents on a term counts; below 1.0 it is a share of documents.
     """
-    if vocab_size <= 0:
+    if vocab_size is not None and vocab_size <= 0:
         raise ValueError("vocab_size must be positive")
     counts = term_counts(words)
     if min_df < 1.0:
@@ -62,12 +58,11 @@ def fit_vocabulary(
     elif min_df > 1.0:
         counts = counts.filter(F.col("n_docs") >= min_df)
     counts = scratch.keep(counts, "term-counts")
-    if counts.count() > vocab_size:
+    if vocab_size is not None and counts.count() > vocab_size:
         counts = counts.filter(F.col("n_tokens") >= _cut(counts, vocab_size))
     ranked = dense_index(counts, [F.desc("n_tokens"), F.asc("term")], "_rank", scratch, "terms")
-    return ranked.filter(F.col("_rank") < vocab_size).select(
-        F.col("_rank").cast("int").alias("term_id"), "term", "n_tokens", "n_docs"
-    )
+    kept = ranked if vocab_size is None else ranked.filter(F.col("_rank") < vocab_size)
+    return kept.select(F.col("_rank").alias("term_id"), "term", "n_tokens", "n_docs")
 
 
 def _cut(counts: DataFrame, vocab_size: int) -> int:

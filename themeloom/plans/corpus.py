@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from themeloom.operators.vocabulary import (
-    VOCABULARY_SIZE,
     corpus_summary,
     count_vectorize,
     distinct_vocabulary,
@@ -37,15 +36,20 @@ class Corpus:
     def summary(self) -> DataFrame:
         return corpus_summary(self.docs, self.vocab)
 
+    def release(self) -> None:
+        """Delete the tables of the preparation; the corpus cannot be used afterwards."""
+        self.scratch.release()
+
 
 def prepare_corpus(
     docs: DataFrame,
     scratch: Scratch,
-    vocab_size: int = VOCABULARY_SIZE,
+    vocab_size: int | None = None,
     min_df: float = 1.0,
     **tokenizer,
 ) -> Corpus:
-    """Free text (doc_id, text): words between white space, most frequent terms."""
+    """Free text (doc_id, text): words between white space; all terms, or the
+    ``vocab_size`` most frequent."""
     words = document_words(spread_documents(docs), **tokenizer)
     vocab = fit_vocabulary(words, scratch, vocab_size, min_df)
     return _encode(docs, words, vocab, scratch)
@@ -58,12 +62,13 @@ def prepare_lines(docs: DataFrame, scratch: Scratch) -> Corpus:
 
 
 def spread_documents(docs: DataFrame) -> DataFrame:
-    """Deal documents out when they come from fewer files than there are cores.
+    """Deal documents out when they are read in fewer partitions than there are cores.
 
-    A file with one row group is read by one task. Many files need no shuffle.
+    A small table is read by one task. Large files are cut by size and need no
+    shuffle, however few they are.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition("doc_id") if 0 < len(docs.inputFiles()) < cores else docs
+    return docs.repartition("doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def _encode(docs: DataFrame, words: DataFrame, vocab: DataFrame, scratch: Scratch) -> Corpus:

@@ -21,6 +21,8 @@ def train_directory(
     scratch = Scratch(spark)
     paths = f"{directory.rstrip('/')}/*"
     files = whole_files(spark, paths) if token_lines else read_corpus(spark, paths)
-    docs = assign_doc_ids(files, ["path"], scratch).select("doc_id", "text")
+    # Only the names are sorted and stored; the texts come by a join.
+    numbered = assign_doc_ids(files.select("path"), ["path"], scratch)
+    docs = files.join(numbered, "path").select("doc_id", "text")
     corpus = prepare_lines(docs, scratch) if token_lines else prepare_corpus(docs, scratch)
     return corpus, lda.fit(corpus.tokens, corpus.vocab)

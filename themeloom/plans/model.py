@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.operators import counts, diagnostics, estimates, ranking, sampling
+from themeloom.operators.state import expand_cells
 from themeloom.plans.layout import Layout, meet
 from themeloom.plans.scratch import Scratch
 
@@ -32,6 +33,7 @@ class LdaModel:
         table: DataFrame,
         totals: list[int],
         history: list[tuple[int, float, int | None]],
+        words: DataFrame | None = None,
     ) -> None:
         self.spark = spark
         self.scratch = scratch
@@ -47,6 +49,7 @@ class LdaModel:
         self.table = table
         self.totals = totals
         self.history = history
+        self._words = words
 
     # -- state and counts ------------------------------------------------------
 
@@ -56,9 +59,17 @@ class LdaModel:
         counts of every cell, (doc_id, term_id, cnt, n)."""
         return self.table.drop("chunk")
 
+    @property
+    def tokens(self) -> DataFrame:
+        """(doc_id, pos, term_id, topic) of every token; in edge mode ``pos`` numbers
+        the copies of a term in its document, by topic."""
+        return expand_cells(self.table) if self.mode == "edge" else self.state
+
     @cached_property
     def words(self) -> DataFrame:
         """(term_id, n ARRAY): tokens of each term by topic."""
+        if self._words is not None:
+            return self._words
         if self.mode == "edge":
             return counts.add_vectors(self.table, ["term_id"], self.k)
         return counts.topic_vector(self.table, ["term_id"], self.k)
@@ -121,7 +132,7 @@ class LdaModel:
         )
 
     def top_documents_per_topic(self, documents: int) -> DataFrame:
-        return ranking.top_documents_per_topic(self.docs, documents)
+        return ranking.top_documents_per_topic(self.docs, documents, self.scratch)
 
     def top_topics_per_document(self, topics: int) -> DataFrame:
         return ranking.top_topics_per_document(self.docs, topics)
@@ -156,9 +167,12 @@ class LdaModel:
     ) -> DataFrame:
         return diagnostics.perplexity(self._likelihood(smoothing, grain), tokens)
 
-    def log_prior(self) -> DataFrame:
+    def log_prior(self, grain: str = "term") -> DataFrame:
+        """At grain ``doc_term`` every term of a document is a topic entry of its own."""
+        counts.grain_keys(grain)
+        dense = estimates.dense_words(self.words, self.vocab, self.k)
         return diagnostics.log_prior(
-            estimates.dense_words(self.words, self.vocab, self.k),
+            dense if grain == "term" else self.cells,
             self.docs,
             self.totals,
             alpha=self.alpha,

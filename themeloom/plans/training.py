@@ -86,6 +86,7 @@ class LDA:
         """Train on encoded tokens (doc_id, pos, term_id).
 
         ``tokens`` is read twice; pass a stored table rather than a long plan.
+        ``vocab_size`` saves counting ``vocab``, and must be its number of terms.
         """
         if self.mode == "edge":
             return self.fit_bag(count_vectorize(tokens), vocab, vocab_size)
@@ -97,6 +98,7 @@ class LDA:
     def fit_bag(self, bag: DataFrame, vocab: DataFrame, vocab_size: int | None = None) -> LdaModel:
         """Train on term counts (doc_id, term_id, cnt)."""
         run = _Run(self, bag.sparkSession, vocab, vocab_size)
+        bag = run.scratch.keep(bag, "bag")
         lengths = bag.groupBy("doc_id").agg(F.sum("cnt").alias("n"))
         layout = self._layout(run, lengths)
         largest = int(bag.agg(F.coalesce(F.max("cnt"), F.lit(0))).first()[0])
@@ -120,13 +122,15 @@ class LDA:
             .select("doc_id", "chunk", "pos", "term_id", "topic")
         )
 
-        def totals(state: DataFrame) -> DataFrame:
-            return topic_vector(state, [], k)
+        def by_term(state: DataFrame) -> DataFrame:
+            return topic_vector(state, ["term_id"], k)
 
-        def step(state: DataFrame, counted: list[int], iteration: int) -> DataFrame:
+        def step(
+            state: DataFrame, words: DataFrame, counted: list[int], iteration: int
+        ) -> DataFrame:
             swept = gibbs_sweep(
                 state,
-                topic_vector(state, ["term_id"], k),
+                words,
                 meet(whole_documents(topic_vector(state, layout.keys, k), layout, k), layout),
                 counted,
                 alpha=self.alpha,
@@ -143,21 +147,20 @@ class LDA:
             return swept.repartition(layout.buckets, *layout.keys)
 
         changed = F.count_if(F.col("topic") != F.col("_was"))
-        return run.train(first, layout, totals, step, changed)
+        return run.train(first, layout, by_term, step, changed)
 
     def _edge(self, run: _Run, layout: Layout, placed: DataFrame, largest: int) -> LdaModel:
         k = self.k
         columns = ["doc_id", "chunk", "term_id", "cnt", "n"]
         first = init_cells(placed, k, self.seed, largest)
 
-        def totals(cells: DataFrame) -> DataFrame:
-            return add_vectors(cells, [], k)
-
         def back(cells: DataFrame) -> DataFrame:
             """Counts of huge cells come from all over; bring them home."""
             return cells.repartition(layout.buckets, *layout.keys) if largest > BLOCK else cells
 
-        def step(cells: DataFrame, counted: list[int], iteration: int) -> DataFrame:
+        def step(
+            cells: DataFrame, words: DataFrame | None, counted: list[int], iteration: int
+        ) -> DataFrame:
             swept = edge_sweep(
                 cells,
                 meet(whole_documents(add_vectors(cells, layout.keys, k), layout, k), layout),
@@ -174,7 +177,7 @@ class LDA:
                 swept = swept.withColumn("chunk", F.lit(0))
             return back(swept.select(*columns))
 
-        return run.train(back(first.select(*columns)), layout, totals, step, None)
+        return run.train(back(first.select(*columns)), layout, None, step, None)
 
 
 class _Run:
@@ -193,14 +196,15 @@ class _Run:
         self,
         first: DataFrame,
         layout: Layout,
-        totals: Callable[[DataFrame], DataFrame],
-        step: Callable[[DataFrame, list[int], int], DataFrame],
+        by_term: Callable[[DataFrame], DataFrame] | None,
+        step: Callable[[DataFrame, DataFrame | None, list[int], int], DataFrame],
         changed: Column | None,
     ) -> LdaModel:
+        """``by_term`` counts a state by term; None if sweeps do not need that."""
         lda = self.lda
         kept: list[str] = []
         history: list[tuple[int, float, int | None]] = []
-        state, counted, _ = self._store(first, "state0", layout, totals, None)
+        state, words, counted, _ = self._store(first, "state0", layout, by_term, None)
         name = "state0"
         rolling: list[str] = [name]
         for iteration in range(1, lda.iterations + 1):
@@ -208,9 +212,11 @@ class _Run:
             every = lda.checkpoint_interval
             checkpoint = every > 0 and iteration % every == 0
             name = f"state{iteration}"
-            state, counted, moved = self._store(
-                step(state, counted, iteration), name, layout, totals, changed
+            before = f"state{iteration - 1}-words"
+            state, words, counted, moved = self._store(
+                step(state, words, counted, iteration), name, layout, by_term, changed
             )
+            self.scratch.drop(before)
             if checkpoint:
                 kept.append(name)
                 for old in kept[:-1]:
@@ -239,6 +245,7 @@ class _Run:
             table=state,
             totals=counted,
             history=history,
+            words=words,
         )
 
     def _store(
@@ -246,17 +253,20 @@ class _Run:
         rows: DataFrame,
         name: str,
         layout: Layout,
-        totals: Callable[[DataFrame], DataFrame],
+        by_term: Callable[[DataFrame], DataFrame] | None,
         changed: Column | None,
-    ) -> tuple[DataFrame, list[int], int | None]:
-        """Write one generation, then read back its topic column for the totals."""
+    ) -> tuple[DataFrame, DataFrame | None, list[int], int | None]:
+        """Write one generation, and the counts by term that the next sweep and the
+        totals are taken from."""
         watch = Observation(name)
         watched = rows if changed is None else rows.observe(watch, changed.alias("changed"))
         table = self.scratch.keep_bucketed(
             watched.drop("_was"), name, layout.buckets, layout.keys
         )
-        counted = [int(n) for n in totals(table).first()["n"]]
-        return table, counted, None if changed is None else watch.get["changed"]
+        words = None if by_term is None else self.scratch.keep(by_term(table), f"{name}-words")
+        totals = add_vectors(table if words is None else words, [], self.lda.k)
+        counted = [int(n) for n in totals.first()["n"]]
+        return table, words, counted, None if changed is None else watch.get["changed"]
 
 
 def whole_documents(vectors: DataFrame, layout: Layout, k: int) -> DataFrame:
