@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from themeloom.llm.batches import parts as batch_parts
+
 # Characters handled at a time, and words that a cache holds at most.
 PIECE = 1 << 19
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 # Classes of characters in the pattern that cuts words.
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 SPACE, APOSTROPHE = 32, 39
@@ -342,7 +344,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
-        for batch in batches:
+        for batch in batch_parts(batches):
             texts = batch.column(text).to_pylist()
             yield batch.append_column("ids", id_lists(encoder, texts))
 
@@ -367,7 +369,7 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_parts(batches):
             texts = [
                 None if ids is None else token_bytes(np.array(ids, np.int64), sent.value).tobytes().decode("utf-8", "replace")
                 for ids in batch.column("ids").to_pylist()
@@ -393,7 +395,7 @@ def digest_texts(docs: DataFrame, path: str) -> DataFrame:
         lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         places = np.cumsum(lengths) - lengths
         sizes = np.diff(vocab.starts)
-        for batch in batches:
+        for batch in batch_parts(batches):
             texts = batch.column("text").to_pylist()
             counts = [0] * len(texts)
             written = [hashlib.sha256() for _ in texts]

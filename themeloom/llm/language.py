@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from themeloom.llm.batches import parts as batch_parts
+
 BUCKETS = 1 << 16
 # Characters handled at a time.
 PIECE = 1 << 18
@@ -109,7 +111,7 @@ def count_languages(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in batch_parts(batches):
             langs = batch.column("lang").to_pylist()
             texts = batch.column("text").to_pylist()
             by_lang: dict[str, list[str]] = {}
@@ -197,7 +199,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_parts(batches):
             langs, scores = score_texts(sent.value, batch.column("text").to_pylist())
             yield batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column(
                 "score", pa.array(scores, pa.float64())

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from themeloom.llm.batches import parts as batch_parts
 from themeloom.llm.components import connected_components
 from themeloom.llm.shingles import least_difference, mix, parity_sketch, set_hashes, shingle_sets
 from themeloom.plans.scratch import Scratch
@@ -168,7 +169,7 @@ def describe_sets(docs: DataFrame) -> DataFrame:
     parity sketch and counted elements of its set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_parts(batches):
             rows = []
             for _, members in shingle_sets(batch.column("text").to_pylist()):
                 counted = members[members % np.uint64(SAMPLED) == 0].view(np.int64)
@@ -243,7 +244,7 @@ def indexed(docs: DataFrame, bands: Bands) -> DataFrame:
                 held += len(key)
                 waiting, names = [], []
 
-        for batch in batches:
+        for batch in batch_parts(batches):
             for _, members in shingle_sets(batch.column("text").to_pylist()):
                 name = set_hashes(members)[0]
                 if len(members) and name not in seen:
@@ -321,12 +322,11 @@ def members_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, members) of the wanted documents."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                found = [m.view(np.int64) for _, m in shingle_sets(batch.column("text").to_pylist())]
-                yield pa.record_batch(
-                    {"doc_id": batch.column("doc_id"), "members": pa.array(found, pa.list_(pa.int64()))}
-                )
+        for batch in batch_parts(batches):
+            found = [m.view(np.int64) for _, m in shingle_sets(batch.column("text").to_pylist())]
+            yield pa.record_batch(
+                {"doc_id": batch.column("doc_id"), "members": pa.array(found, pa.list_(pa.int64()))}
+            )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("members", T.ArrayType(T.LongType()))])
     some = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")

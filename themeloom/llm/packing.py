@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from themeloom.llm.batches import parts as batch_parts
 from themeloom.llm.bpe import Encoder, read_vocabulary
 from themeloom.plans.scratch import Scratch
 
@@ -173,7 +174,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         full = 0
         seen = np.zeros(window, np.int64)
-        for batch in batches:
+        for batch in batch_parts(batches):
             texts = batch.column("text").to_pylist()
             held: list[list[bytes]] = [[] for _ in texts]
             for owners, tokens in encoder.encode(texts):
@@ -239,9 +240,8 @@ def pack_documents(
     placed = stored.join(before.drop("docs"), ["part", "rest"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for small in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                yield cut_batch(small, plan.value, window)
+        for batch in batch_parts(batches):
+            yield cut_batch(batch, plan.value, window)
 
     schema = T.StructType(
         [
