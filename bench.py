@@ -79,10 +79,12 @@ def main() -> None:
     model.release()
     train("collapsed_k10", 10, "collapsed").release()
     train("collapsed_k20", 20, "collapsed").release()
+    train("collapsed_k64", 64, "collapsed", sweeps=4).release()
     edge = train("edge_k5", 5, "edge")
     clock("log_prior", edge.log_prior)
     edge.release()
     train("edge_k10", 10, "edge").release()
+    corpus.release()
 
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     clock(
