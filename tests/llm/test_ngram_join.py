@@ -144,6 +144,16 @@ def test_a_large_group_is_compared_in_blocks(spark, scratch, monkeypatch):
     assert {r.doc_id: r.component_id for r in joined(spark, scratch, rows)} == root
 
 
+def test_similar_sets_meet_at_a_set_similar_to_neither(spark, scratch):
+    # The pages hold all of the short text, and are too long to be similar to it.
+    short = [f"w{i}" for i in range(89)]
+    rows = [(1, " ".join(short)), (2, " ".join(short + [f"e{i}" for i in range(15)]))]
+    rows += [(i, " ".join(short + [f"p{i}x{j}" for j in range(24 + i % 8)])) for i in range(3, 203)]
+    _, root = plain_components(rows)
+    assert root[2] == 1 and len(set(root.values())) == 201
+    assert {r.doc_id: r.component_id for r in joined(spark, scratch, rows)} == root
+
+
 @pytest.mark.parametrize("percent", [60, 100])
 def test_other_similarities(spark, scratch, percent):
     rows = near_copies(60, seed=5)

@@ -441,6 +441,13 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
         ),
         "classes",
     )
+
+    def verified(candidates: DataFrame, step: str) -> DataFrame:
+        candidates = scratch.keep(candidates, f"candidates{step}")
+        ends = candidates.select(F.col("x").alias("doc_id")).union(candidates.select("y")).distinct()
+        sets = scratch.keep(members_of(docs, ends), f"members{step}")
+        return scratch.keep(exact_links(candidates, sets, percent), f"links{step}")
+
     bands = plan_bands(classes, percent)
     stars = scratch.keep(meetings(indexed(docs, bands)), "meetings")
 
@@ -449,20 +456,19 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
             F.col("a").alias(hashed), F.col("doc").alias(name), F.col("n_shingles").alias(n), F.col("sketch").alias(sketch)
         )
 
-    pairs = scratch.keep(
+    # All of them, as two similar sets can meet at one too large or small for either.
+    met = scratch.keep(
         stars.join(side("x", "center", "n", "one"), "center").join(side("y", "other", "m", "two"), "other")
-        .filter(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
         .select("x", "y", "n", "m", "one", "two"),
-        "pairs",
+        "met",
     )
-    ends = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    sets = scratch.keep(members_of(docs, ends), "members")
-    first = scratch.keep(exact_links(plausible(pairs, percent), sets, percent), "links1")
+    pairs = met.filter(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
+    first = verified(plausible(pairs, percent), "1")
     roots = connected_components(first, scratch)
     around = (
-        pairs.select(F.col("x").alias("center"), F.col("y").alias("doc"), F.col("m").alias("n"), F.col("two").alias("sketch"))
+        met.select(F.col("x").alias("center"), F.col("y").alias("doc"), F.col("m").alias("n"), F.col("two").alias("sketch"))
         .unionByName(
-            pairs.select(F.col("x").alias("center"), F.col("x").alias("doc"), "n", F.col("one").alias("sketch")).distinct()
+            met.select(F.col("x").alias("center"), F.col("x").alias("doc"), "n", F.col("one").alias("sketch")).distinct()
         )
     )
     placed = around.join(roots, around.doc == roots.node, "left").select(
@@ -474,7 +480,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
     ).filter("lo < hi")
     groups = placed.join(apart.select("center", "size"), "center")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    second = exact_links(around_centers(groups, least, percent), sets, percent)
+    second = verified(around_centers(groups, least, percent), "2")
     # Documents of several classes hold them together.
     several = linked.groupBy("doc_id").agg(F.countDistinct("a", "b").alias("n")).filter("n > 1").select("doc_id")
     shared = (
