@@ -29,7 +29,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops recurring lines, and documents that have nothing else."""
     cut = lines.dedup_lines(docs, Scratch(spark))
-    left = cut.filter((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    left = cut.filter((F.col("n_dropped") == 0) | F.rlike("text", F.lit(r"\P{IsWhite_Space}")))
     length = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("bigint"))
     return left.withColumn("n_chars", length).select(*docs.columns)
 

@@ -165,3 +165,21 @@ def test_pipeline_on_odd_documents(spark, scratch):
     for name, stage in corpus_pipeline.STAGES:
         docs = scratch.keep(stage(spark, docs, DATA), f"none-{name}")
     assert docs.count() == 0
+
+
+def test_pipeline_drops_copies_with_blank_lines(spark, scratch):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    parts = [
+        "the quick brown fox jumps over the lazy dog and runs away into the dark forest",
+        "an old man walked along the river until he came to the house of his brother",
+        "nobody in the village had ever heard of the sea or of the ships that sail on it",
+    ]
+    apart = ["\n\n", "\n\t\n\n", "\n \r\n\u2003\n"]
+    rows = [(3 * i + k, a.join(parts), "en", "s", len(a.join(parts))) for i, a in enumerate(apart) for k in range(3)]
+    rows.append((100, "\n\n", "en", "s", 2))  # had nothing to lose
+    docs = spark.createDataFrame(rows, schema)
+    cut = corpus_pipeline.drop_lines(spark, docs, DATA)
+    assert sorted(r.doc_id for r in cut.collect()) == [0, 100]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = scratch.keep(stage(spark, docs, DATA), f"blank-{name}")
+    assert {r.doc_id for r in docs.collect()} == {0}
