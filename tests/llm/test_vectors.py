@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from themeloom.llm import ann, vector_dedup
@@ -128,6 +129,24 @@ def test_recall_over_many_ranges(spark, scratch, monkeypatch):
     assert hits >= 0.9 * 300
 
 
+def test_many_queries_are_cut_in_pieces(spark, scratch, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_VECTORS", 50)
+    whole, sides = GroupedData.cogroup, []
+    monkeypatch.setattr(GroupedData, "cogroup", lambda own, other: sides.extend([own, other]) or whole(own, other))
+    rows = groups(n=300)
+    table = spark.createDataFrame(rows, ROWS)
+    found = ann.nearest(table, table, scratch, k=5).collect()
+    assert len(found) == 5 * len(rows)
+    for side in sides:
+        assert side.count().agg(F.max("count")).first()[0] <= 2 * ann.MOST_VECTORS
+    hits = 0
+    for query in rows[::10]:
+        near = [r.score for r in sorted(found, key=lambda r: r.rank) if r.query_id == query[0]]
+        told = [np.dot(np.array(rows[i][1]), np.array(query[1])) for i in plain_nearest(rows, query, 5)]
+        hits += np.isclose(near, told, rtol=1e-12).sum()
+    assert len(sides) == 2 and hits >= 0.9 * 5 * 30
+
+
 def test_copies_ties_and_odd_rows(spark, scratch):
     rows = [(i, [1.0, 0.0], 1) for i in range(50, 0, -1)] + [(60, [0.0, 1.0], 1), (61, [1.0, 0.0, 0.0], 1)]
     rows += [(7, [1.0, 0.0], 2), (None, [9.0, 9.0], 1), (70, None, 1), (71, [0.0, 0.0], 1), (72, [NAN, 1.0], 1)]

@@ -26,7 +26,8 @@ from themeloom.plans.scratch import Scratch
 CURVES, BLOCKS, REACH = 6, 16, 3
 # Projected dimensions and bits of each in a key.
 AXES, BITS = 6, 10
-# A range has at least so many vectors; a task compares with at most so many.
+# A range has at least so many vectors; a piece of work compares at most about so
+# many questions with at most about so many candidates.
 LEAST_BLOCK, MOST_VECTORS = 64, 8192
 SEED = 20240611
 
@@ -170,7 +171,13 @@ def nearest(
         cuts = placed.groupBy("curve").agg(F.percentile_approx("key", shares, 10_000).alias("cuts"))
         bounds = {row.curve: row.cuts for row in cuts.toLocalIterator()}
     salts = max(1, math.ceil(total / blocks / MOST_VECTORS))
-    targets = ranged(placed, bounds).withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
+    # Questions can crowd in one range, so all of them are counted.
+    chunks = max(1, math.ceil(questions.count() / MOST_VECTORS))
+    targets = (
+        ranged(placed, bounds)
+        .withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    )
     visits = 2 * REACH + 1
     from_block = F.greatest(F.lit(0), F.least(F.col("block") - REACH, F.lit(blocks - visits)))
     asking = (
@@ -178,6 +185,7 @@ def nearest(
         .withColumn("from", from_block)
         .withColumn("block", F.explode(F.sequence("from", F.least(F.col("from") + visits - 1, F.lit(blocks - 1)))))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("chunk", F.pmod(F.xxhash64("name"), F.lit(chunks)).cast("int"))
     )
 
     wanted = k + 1  # one of them may be the query's own vector
@@ -205,7 +213,8 @@ def nearest(
         )
 
     kind = rows.schema["vec_id"].dataType.simpleString()
-    found = asking.groupBy("curve", "block", "salt").cogroup(targets.groupBy("curve", "block", "salt")).applyInArrow(
+    piece = ["curve", "block", "salt", "chunk"]
+    found = asking.groupBy(*piece).cogroup(targets.groupBy(*piece)).applyInArrow(
         search, f"question struct<h1:bigint,h2:bigint>, name struct<h1:bigint,h2:bigint>, score double, ids array<{kind}>"
     )
     once = found.groupBy("question", "name").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
