@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import ann, bpe, chat, language, licenses, lines, ngram_join, packing, vector_dedup, warc
+from themeloom.llm import (
+    ann, bpe, chat, language, licenses, lines, ngram_join, packing, suffixes, vector_dedup, warc,
+)
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
@@ -113,3 +115,15 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = F.transform("spans", lambda s: s["high"] - s["low"])
+    return suffixes.drop_repeats(docs, Scratch(spark)).select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda total, n: total + n).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
