@@ -23,7 +23,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the gener
 
 def test_names():
     names = registry.queries()
-    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
     assert set(registry.oracle_sql()) <= set(names)
     assert set(names) <= set(registered.queries())
 

@@ -65,51 +65,72 @@ class Groups:
         above = np.zeros(len(first), np.int64)
         made = np.full(len(first), NONE)  # while which group was gone through
         fresh, low = self.fresh.copy(), texts.starts.copy()
-        at = texts.starts + texts.lengths - 1
+        # Of the group gone through: its name, first place and end, and where we are.
+        end = texts.starts + texts.lengths
+        now, floor = self.enter(end)
+        at = floor.copy()
         suffix = order[at]
-        now = group[suffix]
-        floor = first[now]
         back = before[suffix]
         while len(at):
             # Step back over suffixes of this group or higher ones.
-            held = back >= 0
-            higher = held & (first[group[back]] >= floor)
-            if higher.any():
-                back[higher] = before[back[higher]]
+            higher = back >= 0
+            higher &= first[group[back]] >= floor
+            back[higher] = before[back[higher]]
             done = np.flatnonzero(~higher)
             before[suffix[done]] = back[done]
             up = done[back[done] >= 0]
             if len(up):
                 moved, by = back[up], now[up]
                 old = group[moved]
-                end = first[old] + size[old] - 1
-                last, hole = order[end], place[moved]
+                last_place = first[old] + size[old] - 1
+                last, hole = order[last_place], place[moved]
                 order[hole], place[last] = last, hole
-                order[end], place[moved] = moved, end
+                order[last_place], place[moved] = moved, last_place
                 size[old] -= 1
                 new = above[old]
                 first_time = made[old] != by
-                lanes = up[first_time]
-                new[first_time] = fresh[lanes]
-                fresh[lanes] += 1
+                ways = up[first_time]
+                new[first_time] = fresh[ways]
+                fresh[ways] += 1
                 above[old], made[old] = new, by
-                first[new] = end
+                first[new] = last_place
                 size[new] += 1
                 group[moved] = new
-            at[done] -= 1
-            left = at >= low
-            if not left.all():
-                at, low, suffix, now, floor, back, fresh = (
-                    x[left] for x in (at, low, suffix, now, floor, back, fresh)
-                )
-                done = np.flatnonzero(~higher[left])
-            if len(done):
-                suffix[done] = order[at[done]]
-                now[done] = group[suffix[done]]
-                floor[done] = first[now[done]]
-                back[done] = before[suffix[done]]
+            at[done] += 1
+            over = done[at[done] == end[done]]
+            if len(over):
+                end[over] = floor[over]
+                left = end > low
+                if not left.all():
+                    over = over[left[over]]
+                    renumbered = np.cumsum(left) - 1
+                    done, over = renumbered[done[left[done]]], renumbered[over]
+                    at, low, suffix, now, floor, back, fresh, end = (
+                        x[left] for x in (at, low, suffix, now, floor, back, fresh, end)
+                    )
+                now[over], floor[over] = self.enter(end[over])
+                at[over] = floor[over]
+            suffix[done] = order[at[done]]
+            back[done] = before[suffix[done]]
         return before
 
+    def enter(self, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Name and first place of the group that ends before each place. Suffixes of
+        a group are gone through in the order of the text, so steps back stay short."""
+        name = self.group[self.order[end - 1]]
+        start = self.first[name]
+        several = np.flatnonzero(self.size[name] > 1)
+        if len(several):
+            count = self.size[name[several]]
+            owner = np.repeat(np.arange(len(several)), count)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            places = start[several][owner] + inside
+            found = self.order[places]
+            # Texts lie apart, but not in the order of lanes.
+            found = found[np.lexsort((found, owner))]
+            self.order[places], self.place[found] = found, places
+        return name, start
+
     def emit(self, texts: Texts, before: np.ndarray) -> np.ndarray:
         """The order of all suffixes, from the groups and previous smaller suffixes."""
         n = len(self.order)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm import (
-    ann, bpe, chat, language, licenses, lines, ngram_join, packing, suffixes, vector_dedup, warc,
+    ann, bpe, chat, collocations, divergence, language, licenses, lines, ngram_join, packing, suffixes, vector_dedup, warc,
 )
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
@@ -127,3 +127,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.mine_phrases(table(spark, sf_dir, "documents"), Scratch(spark))
+    return found.drop("n_left", "n_right")

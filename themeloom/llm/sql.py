@@ -158,4 +158,108 @@ SELECT worded.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id
 FROM worded JOIN roots ON roots.x = worded.doc_id LEFT JOIN sizes ON sizes.doc_id = worded.doc_id
 """
 
-STATEMENTS = {"op4_ngram_join": OP4, "op2_embedding_dedup": OP2, "op7_line_dedup": OP7, "op1_chat_formatting": OP1, "op9_warc": OP9, "op10_license_scans": license_sql()}
+OP11 = """
+WITH told AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT doc_id, b, unnest(range(octet_length(b)::BIGINT)) AS pos FROM told),
+strings AS (SELECT doc_id, pos, b[pos + 1 : pos + 1] AS c,
+  CASE WHEN pos + 50 <= octet_length(b) THEN b[pos + 1 : pos + 50] END AS s FROM places),
+firsts AS (SELECT s, min(doc_id) AS f FROM strings WHERE s IS NOT NULL GROUP BY s),
+starts AS (
+  SELECT doc_id, pos, c, CASE WHEN f < doc_id THEN pos END AS hit
+  FROM strings LEFT JOIN firsts ON firsts.s = strings.s),
+covered AS (
+  SELECT doc_id, pos, c, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
+    IS NOT NULL AS gone FROM starts),
+edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS head FROM covered),
+sums AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans,
+    coalesce(string_agg(hex(c), '' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM edges GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents LEFT JOIN sums USING (doc_id)
+"""
+OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+tok AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+cells AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT r) AS d FROM tok GROUP BY ALL),
+kept AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY lang, term HAVING sum(d) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (
+  SELECT lang, count(term) AS v, coalesce(sum(n), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n AS total
+  FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+masses AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM grid GROUP BY ALL),
+shares AS (
+  SELECT grid.lang, grid.source, term, grid.n,
+    1 + (1000000000::HUGEINT * (grid.n + 2)) // (m.n + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (total + 2)) // (l.n + 2 * v) AS q
+  FROM grid JOIN masses m ON m.lang = grid.lang AND m.source = grid.source JOIN langs l ON l.lang = grid.lang),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN sums ON sums.lang = g.lang AND sums.source = g.source AND sums.item = h.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+pieces AS (
+  SELECT r, lang, unnest(range(len(p))) AS piece, unnest(p) AS t
+  FROM (SELECT r, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') AS p FROM docs)),
+words AS (
+  SELECT lang, r, piece, unnest(range(len(w))) AS pos, unnest(w) AS a
+  FROM (SELECT lang, r, piece, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM pieces)),
+runs AS (
+  SELECT lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM words
+  WINDOW o AS (PARTITION BY r, piece ORDER BY pos)),
+one AS (SELECT lang, a, count(*)::HUGEINT AS n FROM runs GROUP BY ALL),
+two AS (SELECT lang, a, b, count(*)::HUGEINT AS n FROM runs WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, a, b, c, count(*)::HUGEINT AS n FROM runs WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT two.lang, two.a || ' ' || two.b AS phrase, two.n AS a, 1 AS k, x.n AS l, y.n AS r
+  FROM two JOIN one x ON x.lang = two.lang AND x.a = two.a JOIN one y ON y.lang = two.lang AND y.a = two.b
+  WHERE NOT EXISTS (
+    SELECT 1 FROM three t WHERE t.lang = two.lang AND 100 * t.n >= 50 * two.n
+      AND ((t.a = two.a AND t.b = two.b) OR (t.b = two.a AND t.c = two.b)))
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.n, 1, x.n, y.n
+  FROM three t JOIN one x ON x.lang = t.lang AND x.a = t.a JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.n, 2, x.n, y.n
+  FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one y ON y.lang = t.lang AND y.a = t.c),
+scored AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best),
+sizes AS (SELECT lang, sum(n) AS n FROM one GROUP BY lang)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+STATEMENTS = {
+    "op1_chat_formatting": OP1, "op2_embedding_dedup": OP2, "op4_ngram_join": OP4, "op7_line_dedup": OP7,
+    "op9_warc": OP9, "op10_license_scans": license_sql(), "op11_suffix_dedup": OP11,
+    "op12_source_divergence": OP12, "op13_collocations": OP13,
+}

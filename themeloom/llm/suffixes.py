@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from themeloom.llm.grouping import Texts, suffix_array
 from themeloom.llm.lines import sieve, sifted
 from themeloom.llm.shingles import ODD, mix
+from themeloom.llm.sieves import may_hold, sieve_bits
 from themeloom.plans.joins import lookup
 from themeloom.plans.scratch import Scratch
 
@@ -31,14 +32,14 @@ from themeloom.plans.scratch import Scratch
 WINDOW = 50
 # Bytes of the grams whose smallest hash is the key, and of those for keys with many places.
 GRAM, LONG_GRAM = 24, 48
+# Windows of a stretch at most.
+LONGEST = 128
 # Places from which on a key is cut again.
 MANY = 4096
 # Windows of text handled at a time; longer texts go in several pieces.
 PIECE = 1 << 20
 # A part ends where a hash has so many zero bits at its end, or after so many windows.
 PART_BITS, LONGEST_PART = 9, 4096
-# Bits of the table that tells which keys several documents have, whatever their number.
-SIEVE_BITS = 1 << 27
 # Parts seen lately by a task, whose bytes need not be sent again.
 SEEN = 100_000
 # Bytes of stretches in a shard, of a text whose suffixes are sorted, and of texts
@@ -169,33 +170,10 @@ def key_places(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(work, "key BIGINT, id BIGINT")
 
 
-class Sieve:
-    """Bits of the keys that several documents have, and of those with many places.
-    A key without its bit has none; others may share one."""
-
-    def __init__(self, places: DataFrame) -> None:
-        at = F.col("key").bitwiseAND(F.lit(SIEVE_BITS - 1))
-        bit = F.expr("shiftleft(1L, cast(key & 63L AS INT))")
-        shared = (
-            places.groupBy("key")
-            .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
-            .filter("low < high")
-            .groupBy(F.shiftright(at, 6).alias("word"))
-            .agg(
-                F.bit_or(bit).alias("several"),
-                F.bit_or(F.when(F.col("n") > MANY, bit).otherwise(F.lit(0).cast("bigint"))).alias("many"),
-            )
-        )
-        # SIEVE_BITS / 64 rows at most.
-        words = shared.toArrow()
-        self.several, self.many = (np.zeros(SIEVE_BITS >> 6, np.int64) for _ in range(2))
-        for name, bits in (("several", self.several), ("many", self.many)):
-            bits[words.column("word").to_numpy()] = words.column(name).to_numpy()
-
-    @staticmethod
-    def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        word = bits[(keys & (SIEVE_BITS - 1)) >> 6]
-        return (word >> (keys & 63)) & 1 == 1
+def shared_keys(places: DataFrame) -> dict[str, np.ndarray]:
+    """Bits of the keys that ``several`` documents have, and of those with ``many`` places."""
+    counts = places.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    return sieve_bits(counts.filter("low < high"), "key", several=F.lit(True), many=F.col("n") > MANY)
 
 
 def cut_parts(some: Pieces, grams: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -218,13 +196,13 @@ def shared_parts(docs: DataFrame, table) -> DataFrame:
     are null where the task has sent them already."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        several, seen = table.value.several, set()
+        several, seen = table.value["several"], set()
         for batch in batches:
             doc, ids = batch.column(0), batch.column(1)
             for some in pieces(utf8(batch.column(2))):
                 keys, grams = window_keys(some.raw)
                 out: list[tuple] = []
-                for piece, head, count in cut_parts(some, grams, Sieve.has(several, keys)):
+                for piece, head, count in cut_parts(some, grams, may_hold(several, keys)):
                     data = some.data[head : head + count + WINDOW - 1]
                     digest = hashlib.blake2b(data, digest_size=16).digest()
                     known = digest in seen
@@ -258,15 +236,20 @@ def stretches(parts: DataFrame, table, shards: int) -> DataFrame:
     def found(some: Pieces, keys: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, ...]:
         heads, counts = runs(keys, some.starts, some.counts)
         use = kept[heads]
-        return keys[heads][use], heads[use], counts[use]
+        heads, counts = heads[use], counts[use]
+        # Text that repeats itself has long ones.
+        pieces = -(-counts // LONGEST)
+        step = ramps(np.zeros(len(pieces), np.int64), pieces) * LONGEST
+        heads, counts = np.repeat(heads, pieces) + step, np.repeat(counts, pieces) - step
+        return keys[heads], heads, np.minimum(counts, LONGEST)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for some in pieces(x.as_py() for x in batch.column(2)):
                 keys, _ = window_keys(some.raw)
-                shared = Sieve.has(table.value.several, keys)
-                many = shared & Sieve.has(table.value.many, keys)
+                shared = may_hold(table.value["several"], keys)
+                many = shared & may_hold(table.value["many"], keys)
                 cut = [found(some, keys, shared & ~many)]
                 if many.any():
                     # Windows of other keys part the stretches.
@@ -361,18 +344,19 @@ def smallest_documents(
     heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     size = np.add.reduceat(windows + WINDOW, heads)
     number = np.diff(np.append(heads, len(keys)))
-    large = (size > 2 * LANE) & (gram < LONG_GRAM)
+    longer_gram = {GRAM: LONG_GRAM, LONG_GRAM: WINDOW}.get(gram)
+    large = (size > 2 * LANE) & (longer_gram is not None)
     again = np.flatnonzero(np.repeat((number > 1) & large, number))
     if len(again):
-        # Parted by longer grams, so that texts stay short.
+        # Parted by longer grams, so that texts stay short; at last by whole windows.
         lengths = windows[again] + WINDOW - 1
         some = data[ramps(at[again], lengths)]
         begin = np.cumsum(lengths) - lengths
-        longer, _ = window_keys(some, LONG_GRAM)
+        longer, _ = window_keys(some, longer_gram)
         head, count = runs(longer, begin, windows[again])
         owner = np.searchsorted(begin, head, side="right") - 1
         slots = ramps(where[again][owner] + head - begin[owner], count)
-        first[slots] = smallest_documents(some, longer[head], head, count, first[slots], LONG_GRAM)
+        first[slots] = smallest_documents(some, longer[head], head, count, first[slots], longer_gram)
     chosen = np.flatnonzero(np.repeat((number > 1) & ~large, number))
     for batch in lanes(keys, windows + WINDOW - 1, chosen):
         compare(batch, data, at, windows + WINDOW - 1, where, first)
@@ -469,7 +453,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, spans): byte ranges to remove from each document that has any, not yet
     merged. ``docs`` needs (doc, id, text); ``id`` is never null."""
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(Sieve(key_places(docs)))
+    table = context.broadcast(shared_keys(key_places(docs)))
     parts = scratch.keep(shared_parts(docs, table), "parts")
     once = parts.groupBy("part").agg(
         F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("bytes", True).alias("bytes")
