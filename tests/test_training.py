@@ -2,15 +2,18 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import oracles
 from conftest import docs_frame
 from themeloom import LDA, prepare_corpus
-from themeloom.functions.uniform import document_key, uniform
-from themeloom.operators import counts, sampling, state
+from themeloom.functions.uniform import document_key, document_keys, uniform, uniforms
+from themeloom.operators import buckets, counts, sampling, state
 from themeloom.plans import joins, training
+from themeloom.plans.layout import bucket_names
 from themeloom.plans.scratch import Scratch
 
 
@@ -153,13 +156,54 @@ def test_split_documents_change_nothing(corpus, two_sweeps, two_edge_sweeps):
     assert cells_of(model) == cells_of(two_edge_sweeps)
 
 
-def test_folded_weights_equal_unrolled_ones(corpus, two_sweeps, two_edge_sweeps, monkeypatch):
-    monkeypatch.setattr(sampling, "UNROLLED", 0)
-    monkeypatch.setattr(counts, "UNROLLED", 0)
-    model = LDA(k=4, iterations=2, alpha=0.3, beta=0.5, seed=1).fit(corpus.tokens, corpus.vocab)
-    assert tokens_of(model) == tokens_of(two_sweeps)
-    edge = LDA(k=4, iterations=2, alpha=1.3, beta=1.5, seed=1, mode="edge")
-    assert cells_of(edge.fit(corpus.tokens, corpus.vocab)) == cells_of(two_edge_sweeps)
+def test_copies_are_drawn_in_blocks_of_any_size(monkeypatch):
+    rng = np.random.default_rng(3)
+    sums = np.cumsum(rng.random((40, 6)), axis=1)
+    keys, terms = rng.integers(0, 1 << 63, 40).astype(np.uint64), rng.integers(0, 99, 40)
+    count = np.where(np.arange(40) == 7, 5000, rng.integers(0, 9, 40))
+    whole = sampling.drawn_copies(sums, keys, terms, count)
+    assert (whole.sum(axis=1) == count).all()
+    for cell in (0, 7, 39):
+        u = [uniform_of(int(keys[cell]), int(terms[cell]), i) for i in range(count[cell])]
+        told = Counter(python_draw(np.diff(np.append(0, sums[cell])), x) for x in u)
+        assert whole[cell].tolist() == [told[t] for t in range(6)]
+    monkeypatch.setattr(sampling, "BLOCK_CELLS", 1)
+    assert (sampling.drawn_copies(sums, keys, terms, count) == whole).all()
+
+
+def uniform_of(key, term, pos):
+    h = oracles.START
+    for value in (key, term, pos):
+        h = oracles.hash_step(value, h)
+    return (h >> 11) / float(1 << 53)
+
+
+def test_uniform_numbers_of_numpy():
+    docs = np.array([0, 5, 1 << 40, -3])
+    keys = document_keys(42, 3, docs)
+    places = np.array([0, 1, 1 << 33, 7])
+    found = uniforms(keys, np.array([0, 9, 1 << 35, 2]), places)
+    for i, term in enumerate((0, 9, 1 << 35, 2)):
+        assert found[i] == python_uniform(42, 3, int(docs[i]) % (1 << 64), term, int(places[i]))
+
+
+def test_sparse_counts():
+    rng = np.random.default_rng(4)
+    ids, topics = rng.integers(-5, 9, 300), rng.integers(0, 70, 300)
+    told = Counter(zip(ids.tolist(), topics.tolist()))
+    of_tokens = buckets.Counts.of_tokens(ids, topics, 70)
+    names = rng.permutation(np.unique(ids))
+    cells = [[n * 70 + t for (i, t), n in told.items() if i == name] for name in names]
+    sent = buckets.Counts.of_cells(names, pa.array(cells, pa.list_(pa.int64())), 70)
+    for found in (of_tokens, sent):
+        some = np.array([names[3], names[0], names[3]])
+        name, dense, row = found.rows(some)
+        assert name[row].tolist() == some.tolist()
+        assert {(int(name[i]), t): int(n) for (i, t), n in np.ndenumerate(dense) if n} == {
+            key: n for key, n in told.items() if key[0] in some
+        }
+    none = buckets.Counts.of_cells(np.zeros(0, int), pa.array([], pa.list_(pa.int64())), 3)
+    assert none.rows(np.zeros(0, int))[1].shape == (0, 3)
 
 
 def test_salted_term_join_changes_nothing(corpus, two_sweeps, monkeypatch):
@@ -172,7 +216,7 @@ def test_salted_term_join_changes_nothing(corpus, two_sweeps, monkeypatch):
 
 
 def test_huge_cells_change_nothing(corpus, two_edge_sweeps, monkeypatch):
-    for module in (state, sampling, training):
+    for module in (state, training):
         monkeypatch.setattr(module, "BLOCK", 3)
     edge = LDA(k=4, iterations=2, alpha=1.3, beta=1.5, seed=1, mode="edge")
     assert cells_of(edge.fit(corpus.tokens, corpus.vocab)) == cells_of(two_edge_sweeps)
@@ -231,7 +275,8 @@ def test_planted_topics_are_found(spark, scratch):
 
 
 def test_old_generations_are_removed(spark, corpus):
-    for keep, expected in ((True, {"state4", "state5"}), (False, {"state5"})):
+    last = {"state5", "state5-words"}
+    for keep, expected in ((True, last | {"state4"}), (False, last)):
         lda = LDA(
             k=2, iterations=5, alpha=0.3, beta=0.5, seed=1,
             checkpoint_interval=2, keep_last_checkpoint=keep,
@@ -257,20 +302,68 @@ def test_plans_do_not_grow(corpus):
     assert size(few) == size(many) == 1
 
 
-def test_sweep_plan(corpus, two_sweeps):
-    table, layout = two_sweeps.table, two_sweeps.layout
-    swept = sampling.gibbs_sweep(
-        table,
-        counts.topic_vector(table, ["term_id"], 4),
-        training.meet(counts.topic_vector(table, ["doc_id"], 4), layout),
-        two_sweeps.totals,
-        alpha=0.3, eta=0.5, vocab_size=30, seed=1, iteration=3,
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [4, 40, 1000])
+@pytest.mark.parametrize("vocab_size", [30, 10**9])
+def test_tokens_never_move(spark, corpus, two_sweeps, two_edge_sweeps, k, vocab_size):
+    """The side of the tokens has no exchange and no explode, whatever the sizes are."""
+    routes = two_sweeps.routes
+    words = spark.range(3).select(
+        F.col("id").cast("int").alias("term_id"), F.array_repeat(F.lit(1).cast("bigint"), k).alias("n")
     )
-    plan = swept._jdf.queryExecution().executedPlan().toString()
-    for forbidden in ("Python", "Cartesian", "NestedLoop", "Window", "Sort"):
-        assert forbidden not in plan
-    # The only shuffle is that of the counts by term.
-    assert plan.count("Exchange hashpartitioning") == 1
+    for model, sweep, vectors in (
+        (two_sweeps, sampling.gibbs_sweep, buckets.term_vectors(words, routes, k)),
+        (two_edge_sweeps, sampling.edge_sweep, buckets.no_vectors(routes)),
+    ):
+        plan = plan_of(
+            sweep(
+                model.table, vectors, [1] * k, alpha=1.3, eta=1.5, vocab_size=vocab_size, seed=1, iteration=3
+            )
+        )
+        lines = plan.splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "bucket#" in line and "doc_id" in line)
+        group = max(i for i, line in enumerate(lines[:scan]) if "FlatMapCoGroupsInArrow" in line)
+        assert "Bucketed: true" in lines[scan]
+        for line in lines[group + 1 : scan]:
+            assert "Exchange" not in line and "Generate" not in line and "Join" not in line
+        for forbidden in ("Cartesian", "NestedLoop", "Window"):
+            assert forbidden not in plan
+
+
+def test_every_partition_is_one_bucket(spark, two_sweeps):
+    for number in (1, 7, 100):
+        names = bucket_names(spark, number).collect()
+        assert sorted(r._slot for r in names) == list(range(number))
+    table = two_sweeps.table
+    found = table.select("bucket", F.spark_partition_id().alias("p"), F.input_file_name().alias("f")).distinct().collect()
+    assert len({r.bucket for r in found}) == len({r.f for r in found}) == len(found)
+
+
+@pytest.mark.parametrize("mode", ["collapsed", "edge"])
+@pytest.mark.parametrize("split", [10, 1 << 16])
+def test_metrics_of_every_sweep(corpus, mode, split):
+    def fit(iterations):
+        lda = LDA(
+            k=4, iterations=iterations, alpha=1.3, beta=1.5, seed=1, mode=mode, split_tokens=split, likelihood=True
+        )
+        return lda.fit(corpus.tokens, corpus.vocab)
+
+    three = fit(3)
+    rows = three.iteration_metrics().orderBy("iteration").collect()
+    assert [r.iteration for r in rows] == [1, 2, 3]
+    for i, row in enumerate(rows):
+        before, after = fit(i), fit(i + 1)
+        assert row.log_likelihood == pytest.approx(before.log_likelihood().first()[0], rel=1e-9)
+        if mode == "collapsed":
+            old = {t[:3]: t[3] for t in tokens_of(before)}
+            changed = sum(old[t[:3]] != t[3] for t in tokens_of(after))
+        else:
+            old = {c[:2]: c[2] for c in cells_of(before)}
+            changed = sum(max(n - o, 0) for c in cells_of(after) for n, o in zip(c[2], old[c[:2]]))
+        assert row.tokens_changed == changed > 0
 
 
 def test_parameters_are_checked():

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Up to this many topics, weights and their running sums are written out and
-# compiled; beyond it they are computed over matrices.
-UNROLLED = 16
 # Up to this many topics, one aggregate per topic is compiled.
 COUNTED = 64
 

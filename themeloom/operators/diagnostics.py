@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.operators.buckets import Bucket, by_bucket, column
 from themeloom.operators.counts import grain_keys, vector_sum
 from themeloom.plans.joins import lookup
 
@@ -84,6 +87,49 @@ def log_likelihood(
     )
 
 
+def bucket_likelihood(
+    table: DataFrame,
+    vectors: DataFrame,
+    totals: Sequence[int],
+    *,
+    alpha: float,
+    eta: float,
+    vocab_size: int,
+    smoothing: str = "mean",
+) -> DataFrame:
+    """``log_likelihood`` with counts of terms over all documents, of a state bucketed by
+    ``bucket`` that never moves: each bucket adds up its own part."""
+    if smoothing not in SMOOTHINGS:
+        raise ValueError(f"smoothing must be one of {SMOOTHINGS}, not {smoothing!r}")
+    k, less = len(totals), 1.0 if smoothing == "map" else 0.0
+    total, mass = np.array(totals, np.int64), float(vocab_size * eta)
+
+    def work(bucket: Bucket) -> pa.Table:
+        docs, terms = (column(bucket.rows, name) for name in ("doc_id", "term_id"))
+        count = column(bucket.rows, "cnt") if "cnt" in bucket.rows.column_names else np.ones(len(docs), np.int64)
+        of_terms, of_docs, found = bucket.terms(), bucket.documents(), 0.0
+        for part in bucket.blocks():
+            _, nw, term = of_terms.rows(terms[part])
+            _, nd, doc = of_docs.rows(docs[part])
+            # One product for each pair of a document and a term.
+            pair, at = np.unique(doc * len(nw) + term, return_inverse=True)
+            theta, phi = nd + alpha - less, (nw + eta - less) / (total + mass)
+            norm = np.abs(theta).sum(axis=1)
+            doc, term = pair // len(nw), pair % len(nw)
+            dot = (phi[term] * theta[doc]).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                logs = np.log(dot / np.where(norm == 0, 1.0, norm)[doc])
+            times = np.bincount(at, weights=count[part], minlength=len(pair))
+            found += float((times * logs).sum())
+        return pa.table({"log_likelihood": [found], "tokens": [int(count.sum())]})
+
+    parts = by_bucket(table, vectors, k, work, "log_likelihood DOUBLE, tokens BIGINT")
+    return parts.agg(
+        F.coalesce(F.sum("log_likelihood"), F.lit(0.0)).alias("log_likelihood"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"),
+    )
+
+
 def perplexity(likelihood: DataFrame, tokens: int | None = None) -> DataFrame:
     """One row: exp(-log likelihood / tokens); NULL for no tokens."""
     count = F.col("tokens") if tokens is None else F.lit(tokens)

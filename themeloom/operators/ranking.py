@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from themeloom.operators.buckets import Bucket, blocks_of, by_bucket, column, matrix
 from themeloom.operators.counts import spread, vector_sum
 from themeloom.operators.estimates import dense_words
-from themeloom.operators.sampling import Weight, weight_array
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
@@ -108,12 +110,45 @@ def top_topics_per_document(docs: DataFrame, topics: int) -> DataFrame:
     )
 
 
-def topic_assignments(cells: DataFrame, weight: Weight, k: int) -> DataFrame:
-    """Most likely topic of each (document, term) cell, the lowest one on ties:
-    (doc_id, term_id, topic)."""
-    weighted = cells.select("doc_id", "term_id", weight_array(weight, k).alias("_w"))
-    best = F.array_position("_w", F.array_max("_w")) - 1
-    return weighted.select("doc_id", "term_id", best.cast("int").alias("topic"))
+def topic_assignments(
+    table: DataFrame,
+    vectors: DataFrame,
+    totals: Sequence[int],
+    *,
+    alpha: float,
+    eta: float,
+    vocab_size: int,
+) -> DataFrame:
+    """Most likely topic of each (document, term), the lowest one on ties:
+    (doc_id, term_id, topic).
+
+    ``table`` is a state bucketed by ``bucket``. Of tokens the weight is that of the term
+    in all documents times that of the document; of cells, (doc_id, term_id, n), that of
+    the cell. Tokens of a term in several buckets give a row in each.
+    """
+    k = len(totals)
+    total, mass = np.array(totals, np.int64), vocab_size * eta
+    cells = "n" in table.columns
+
+    def work(bucket: Bucket) -> pa.Table:
+        docs, terms = (column(bucket.rows, name) for name in ("doc_id", "term_id"))
+        n = matrix(bucket.rows, "n", k) if cells else None
+        if not cells:
+            pairs = np.unique(np.stack([docs, terms.astype(np.int64)]), axis=1)
+            docs, terms = pairs[0], pairs[1].astype(terms.dtype)
+        of_docs, best = bucket.documents(), np.empty(len(docs), np.int32)
+        for part in blocks_of(len(docs), k):
+            _, nd, doc = of_docs.rows(docs[part])
+            if cells:
+                weights = (n[part] - 1 + eta) * ((nd - 1 + alpha) / (total - 1 + mass))[doc]
+            else:
+                _, nw, term = bucket.terms().rows(terms[part])
+                weights = ((nw + eta) / (total + mass))[term] * (nd + alpha)[doc]
+            best[part] = weights.argmax(axis=1)
+        return pa.table({"doc_id": docs, "term_id": terms, "topic": best})
+
+    kind = table.schema["term_id"].dataType.simpleString()
+    return by_bucket(table, vectors, k, work, f"doc_id BIGINT, term_id {kind}, topic INT")
 
 
 def assignment_arrays(assignments: DataFrame, vocab_size: int) -> DataFrame:

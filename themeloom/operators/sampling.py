@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,26 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.functions.uniform import document_key, uniform
-from themeloom.operators.counts import UNROLLED, topic_vector, vector_sum
-from themeloom.operators.state import BLOCK, cut_blocks
+from themeloom.functions.uniform import document_keys, uniforms
+from themeloom.operators.buckets import BLOCK_CELLS, Bucket, by_bucket, column, matrix, ramps, table_like
+from themeloom.operators.counts import vector_sum
 from themeloom.plans.joins import lookup
 
-# Rows whose weights are computed at a time beyond UNROLLED topics.
-ROWS = 4096
-
-
-@dataclass(frozen=True)
-class Weight:
-    """Weight of a topic, written twice: as SQL of one topic, a number or the name
-    of a variable, and over matrices (row, topic) of the columns it needs."""
-
-    sql: Callable[[int | str], str]
-    columns: tuple[str, ...]
-    values: Callable[..., np.ndarray]
-
-    def __call__(self, topic: int | str) -> str:
-        return self.sql(topic)
+# SQL of the weight of one topic, given the name of the variable that holds it.
+Weight = Callable[[str], str]
 
 
 def double(value: float) -> str:
@@ -42,8 +28,7 @@ def smoothed(counts: DataFrame, totals: Sequence[int], eta: float, vocab_size: i
     """Term factors of the collapsed weight from ``n`` ARRAY<BIGINT>.
 
     ``free`` holds (n + eta) / (total + V eta) and ``own`` the same without one
-    token, for the topic the token sits in. One division per term and topic
-    here saves one per token and topic in the sweep.
+    token, for the topic the token sits in.
     """
     total = F.lit(list(totals)).cast("array<bigint>")
     mass = F.lit(vocab_size * eta)
@@ -57,55 +42,21 @@ def smoothed(counts: DataFrame, totals: Sequence[int], eta: float, vocab_size: i
     return counts.select("*", factor(0).alias("free"), factor(1).alias("own")).drop("n")
 
 
-def unroll(rows: DataFrame, k: int, *names: str) -> DataFrame:
-    """Few topics: one column per entry of the named arrays, never NULL, so that
-    the weights compile to plain arithmetic. Many topics: unchanged."""
-    if k > UNROLLED:
-        return rows
-    others = [f"`{column}`" for column in rows.columns if column not in names]
-    slots = [
-        f"coalesce(get({name}, {topic}), 0) AS _{name}{topic}"
-        for name in names
-        for topic in range(k)
-    ]
-    return rows.selectExpr(*others, *slots)
-
-
-def entry(name: str, topic: int | str) -> str:
-    """Entry of an array that ``unroll`` may have turned into columns."""
-    return f"_{name}{topic}" if isinstance(topic, int) else f"get({name}, {topic})"
-
-
 def collapsed_weight(alpha: float) -> Weight:
     """Weight without the token itself; needs topic, free, own and nd.
 
     (n_wk - e + eta) / (n_k - e + V eta) * (n_dk - e + alpha), e = 1 for the
     token's topic and 0 elsewhere.
     """
-
-    def weight(topic: int | str) -> str:
-        own, free, nd = entry("own", topic), entry("free", topic), entry("nd", topic)
-        return (
-            f"CASE WHEN topic = {topic} THEN {own} * ({nd} - 1 + {double(alpha)})"
-            f" ELSE {free} * ({nd} + {double(alpha)}) END"
-        )
-
-    def values(own: np.ndarray, free: np.ndarray, nd: np.ndarray, topic: np.ndarray) -> np.ndarray:
-        found = free * (nd + alpha)
-        at = np.arange(len(topic)), topic
-        found[at] = own[at] * (nd[at] - 1 + alpha)
-        return found
-
-    return Weight(weight, ("own", "free", "nd", "topic"), values)
+    return lambda topic: (
+        f"CASE WHEN topic = {topic} THEN get(own, {topic}) * (get(nd, {topic}) - 1 + {double(alpha)})"
+        f" ELSE get(free, {topic}) * (get(nd, {topic}) + {double(alpha)}) END"
+    )
 
 
 def edge_weight(eta: float) -> Weight:
     """(N_wk - 1 + eta) times the document's factor; needs n and factor."""
-    return Weight(
-        lambda topic: f"({entry('n', topic)} - 1 + {double(eta)}) * {entry('factor', topic)}",
-        ("n", "factor"),
-        lambda n, factor: (n - 1 + eta) * factor,
-    )
+    return lambda topic: f"(get(n, {topic}) - 1 + {double(eta)}) * get(factor, {topic})"
 
 
 def edge_factors(
@@ -122,82 +73,11 @@ def edge_factors(
     return docs.select("*", factors.alias("factor")).drop("n")
 
 
-def cell_weight(alpha: float) -> Weight:
-    """Weight of a (document, term) cell: nothing is taken out; needs free and nd."""
-    return Weight(
-        lambda topic: f"{entry('free', topic)} * ({entry('nd', topic)} + {double(alpha)})",
-        ("free", "nd"),
-        lambda free, nd: free * (nd + alpha),
-    )
-
-
 def weight_array(weight: Weight, k: int) -> Column:
     """All k weights of a row as an array."""
-    if k <= UNROLLED:
-        return F.expr(f"array({', '.join(weight(topic) for topic in range(k))})")
     return F.expr(f"transform(sequence(0, {k - 1}), k -> {weight('k')})")
 
 
-def draw(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str], u: Column) -> DataFrame:
-    """``keep`` and the drawn ``topic``: the smallest topic whose running sum of
-    weights is above u times the sum of all weights.
-
-    Sums run from left to right. Few topics: one column per topic, compiled as
-    straight code, whose size grows with the square of their number. Many
-    topics: the same sums over matrices of ROWS tokens, in numpy.
-    """
-    rows = rows.withColumn("_u", u)
-    if k <= UNROLLED:
-        limits = thresholds(rows, weight, k, [*keep, "_u"])
-        marked = limits.withColumn("_mark", F.col("_u") * F.col(f"_c{k - 1}"))
-        return marked.select(*keep, first_above(k).alias("topic"))
-    return draw_in_batches(rows, weight, k, keep)
-
-
-def draw_in_batches(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str]) -> DataFrame:
-    """``draw`` over matrices; ``rows`` has the uniform number in ``_u``."""
-    needed = list(dict.fromkeys([*keep, "_u", *weight.columns]))
-    given = rows.select(*needed)
-    schema = T.StructType([*[given.schema[c] for c in keep], T.StructField("topic", T.IntegerType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            topics = []
-            for start in range(0, batch.num_rows, ROWS):
-                some = batch.slice(start, ROWS)
-                sums = np.cumsum(weight.values(*[values_of(some.column(c), k) for c in weight.columns]), axis=1)
-                mark = some.column("_u").to_numpy() * sums[:, -1]
-                topics.append(np.minimum((sums <= mark[:, None]).sum(axis=1), k - 1))
-            drawn = np.concatenate(topics) if topics else np.zeros(0, int)
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(drawn, pa.int32())], names=[*keep, "topic"]
-            )
-
-    return given.mapInArrow(work, schema)
-
-
-def values_of(column: pa.Array, k: int) -> np.ndarray:
-    """A column of numbers, or of arrays of k numbers as a matrix."""
-    if pa.types.is_list(column.type):
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-    return column.to_numpy(zero_copy_only=False)
-
-
-def thresholds(rows: DataFrame, weight: Weight, k: int, keep: Sequence[str]) -> DataFrame:
-    """Running sums ``_c0`` .. of the weights, as columns next to ``keep``."""
-    sums = [" + ".join(f"_w{topic}" for topic in range(last + 1)) for last in range(k)]
-    return rows.selectExpr(
-        *keep, *[f"{weight(topic)} AS _w{topic}" for topic in range(k)]
-    ).selectExpr(*keep, *[f"{total} AS _c{topic}" for topic, total in enumerate(sums)])
-
-
-def first_above(k: int) -> Column:
-    """Index of the first threshold above ``_mark``; the last topic if there is none."""
-    cases = " ".join(f"WHEN _c{topic} > _mark THEN {topic}" for topic in range(k - 1))
-    return F.expr(f"CASE {cases} ELSE {k - 1} END" if cases else "0")
-
-
 def join_counts(
     state: DataFrame,
     words: DataFrame,
@@ -210,34 +90,49 @@ def join_counts(
 ) -> DataFrame:
     """Puts the counts every weight needs next to the tokens: free, own, nd.
 
-    Documents are joined first, on the key the state is partitioned by. Terms
-    come by broadcast while vocabulary times topics is small enough; beyond
-    that the tokens are shuffled by term, frequent terms spread over salts.
+    Terms come by broadcast while vocabulary times topics is small enough; beyond
+    that the tokens are shuffled by term, frequent terms spread over salts. Sweeps
+    do without this join, see ``gibbs_sweep``.
     """
     k = len(totals)
-    vectors = docs.withColumnRenamed("n", "nd")
-    near = state.join(unroll(vectors, k, "nd"), list(doc_keys))
+    near = state.join(docs.withColumnRenamed("n", "nd"), list(doc_keys))
     counted = words.withColumn("_tokens", vector_sum("n"))
-    terms = unroll(smoothed(counted, totals, eta, vocab_size), k, "free", "own")
     return lookup(
         near,
-        terms,
+        smoothed(counted, totals, eta, vocab_size),
         "term_id",
         weight="_tokens",
         spread_by=["doc_id", "pos"],
-        table_bytes=term_bytes(vocab_size, k),
+        # Two doubles per topic, and the row.
+        table_bytes=vocab_size * (16 * k + 96),
     )
 
 
-def term_bytes(vocab_size: int, k: int) -> int:
-    """Memory of the term factors: two doubles per topic, and the row."""
-    return vocab_size * (16 * k + 96)
+def first_above(sums: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Of running sums (row, topic), the first topic above u times the whole sum; the
+    last one if there is none."""
+    mark = u * sums[:, -1]
+    return np.minimum((sums <= mark[:, None]).sum(axis=1), sums.shape[1] - 1)
+
+
+def log_shares(
+    nw: np.ndarray, nd: np.ndarray, total: np.ndarray, alpha: float, eta: float, mass: float
+) -> np.ndarray:
+    """Log probability of a token of each row under the smoothed counts of its term and
+    document."""
+    theta = nd + alpha
+    phi = (nw + eta) / (total + mass)
+    return np.log((phi * theta).sum(axis=1) / theta.sum(axis=1))
+
+
+def schema_with(rows: DataFrame, keep: Sequence[str], **more: T.DataType) -> T.StructType:
+    kept = [rows.schema[name] for name in keep]
+    return T.StructType([*kept, *[T.StructField(name, kind) for name, kind in more.items()]])
 
 
 def gibbs_sweep(
     state: DataFrame,
-    words: DataFrame,
-    docs: DataFrame,
+    vectors: DataFrame,
     totals: Sequence[int],
     *,
     alpha: float,
@@ -245,25 +140,55 @@ def gibbs_sweep(
     vocab_size: int,
     seed: int,
     iteration: int,
-    doc_keys: Sequence[str] = ("doc_id",),
+    likelihood: bool = False,
 ) -> DataFrame:
-    """New topic for every token, all drawn from the counts before the sweep
-    minus the token itself. Keeps the columns of ``state``; the old topic is
-    in ``_was``."""
-    keep = [column for column in state.columns if column != "topic"]
-    # The key sits with the documents: hashed once for each, and no number that
-    # changes from sweep to sweep gets into the code compiled for the tokens.
-    keyed = docs.withColumn("_key", document_key(seed, iteration, F.col("doc_id")))
-    rows = join_counts(
-        state, words, keyed, totals, eta=eta, vocab_size=vocab_size, doc_keys=doc_keys
-    ).withColumn("_was", F.col("topic"))
-    u = uniform(F.col("_key"), F.col("term_id"), F.col("pos"))
-    return draw(rows, collapsed_weight(alpha), len(totals), [*keep, "_was"], u)
+    """New topic for every token, all drawn from the counts before the sweep minus the
+    token itself.
+
+    ``state`` is a table bucketed by ``bucket``, ``vectors`` what ``term_vectors`` makes
+    of its counts, with those of split documents. Keeps the columns of ``state``; the
+    old topic is in ``_was``. With ``likelihood``, ``_log`` holds the log probability of
+    each token under the counts before the sweep.
+
+    Sums of weights run from left to right, and the smallest topic whose sum is above u
+    times the whole sum is drawn.
+    """
+    k = len(totals)
+    keep = [name for name in state.columns if name != "topic"]
+    more = {"topic": T.IntegerType(), "_was": T.IntegerType()}
+    if likelihood:
+        more["_log"] = T.DoubleType()
+    total, mass = np.array(totals, np.int64), vocab_size * eta
+
+    def work(bucket: Bucket) -> pa.Table:
+        rows = bucket.rows
+        docs, terms, pos = (column(rows, name) for name in ("doc_id", "term_id", "pos"))
+        was = column(rows, "topic").astype(np.int64)
+        of_terms, of_docs = bucket.terms(), bucket.documents()
+        new, logs = np.empty(len(was), np.int32), np.empty(len(was) if likelihood else 0)
+        for part in bucket.blocks():
+            _, nw, term = of_terms.rows(terms[part])
+            names, nd, doc = of_docs.rows(docs[part])
+            own, at = was[part], np.arange(len(was[part]))
+            weights = ((nw + eta) / (total + mass))[term] * (nd + alpha)[doc]
+            weights[at, own] = (
+                (nw[term, own] - 1 + eta) / (total[own] - 1 + mass) * (nd[doc, own] - 1 + alpha)
+            )
+            u = uniforms(document_keys(seed, iteration, names)[doc], terms[part], pos[part])
+            new[part] = first_above(np.cumsum(weights, axis=1), u)
+            if likelihood:
+                logs[part] = log_shares(nw[term], nd[doc], total, alpha, eta, mass)
+        found = {"topic": pa.array(new), "_was": pa.array(was.astype(np.int32))}
+        if likelihood:
+            found["_log"] = pa.array(logs)
+        return table_like(rows, keep, **found)
+
+    return by_bucket(state, vectors, k, work, schema_with(state, keep, **more))
 
 
 def edge_sweep(
     cells: DataFrame,
-    docs: DataFrame,
+    vectors: DataFrame,
     totals: Sequence[int],
     *,
     alpha: float,
@@ -271,49 +196,68 @@ def edge_sweep(
     vocab_size: int,
     seed: int,
     iteration: int,
-    doc_keys: Sequence[str] = ("doc_id",),
-    largest: int = BLOCK,
+    likelihood: bool = False,
 ) -> DataFrame:
     """New topic counts ``n`` for every (document, term) cell.
 
-    All tokens of a cell are drawn from the same weights, so a cell is one row
-    and its thresholds are computed once. ``largest`` is the largest token
-    count of a cell: above one block, huge cells are expanded on their own,
-    spread over the tasks by block.
+    All tokens of a cell are drawn from the same weights, so its thresholds are made
+    once and all its uniform numbers are held against them; copies are never rows, and
+    no more than a block of them is in memory. ``_moved`` counts the tokens by which
+    the new counts differ from the old. ``vectors`` are those of split documents, and,
+    for ``likelihood``, of terms: ``_log`` then is the log probability of the cell under
+    the counts before the sweep.
     """
     if alpha <= 1 or eta <= 1:
         raise ValueError("edge sampling needs alpha > 1 and eta > 1")
     k = len(totals)
-    keys = [*doc_keys, "term_id"]
-    keyed = docs.withColumn("_key", document_key(seed, iteration, F.col("doc_id")))
-    factors = unroll(edge_factors(keyed, totals, alpha, eta, vocab_size), k, "factor")
-    near = unroll(cells, k, "n").join(factors, list(doc_keys))
-    if largest <= BLOCK:
-        return _redraw(one_block(near), eta, keys, k)
-    small = one_block(near.filter(F.col("cnt") <= BLOCK))
-    huge = cut_blocks(near.filter(F.col("cnt") > BLOCK))
-    return _redraw(small, eta, keys, k).unionByName(_redraw(huge, eta, keys, k))
-
-
-def one_block(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("_first", F.lit(0).cast("bigint")).withColumn(
-        "_last", F.col("cnt") - 1
-    )
-
-
-def _redraw(cells: DataFrame, eta: float, keys: Sequence[str], k: int) -> DataFrame:
-    """Draws the copies ``_first`` .. ``_last`` of each cell and counts them again."""
-    weight = edge_weight(eta)
-    u = uniform(F.col("_key"), F.col("term_id"), F.col("pos"))
-    copies = F.explode(F.sequence("_first", "_last")).alias("pos")
-    if k <= UNROLLED:
-        limits = thresholds(cells, weight, k, [*keys, "_key", "_first", "_last"])
-        rows = limits.select("*", copies).withColumn("_mark", u * F.col(f"_c{k - 1}"))
-        drawn = rows.select(*keys, first_above(k).alias("topic"))
-    else:
-        rows = cells.select("*", copies)
-        drawn = draw(rows, weight, k, [*keys, "pos"], u).select(*keys, "topic")
-    return topic_vector(drawn, keys, k).withColumn("cnt", vector_sum("n"))
+    keep = [name for name in cells.columns if name != "n"]
+    more = {"n": T.ArrayType(T.LongType()), "_moved": T.LongType()}
+    if likelihood:
+        more["_log"] = T.DoubleType()
+    total, mass = np.array(totals, np.int64), vocab_size * eta
+
+    def work(bucket: Bucket) -> pa.Table:
+        rows = bucket.rows
+        docs, terms, count = (column(rows, name) for name in ("doc_id", "term_id", "cnt"))
+        old, of_docs = matrix(rows, "n", k), bucket.documents()
+        new, logs = np.zeros_like(old), np.empty(len(old) if likelihood else 0)
+        for part in bucket.blocks():
+            names, nd, doc = of_docs.rows(docs[part])
+            factor = (nd - 1 + alpha) / (total - 1 + mass)
+            sums = np.cumsum((old[part] - 1 + eta) * factor[doc], axis=1)
+            keys = document_keys(seed, iteration, names)[doc]
+            new[part] = drawn_copies(sums, keys, terms[part], count[part])
+            if likelihood:
+                _, nw, term = bucket.terms().rows(terms[part])
+                logs[part] = count[part] * log_shares(nw[term], nd[doc], total, alpha, eta, mass)
+        offsets = pa.array(np.arange(len(new) + 1, dtype=np.int32) * k)
+        found = {
+            "n": pa.ListArray.from_arrays(offsets, pa.array(new.ravel())),
+            "_moved": pa.array(np.maximum(new - old, 0).sum(axis=1)),
+        }
+        if likelihood:
+            found["_log"] = pa.array(logs)
+        return table_like(rows, keep, **found)
+
+    return by_bucket(cells, vectors, k, work, schema_with(cells, keep, **more))
+
+
+def drawn_copies(sums: np.ndarray, keys: np.ndarray, terms: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts by topic of the copies 0 .. count - 1 of cells with running sums of weights."""
+    k = sums.shape[1]
+    ends = np.cumsum(count)
+    found = np.zeros(len(count) * k, np.int64)
+    step = max(64, BLOCK_CELLS // k)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, step):
+        stop = min(start + step, int(ends[-1]))
+        first, last = np.searchsorted(ends, [start, stop - 1], side="right")
+        low = np.maximum(start - (ends - count)[first : last + 1], 0)
+        high = np.minimum(stop - (ends - count)[first : last + 1], count[first : last + 1])
+        cell = np.repeat(np.arange(first, last + 1), high - low)
+        u = uniforms(keys[cell], terms[cell], ramps(low, high - low))
+        topic = first_above(sums[cell], u)
+        found += np.bincount(cell * k + topic, minlength=len(found))
+    return found.reshape(-1, k)
 
 
 def topic_weights(

@@ -8,13 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tokens per bucket aimed at, and Spark's default limit of buckets per table.
-BUCKET_TOKENS = 16_000_000
-MAX_BUCKETS = 100_000
+# Memory of the rows of a bucket aimed at, which a task holds at once.
+BUCKET_BYTES = 160 * 1024 * 1024
+# Memory of a token; of an (document, term) cell that is and 16 bytes a topic.
+TOKEN_BYTES = 80
 # Documents below this many tokens are never split.
 SPLIT_TOKENS = 1 << 16
-# A hash join builds the documents of one bucket in memory up to this size.
-HASH_BYTES = 64 * 1024 * 1024
+# Candidates looked through for each name of a bucket.
+CANDIDATES = 32
 
 
 @dataclass(frozen=True)
@@ -24,20 +25,21 @@ class Layout:
     buckets: int
     share: int
     split: bool
-    hash_join: bool
     tokens: int
     documents: int
 
     @property
-    def keys(self) -> list[str]:
-        return ["doc_id", "chunk"] if self.split else ["doc_id"]
+    def doc_keys(self) -> list[str]:
+        """What the rows of a document have in common; with the bucket in it, grouping
+        by them needs no shuffle."""
+        return ["doc_id"] if self.split else ["bucket", "doc_id"]
 
 
 def plan_layout(
     spark: SparkSession,
     lengths: DataFrame,
-    k: int,
-    bucket_tokens: int = BUCKET_TOKENS,
+    row_bytes: int = TOKEN_BYTES,
+    bucket_tokens: int | None = None,
     split_tokens: int = SPLIT_TOKENS,
 ) -> Layout:
     """Layout for documents with lengths (doc_id, n)."""
@@ -45,25 +47,28 @@ def plan_layout(
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))
     ).first()
     tokens, longest = int(tokens), int(longest)
-    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(tokens / bucket_tokens))
-    buckets = min(buckets, MAX_BUCKETS)
+    per_bucket = bucket_tokens or max(1, BUCKET_BYTES // row_bytes)
+    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(tokens / per_bucket))
     share = max(math.ceil(tokens / buckets), split_tokens)
     return Layout(
-        buckets=buckets,
-        share=share,
-        split=longest > share,
-        # Twice the mean, as documents are not dealt out evenly.
-        hash_join=2 * documents / buckets * (8 * k + 64) <= HASH_BYTES,
-        tokens=tokens,
-        documents=documents,
+        buckets=buckets, share=share, split=longest > share, tokens=tokens, documents=documents
     )
 
 
+def bucket_names(spark: SparkSession, buckets: int) -> DataFrame:
+    """(_slot, bucket) for each slot: a number that Spark's partitioning by hash puts
+    there, so every partition of a bucketed table is one bucket."""
+    numbers = spark.range(CANDIDATES * buckets + 64)
+    slot = F.pmod(F.hash("id"), F.lit(buckets)).alias("_slot")
+    return numbers.groupBy(slot).agg(F.min("id").alias("bucket"))
+
+
 def place(tokens: DataFrame, lengths: DataFrame, layout: Layout, by: list[str]) -> DataFrame:
-    """Adds ``chunk`` and partitions tokens by the keys of the layout.
+    """Adds ``chunk`` and ``bucket``, and brings the tokens to their buckets.
 
     Only documents above a bucket's share are cut, by a hash of ``by``. There
-    are fewer of them than buckets, so their list can be broadcast.
+    are fewer of them than buckets, so their list can be broadcast, as can the list
+    of the buckets.
     """
     if not layout.split:
         chunked = tokens.withColumn("chunk", F.lit(0))
@@ -81,9 +86,7 @@ def place(tokens: DataFrame, lengths: DataFrame, layout: Layout, by: list[str])
             )
             .drop("_chunks")
         )
-    return chunked.repartition(layout.buckets, *layout.keys)
-
-
-def meet(vectors: DataFrame, layout: Layout) -> DataFrame:
-    """Hint for the join of one bucket's documents with its tokens."""
-    return vectors.hint("shuffle_hash") if layout.hash_join else vectors
+    slot = F.pmod(F.xxhash64("doc_id", "chunk"), F.lit(layout.buckets)).cast("int")
+    names = bucket_names(tokens.sparkSession, layout.buckets)
+    placed = chunked.withColumn("_slot", slot).join(F.broadcast(names), "_slot").drop("_slot")
+    return placed.repartition(layout.buckets, "bucket")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.operators import counts, diagnostics, estimates, ranking, sampling
+from themeloom.operators.buckets import document_vectors, no_vectors, term_vectors
 from themeloom.operators.state import expand_cells
-from themeloom.plans.layout import Layout, meet
+from themeloom.plans.layout import Layout
 from themeloom.plans.scratch import Scratch
 
 
@@ -32,8 +33,9 @@ class LdaModel:
         vocab_size: int,
         table: DataFrame,
         totals: list[int],
-        history: list[tuple[int, float, int | None]],
+        history: list[tuple[int, float, int, float | None]],
         words: DataFrame | None = None,
+        routes: DataFrame | None = None,
     ) -> None:
         self.spark = spark
         self.scratch = scratch
@@ -50,6 +52,7 @@ class LdaModel:
         self.totals = totals
         self.history = history
         self._words = words
+        self._routes = routes
 
     # -- state and counts ------------------------------------------------------
 
@@ -57,7 +60,7 @@ class LdaModel:
     def state(self) -> DataFrame:
         """Topic of every token, (doc_id, pos, term_id, topic); in edge mode the
         counts of every cell, (doc_id, term_id, cnt, n)."""
-        return self.table.drop("chunk")
+        return self.table.drop("bucket", "chunk")
 
     @property
     def tokens(self) -> DataFrame:
@@ -77,26 +80,40 @@ class LdaModel:
     @cached_property
     def docs(self) -> DataFrame:
         """(doc_id, n ARRAY): tokens of each document by topic."""
-        if self.mode == "edge":
-            return counts.add_vectors(self.table, ["doc_id"], self.k)
-        return counts.topic_vector(self.table, ["doc_id"], self.k)
+        counted = counts.add_vectors if self.mode == "edge" else counts.topic_vector
+        return counted(self.table, self.layout.doc_keys, self.k).select("doc_id", "n")
 
     @cached_property
     def cells(self) -> DataFrame:
-        """(doc_id, [chunk,] term_id, cnt, n ARRAY): tokens of each term in each document."""
+        """(doc_id, term_id, cnt, n ARRAY): tokens of each term in each document."""
         if self.mode == "edge":
-            return self.table
-        return counts.topic_vector(self.table, ["doc_id", "term_id"], self.k).withColumn(
-            "cnt", counts.vector_sum("n")
+            return self.state
+        keys = [*self.layout.doc_keys, "term_id"]
+        return counts.topic_vector(self.table, keys, self.k).select(
+            "doc_id", "term_id", counts.vector_sum("n").alias("cnt"), "n"
         )
 
+    @cached_property
+    def routes(self) -> DataFrame:
+        """(term_id, bucket): the terms that each bucket holds."""
+        if self._routes is not None:
+            return self._routes
+        return self.scratch.keep_routes(self.table, "model_routes", "term_id")
+
+    def vectors(self, terms: bool = True) -> DataFrame:
+        """The count vectors that every bucket of the table needs."""
+        sent = term_vectors(self.words, self.routes, self.k) if terms else no_vectors(self.table)
+        if not self.layout.split:
+            return sent
+        places = self.table.groupBy("bucket", "doc_id").agg(F.lit(0).alias("_"))
+        return sent.unionByName(document_vectors(self.docs, places.drop("_"), self.k))
+
     def edge_rows(self) -> DataFrame:
         """Cells with what the edge weight needs: n and factor."""
         factors = sampling.edge_factors(
             self.docs, self.totals, self.alpha, self.eta, self.vocab_size
         )
-        near = self.cells.join(meet(factors, self.layout), "doc_id")
-        return sampling.unroll(near, self.k, "n", "factor")
+        return self.cells.join(factors, "doc_id")
 
     def word_topic_counts(self, grain: str = "term") -> DataFrame:
         keys = counts.grain_keys(grain)
@@ -139,20 +156,13 @@ class LdaModel:
 
     def topic_assignments(self) -> DataFrame:
         """Most likely topic of each (document, term): (doc_id, term_id, topic)."""
-        if self.mode == "edge":
-            weight = sampling.edge_weight(self.eta)
-            cells = self.edge_rows()
-        else:
-            weight = sampling.cell_weight(self.alpha)
-            cells = sampling.join_counts(
-                self.cells.select("doc_id", "term_id", F.col("term_id").alias("pos")),
-                self.words,
-                meet(self.docs, self.layout),
-                self.totals,
-                eta=self.eta,
-                vocab_size=self.vocab_size,
-            )
-        return ranking.topic_assignments(cells, weight, self.k)
+        edge = self.mode == "edge"
+        found = ranking.topic_assignments(
+            self.table, self.vectors(terms=not edge), self.totals, alpha=self.alpha, eta=self.eta,
+            vocab_size=self.vocab_size,
+        )
+        # The tokens of a term in a split document may lie in several buckets.
+        return found.distinct() if self.layout.split and not edge else found
 
     def assignment_arrays(self) -> DataFrame:
         return ranking.assignment_arrays(self.topic_assignments(), self.vocab_size)
@@ -181,10 +191,15 @@ class LdaModel:
         )
 
     def _likelihood(self, smoothing: str, grain: str) -> DataFrame:
+        if grain == "term":
+            return diagnostics.bucket_likelihood(
+                self.table, self.vectors(), self.totals, alpha=self.alpha, eta=self.eta,
+                vocab_size=self.vocab_size, smoothing=smoothing,
+            )
         return diagnostics.log_likelihood(
             self.cells,
             self.words,
-            meet(self.docs, self.layout),
+            self.docs,
             self.totals,
             alpha=self.alpha,
             eta=self.eta,
@@ -194,9 +209,15 @@ class LdaModel:
         )
 
     def iteration_metrics(self) -> DataFrame:
-        """One row per sweep: (iteration, seconds, tokens_changed)."""
+        """One row per sweep: (iteration, seconds, tokens_changed, log_likelihood).
+
+        In edge mode the tokens of a cell have no names, and those count as changed by
+        which its counts differ. The likelihood is that of the state before the sweep,
+        and NULL unless the training was asked for it.
+        """
         return self.spark.createDataFrame(
-            self.history, "iteration INT, seconds DOUBLE, tokens_changed BIGINT"
+            self.history,
+            "iteration INT, seconds DOUBLE, tokens_changed BIGINT, log_likelihood DOUBLE",
         )
 
     def release(self) -> None:

@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,10 +49,10 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/themeloom-{self.run}"
         self._tables: set[str] = set()
 
-    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+    def keep(self, rows: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write rows as Parquet and read them back."""
         path = f"{self.root}/{name}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(path, compression=compression)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def keep_bucketed(
@@ -63,7 +64,11 @@ class Scratch:
         sort by bucket is needed; later scans keep the partitioning.
         """
         table = f"themeloom_{self.run}_{name}"
-        with session_setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "4"):
+        most = str(max(buckets, 100_000))
+        with (
+            session_setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "4"),
+            session_setting(self.spark, "spark.sql.sources.bucketing.maxBuckets", most),
+        ):
             (
                 rows.write.format("parquet")
                 .mode("overwrite")
@@ -74,6 +79,12 @@ class Scratch:
         self._tables.add(name)
         return self.spark.table(table)
 
+    def keep_routes(self, state: DataFrame, name: str, key: str) -> DataFrame:
+        """(key, bucket): the buckets that hold a key, bucketed by the key."""
+        held = state.groupBy("bucket", key).agg(F.lit(0).alias("_")).select(key, "bucket")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.keep_bucketed(held.repartition(parts, key), name, parts, [key])
+
     def drop(self, name: str) -> None:
         """Forget a table and delete its files."""
         if name in self._tables:

@@ -9,12 +9,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from themeloom.operators.buckets import document_vectors, no_vectors, term_vectors
 from themeloom.operators.counts import add_vectors, doc_lengths, topic_vector
-from themeloom.operators.sampling import edge_sweep, gibbs_sweep, term_bytes
+from themeloom.operators.sampling import edge_sweep, gibbs_sweep
 from themeloom.operators.state import BLOCK, expand_bag, init_assignments, init_cells
 from themeloom.operators.vocabulary import count_vectorize
-from themeloom.plans.joins import can_broadcast
-from themeloom.plans.layout import BUCKET_TOKENS, SPLIT_TOKENS, Layout, meet, place, plan_layout
+from themeloom.plans.layout import SPLIT_TOKENS, TOKEN_BYTES, Layout, place, plan_layout
 from themeloom.plans.model import LdaModel
 from themeloom.plans.scratch import Scratch
 
@@ -42,7 +42,12 @@ class LDA:
     Every sweep reads one generation of the state and writes the next to the
     shared folder, so plans stay small and a lost executor costs a re-read.
     Every ``checkpoint_interval``-th generation is kept until the next one of
-    its kind; -1 keeps none.
+    its kind; -1 keeps none. The counts by term of the last generation are kept
+    with it, as ``state<n>-words``, and so is the table ``routes`` of the terms of
+    each bucket; of earlier generations no counts stay.
+
+    With ``likelihood`` every sweep also reports the log likelihood of the state it
+    starts from.
     """
 
     def __init__(
@@ -55,8 +60,9 @@ class LDA:
         checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
         keep_last_checkpoint: bool = True,
         mode: str = "collapsed",
-        bucket_tokens: int = BUCKET_TOKENS,
+        bucket_tokens: int | None = None,
         split_tokens: int = SPLIT_TOKENS,
+        likelihood: bool = False,
     ) -> None:
         if k <= 0:
             raise ValueError(f"the number of topics must be positive, not {k}")
@@ -81,6 +87,7 @@ class LDA:
         self.mode = mode
         self.bucket_tokens = bucket_tokens
         self.split_tokens = split_tokens
+        self.likelihood = likelihood
 
     def fit(self, tokens: DataFrame, vocab: DataFrame, vocab_size: int | None = None) -> LdaModel:
         """Train on encoded tokens (doc_id, pos, term_id).
@@ -112,72 +119,44 @@ class LDA:
         return self._collapsed(run, layout, tokens)
 
     def _layout(self, run: _Run, lengths: DataFrame) -> Layout:
-        return plan_layout(run.spark, lengths, self.k, self.bucket_tokens, self.split_tokens)
+        row_bytes = TOKEN_BYTES + (16 * self.k if self.mode == "edge" else 0)
+        return plan_layout(run.spark, lengths, row_bytes, self.bucket_tokens, self.split_tokens)
 
     def _collapsed(self, run: _Run, layout: Layout, placed: DataFrame) -> LdaModel:
         k = self.k
         first = (
             init_assignments(placed, k, self.seed)
             .sortWithinPartitions("doc_id", "pos")
-            .select("doc_id", "chunk", "pos", "term_id", "topic")
+            .select("bucket", "doc_id", "chunk", "pos", "term_id", "topic")
         )
 
         def by_term(state: DataFrame) -> DataFrame:
             return topic_vector(state, ["term_id"], k)
 
-        def step(
-            state: DataFrame, words: DataFrame, counted: list[int], iteration: int
-        ) -> DataFrame:
-            swept = gibbs_sweep(
-                state,
-                words,
-                meet(whole_documents(topic_vector(state, layout.keys, k), layout, k), layout),
-                counted,
-                alpha=self.alpha,
-                eta=self.eta,
-                vocab_size=run.vocab_size,
-                seed=self.seed,
-                iteration=iteration,
-                doc_keys=layout.keys,
-            )
-            swept = swept.select("doc_id", "chunk", "pos", "term_id", "topic", "_was")
-            if can_broadcast(term_bytes(run.vocab_size, k)):
-                return swept
-            # The join by term took the tokens away from their buckets.
-            return swept.repartition(layout.buckets, *layout.keys)
+        def by_document(state: DataFrame) -> DataFrame:
+            return topic_vector(state, ["doc_id"], k)
 
-        changed = F.count_if(F.col("topic") != F.col("_was"))
-        return run.train(first, layout, by_term, step, changed)
+        changed = F.coalesce(F.count_if(F.col("topic") != F.col("_was")), F.lit(0))
+        return run.train(first, layout, by_term, by_document, gibbs_sweep, changed)
 
     def _edge(self, run: _Run, layout: Layout, placed: DataFrame, largest: int) -> LdaModel:
         k = self.k
-        columns = ["doc_id", "chunk", "term_id", "cnt", "n"]
-        first = init_cells(placed, k, self.seed, largest)
-
-        def back(cells: DataFrame) -> DataFrame:
-            """Counts of huge cells come from all over; bring them home."""
-            return cells.repartition(layout.buckets, *layout.keys) if largest > BLOCK else cells
-
-        def step(
-            cells: DataFrame, words: DataFrame | None, counted: list[int], iteration: int
-        ) -> DataFrame:
-            swept = edge_sweep(
-                cells,
-                meet(whole_documents(add_vectors(cells, layout.keys, k), layout, k), layout),
-                counted,
-                alpha=self.alpha,
-                eta=self.eta,
-                vocab_size=run.vocab_size,
-                seed=self.seed,
-                iteration=iteration,
-                doc_keys=layout.keys,
-                largest=largest,
-            )
-            if not layout.split:
-                swept = swept.withColumn("chunk", F.lit(0))
-            return back(swept.select(*columns))
+        columns = ["bucket", "doc_id", "chunk", "term_id", "cnt", "n"]
+        first = init_cells(placed, k, self.seed, largest).select(*columns)
+        if largest > BLOCK:
+            # Counts of huge cells come from all over.
+            first = first.repartition(layout.buckets, "bucket")
 
-        return run.train(back(first.select(*columns)), layout, None, step, None)
+        def by_term(cells: DataFrame) -> DataFrame:
+            return add_vectors(cells, ["term_id"], k)
+
+        def by_document(cells: DataFrame) -> DataFrame:
+            return add_vectors(cells, ["doc_id"], k)
+
+        moved = F.coalesce(F.sum("_moved"), F.lit(0))
+        return run.train(
+            first, layout, by_term if self.likelihood else None, by_document, edge_sweep, moved
+        )
 
 
 class _Run:
@@ -197,14 +176,23 @@ class _Run:
         first: DataFrame,
         layout: Layout,
         by_term: Callable[[DataFrame], DataFrame] | None,
-        step: Callable[[DataFrame, DataFrame | None, list[int], int], DataFrame],
-        changed: Column | None,
+        by_document: Callable[[DataFrame], DataFrame],
+        sweep: Callable[..., DataFrame],
+        changed: Column,
     ) -> LdaModel:
         """``by_term`` counts a state by term; None if sweeps do not need that."""
         lda = self.lda
         kept: list[str] = []
-        history: list[tuple[int, float, int | None]] = []
-        state, words, counted, _ = self._store(first, "state0", layout, by_term, None)
+        history: list[tuple[int, float, int, float | None]] = []
+        state, words, counted, _ = self._store(first, "state0", layout, by_term, {})
+        routes = places = None
+        if by_term is not None:
+            routes = self.scratch.keep_routes(state, "routes", "term_id")
+        if layout.split:
+            places = self.scratch.keep_routes(state, "places", "doc_id")
+        watched = {"changed": changed}
+        if lda.likelihood:
+            watched["likelihood"] = F.coalesce(F.sum("_log"), F.lit(0.0))
         name = "state0"
         rolling: list[str] = [name]
         for iteration in range(1, lda.iterations + 1):
@@ -213,9 +201,17 @@ class _Run:
             checkpoint = every > 0 and iteration % every == 0
             name = f"state{iteration}"
             before = f"state{iteration - 1}-words"
-            state, words, counted, moved = self._store(
-                step(state, words, counted, iteration), name, layout, by_term, changed
-            )
+            vectors = no_vectors(state)
+            if routes is not None:
+                vectors = term_vectors(words, routes, lda.k)
+            if places is not None:
+                whole = document_vectors(by_document(state), places, lda.k)
+                vectors = whole if routes is None else vectors.unionByName(whole)
+            swept = sweep(
+                state, vectors, counted, alpha=lda.alpha, eta=lda.eta, vocab_size=self.vocab_size,
+                seed=lda.seed, iteration=iteration, likelihood=lda.likelihood,
+            )
+            state, words, counted, seen = self._store(swept, name, layout, by_term, watched)
             self.scratch.drop(before)
             if checkpoint:
                 kept.append(name)
@@ -226,10 +222,11 @@ class _Run:
                 rolling.append(name)
             while len(rolling) > GENERATIONS - 1:
                 self.scratch.drop(rolling.pop(0))
-            history.append((iteration, time.monotonic() - started, moved))
+            history.append((iteration, time.monotonic() - started, seen["changed"], seen.get("likelihood")))
         for old in rolling + ([] if lda.keep_last_checkpoint else kept):
             if old != name:
                 self.scratch.drop(old)
+        self.scratch.drop("places")
         return LdaModel(
             spark=self.spark,
             scratch=self.scratch,
@@ -246,6 +243,7 @@ class _Run:
             totals=counted,
             history=history,
             words=words,
+            routes=routes,
         )
 
     def _store(
@@ -254,33 +252,20 @@ class _Run:
         name: str,
         layout: Layout,
         by_term: Callable[[DataFrame], DataFrame] | None,
-        changed: Column | None,
-    ) -> tuple[DataFrame, DataFrame | None, list[int], int | None]:
+        watched: dict[str, Column],
+    ) -> tuple[DataFrame, DataFrame | None, list[int], dict]:
         """Write one generation, and the counts by term that the next sweep and the
-        totals are taken from."""
+        totals are taken from. What is watched is seen by the job that writes."""
         watch = Observation(name)
-        watched = rows if changed is None else rows.observe(watch, changed.alias("changed"))
+        if watched:
+            rows = rows.observe(watch, *[value.alias(column) for column, value in watched.items()])
         table = self.scratch.keep_bucketed(
-            watched.drop("_was"), name, layout.buckets, layout.keys
+            rows.drop("_was", "_moved", "_log"), name, layout.buckets, ["bucket"]
         )
         words = None if by_term is None else self.scratch.keep(by_term(table), f"{name}-words")
         totals = add_vectors(table if words is None else words, [], self.lda.k)
         counted = [int(n) for n in totals.first()["n"]]
-        return table, words, counted, None if changed is None else watch.get["changed"]
-
-
-def whole_documents(vectors: DataFrame, layout: Layout, k: int) -> DataFrame:
-    """Topic counts of each document next to each of its chunks.
-
-    Without split documents a bucket already holds all of a document. The
-    chunks of split ones are added up and handed back, one small row each.
-    """
-    if not layout.split:
-        return vectors
-    whole = add_vectors(vectors, ["doc_id"], k, F.max("chunk").alias("_last"))
-    return whole.select(
-        "doc_id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("chunk"), "n"
-    ).repartition(layout.buckets, "doc_id", "chunk")
+        return table, words, counted, watch.get if watched else {}
 
 
 def symmetric(alpha: float | Sequence[float], k: int) -> float:
