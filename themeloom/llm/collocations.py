@@ -31,8 +31,8 @@ DEPTH, MIN_COUNT = 3, 10
 PERCENT = 50
 # Phrases reported of each language, and the factor of their score.
 TOP, SCALE = 2000, 1_000_000
-# Words of a shard, about, and bytes of text split at a time.
-SHARD, PIECE = 1 << 20, 1 << 20
+# Words of a shard, about.
+SHARD = 1 << 18
 UNDETERMINED = "und"
 
 # Pieces end at . , ; : ! ? and at bytes 10 to 13, words at spaces and

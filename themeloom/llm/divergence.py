@@ -241,8 +241,11 @@ class Forest:
         for children in reversed(self.children):
             (left, right), (low, high) = children[:, pairs[1]], children[:, pairs[2]]
             below = np.concatenate([np.stack([pairs[0], left, low]), np.stack([pairs[0], right, high])], axis=1)
-            pairs, back = np.unique(below, axis=1, return_inverse=True)
-            steps.append(back.reshape(-1))
+            # Three numbers in one, which is below trees * nodes * nodes.
+            ones, twos = int(below[1].max()) + 1, int(below[2].max()) + 1
+            codes, back = np.unique((below[0] * ones + below[1]) * twos + below[2], return_inverse=True)
+            pairs = np.stack([codes // twos // ones, codes // twos % ones, codes % twos])
+            steps.append(back)
         p, q = self.shares[tree, pairs[1]], self.shares[others[pairs[0]], pairs[2]]
         found = np.where(pairs[1] == self.nothing, 0, (p - q) ** 2 // np.maximum(p + q, 1))
         for back in reversed(steps):

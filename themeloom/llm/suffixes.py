@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.llm.grouping import Texts, suffix_array
 from themeloom.llm.lines import sieve, sifted
@@ -31,20 +32,22 @@ from themeloom.plans.scratch import Scratch
 # Bytes of a string that is removed where an earlier document has it.
 WINDOW = 50
 # Bytes of the grams whose smallest hash is the key, and of those for keys with many places.
-GRAM, LONG_GRAM = 24, 48
+GRAM, LONG_GRAM = 20, 48
 # Windows of a stretch at most.
 LONGEST = 128
 # Places from which on a key is cut again.
 MANY = 4096
 # Windows of text handled at a time; longer texts go in several pieces.
 PIECE = 1 << 20
-# A part ends where a hash has so many zero bits at its end, or after so many windows.
-PART_BITS, LONGEST_PART = 9, 4096
+# A part ends where a hash has so many zero bits at its end, or after so many windows,
+# or before so many windows that are in no other document.
+PART_BITS, LONGEST_PART, GAP = 10, 4096, 64
 # Parts seen lately by a task, whose bytes need not be sent again.
 SEEN = 100_000
 # Bytes of stretches in a shard, of a text whose suffixes are sorted, and of texts
 # sorted side by side, about.
 SHARD, LANE, SIDE = 16 << 20, 256, 2 << 20
+SPANS = "array<struct<low:bigint,high:bigint>>"
 # Fixed value: the smallest BIGINT stands for a missing doc_id.
 NO_ID = -(1 << 63)
 
@@ -119,6 +122,12 @@ class Pieces:
         self.starts = np.cumsum(lengths) - lengths
         self.counts = lengths - WINDOW + 1
 
+    def inside(self) -> np.ndarray:
+        """Whether a window that starts at a place lies in one piece."""
+        found = np.zeros(len(self.raw), bool)
+        found[ramps(self.starts, self.counts)] = True
+        return found
+
     def owners(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
 
@@ -176,18 +185,21 @@ def shared_keys(places: DataFrame) -> dict[str, np.ndarray]:
     return sieve_bits(counts.filter("low < high"), "key", several=F.lit(True), many=F.col("n") > MANY)
 
 
-def cut_parts(some: Pieces, grams: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(piece, start in the buffer, windows) of the parts with a wanted window.
-    They are cut where the hash of the bytes says so."""
-    marks = np.flatnonzero(grams[: len(wanted)] & np.uint64((1 << PART_BITS) - 1) == 0)
-    sums = np.append(0, np.cumsum(wanted))
-    for piece, (start, count) in enumerate(zip(some.starts, some.counts, strict=True)):
-        inner = marks[np.searchsorted(marks, start + 1) : np.searchsorted(marks, start + count)]
-        for low, high in zip([start, *inner], [*inner, start + count], strict=True):
-            for head in range(low, high, LONGEST_PART):
-                end = min(head + LONGEST_PART, high)
-                if sums[end] > sums[head]:
-                    yield piece, int(head), int(end - head)
+def cut_parts(some: Pieces, grams: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts in the buffer and numbers of windows of parts that hold all wanted windows
+    and few others. They are cut where the hash of the bytes says so."""
+    cut = grams[: len(wanted)] & np.uint64((1 << PART_BITS) - 1) == 0
+    cut[some.starts] = True
+    at = np.flatnonzero(wanted)
+    range_of = np.cumsum(cut)[at]
+    new = np.append(True, (np.diff(at) > GAP) | (np.diff(range_of) > 0))[: len(at)]
+    heads = np.flatnonzero(new)
+    head, tail = at[heads], at[np.append(heads[1:], len(at)) - 1]
+    counts = tail - head + 1
+    several = -(-counts // LONGEST_PART)
+    step = ramps(np.zeros(len(several), np.int64), several) * LONGEST_PART
+    head, counts = np.repeat(head, several) + step, np.repeat(counts, several) - step
+    return head, np.minimum(counts, LONGEST_PART)
 
 
 def shared_parts(docs: DataFrame, table) -> DataFrame:
@@ -202,7 +214,10 @@ def shared_parts(docs: DataFrame, table) -> DataFrame:
             for some in pieces(utf8(batch.column(2))):
                 keys, grams = window_keys(some.raw)
                 out: list[tuple] = []
-                for piece, head, count in cut_parts(some, grams, may_hold(several, keys)):
+                wanted = may_hold(several, keys) & some.inside()[: len(keys)]
+                heads, counts = cut_parts(some, grams, wanted)
+                owners = some.owners(heads).tolist()
+                for piece, head, count in zip(owners, heads.tolist(), counts.tolist(), strict=True):
                     data = some.data[head : head + count + WINDOW - 1]
                     digest = hashlib.blake2b(data, digest_size=16).digest()
                     known = digest in seen
@@ -454,11 +469,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     merged. ``docs`` needs (doc, id, text); ``id`` is never null."""
     context = docs.sparkSession.sparkContext
     table = context.broadcast(shared_keys(key_places(docs)))
-    parts = scratch.keep(shared_parts(docs, table), "parts")
+    parts = scratch.keep(shared_parts(docs, table), "parts", compression="zstd")
     once = parts.groupBy("part").agg(
         F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("bytes", True).alias("bytes")
     )
-    once = scratch.keep(once.withColumn("name", F.monotonically_increasing_id()), "different-parts")
+    once = once.withColumn("name", F.monotonically_increasing_id())
+    once = scratch.keep(once, "different-parts", compression="zstd")
     size = once.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     shards = max(context.defaultParallelism, 4 * size // SHARD)
     early = earlier_windows(stretches(once, table, shards))
@@ -499,28 +515,25 @@ def drop_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     removed = repeated_spans(keyed, scratch)
     bitmap = scratch.keep(sieve(removed, "doc"), "removed-sieve")
     others = [c for c in docs.columns if c not in ("spans", "kept")]
-    rows = sifted(
-        docs.select(doc.alias("doc"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.encode(text, "UTF-8").alias("kept")),
-        bitmap, "doc",
-    )
+    rows = docs.select(doc.alias("doc"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    rows = sifted(rows, bitmap, "doc")
     # Only documents that may lose bytes are shuffled.
-    kind = "array<struct<low:bigint,high:bigint>>"
-    cut = without_spans(rows.filter("_maybe").drop("_maybe").join(removed, "doc", "left").drop("doc"))
-    same = rows.filter("NOT _maybe").select("row", F.array().cast(kind).alias("spans"), "kept")
+    cut = without_spans(rows.filter("_maybe").join(removed, "doc", "left").select("row", "spans"))
+    whole = F.encode(F.coalesce("row.text", F.lit("")), "UTF-8")
+    same = rows.filter("NOT _maybe").select("row", F.array().cast(SPANS).alias("spans"), whole.alias("kept"))
     return cut.unionByName(same).select(*[F.col(f"row.`{c}`").alias(c) for c in others], "spans", "kept")
 
 
 def without_spans(rows: DataFrame) -> DataFrame:
-    """Merges ``spans`` and takes them out of ``kept``."""
-    schema = rows.schema
-    spans_at, kept_at = rows.columns.index("spans"), rows.columns.index("kept")
+    """Merges ``spans`` of (row, spans), and adds ``kept``, the text of the row without them."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("kept", T.BinaryType())])
+    text_at = rows.schema["row"].dataType.fieldNames().index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             merged, kept = [], []
-            for spans, data in zip(batch.column(spans_at), batch.column(kept_at), strict=True):
-                told, left, at = [], [], 0
-                raw = data.as_py()
+            for spans, raw in zip(batch.column(1), utf8(batch.column(0).field(text_at)), strict=True):
+                told, left, at, raw = [], [], 0, raw or b""
                 for low, high in sorted((s["low"], s["high"]) for s in spans.as_py() or []):
                     if told and low <= told[-1]["high"]:
                         told[-1]["high"] = max(told[-1]["high"], high)
@@ -531,9 +544,9 @@ def without_spans(rows: DataFrame) -> DataFrame:
                     at = span["high"]
                 merged.append(told)
                 kept.append(b"".join([*left, raw[at:]]))
-            columns = list(batch.columns)
-            columns[spans_at] = pa.array(merged, batch.schema.field(spans_at).type)
-            columns[kept_at] = pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            spans = pa.array(merged, batch.schema.field(1).type)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), spans, pa.array(kept, pa.binary())], names=["row", "spans", "kept"]
+            )
 
     return rows.mapInArrow(work, schema)
