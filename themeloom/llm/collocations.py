@@ -6,8 +6,8 @@ each, as wide as the phrase is frequent; what is left and right of it stands in
 the transforms there. Intervals are extended word by word to a set depth, all of
 one length at a time. Counts of shards are added up.
 
-Words, and then pairs of words, that are too rare in all of a language are left
-out of what follows, which changes no result.
+Words, then pairs, then triples of words that are too rare in all of a language are
+left out of what follows, which changes no result.
 """
 
 from __future__ import annotations
@@ -96,7 +96,8 @@ def make_shard(lang: str, words: list[bytes], counts: np.ndarray) -> Shard:
 
 def without_rare(shard: Shard, table: np.ndarray) -> Shard:
     """The same with 0 in place of words that are rare in the language."""
-    known = np.append(False, may_hold(table, shard.hashes[1:].astype(np.int64)))
+    keys = phrase_keys(shard, np.arange(1, len(shard.words) + 1)[:, None])
+    known = np.append(False, may_hold(table, keys))
     return Shard(shard.lang, shard.words, np.where(known[shard.numbers], shard.numbers, 0), shard.hashes)
 
 
@@ -108,22 +109,21 @@ class Index:
 
     def __init__(self, numbers: np.ndarray, kinds: int) -> None:
         n = len(numbers)
-        self.first = np.searchsorted(np.sort(numbers), np.arange(kinds + 1))
-        rank, width = numbers.astype(np.int64), 1
+        self.first = np.append(0, np.cumsum(np.bincount(numbers, minlength=kinds)))
+        rank, width = numbers, 1
         while width <= DEPTH:
             # Rank of the next ones; behind the end nothing is smaller than all.
             after = np.append(rank[width:] + 1, np.zeros(min(width, n), np.int64))[:n]
             pair = rank * (n + kinds + 2) + after
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             told = pair[order]
-            new = np.cumsum(np.append(0, told[1:] != told[:-1]))
             rank = np.empty(n, np.int64)
-            rank[order] = new
+            rank[order] = np.cumsum(np.append(0, told[1:] != told[:-1]))
             width *= 2
         self.before = numbers[order - 1]
         self.jump = np.empty(n, np.int64)
         # The k-th row before which c stands is the k-th row that starts with c.
-        self.jump[np.argsort(self.before, kind="stable")] = np.arange(n)
+        self.jump[np.argsort(self.before * n + np.arange(n))] = np.arange(n)
 
 
 @dataclass(frozen=True)
@@ -155,16 +155,19 @@ def extend(index: Index, found: Intervals, left: bool) -> Intervals:
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(found.count) - found.count, found.count)
     row = here[owner] + inside
     word = index.before[row]
-    order = np.argsort(owner * (len(index.first) + 1) + word, kind="stable")
+    kinds = len(index.first)
+    # Rows of an interval follow each other, so the smallest of a word is its first.
+    order = np.argsort(owner * kinds + word)
     owner, word, row = owner[order], word[order], row[order]
     head = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1]))[: len(owner)])
+    first = np.minimum.reduceat(row, head) if len(head) else row
     count = np.diff(np.append(head, len(owner)))
     # Words smaller than this one come first in the other index, too.
     smaller = head - (np.cumsum(found.count) - found.count)[owner[head]]
     use = word[head] > 0
-    head, count, smaller = head[use], count[use], smaller[use]
+    head, first, count, smaller = head[use], first[use], count[use], smaller[use]
     parent = owner[head]
-    own, other = index.jump[row[head]], there[parent] + smaller
+    own, other = index.jump[first], there[parent] + smaller
     pair = (word[head][:, None], found.numbers[parent])
     numbers = np.concatenate(pair if left else pair[::-1], axis=1)
     return Intervals(numbers, *((own, other) if left else (other, own)), count)
@@ -176,8 +179,31 @@ def neighbours(index: Index, start: np.ndarray, count: np.ndarray) -> np.ndarray
     return sums[start + count] - sums[start]
 
 
-def pair_hashes(shard: Shard, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return mix(shard.hashes[one] * FACTOR + shard.hashes[two] + ODD).astype(np.int64)
+def phrase_keys(shard: Shard, numbers: np.ndarray) -> np.ndarray:
+    """48-bit keys of phrases (phrase, place); different ones may share one."""
+    key = shard.hashes[numbers[:, 0]]
+    for place in range(1, numbers.shape[1]):
+        key = mix(key * FACTOR + shard.hashes[numbers[:, place]] + ODD)
+    return (key >> np.uint64(16)).astype(np.int64)
+
+
+def frequent_phrases(shard: Shard, tables: list[np.ndarray], depth: int) -> Iterator[tuple[Index, Index | None, Intervals]]:
+    """Phrases of 2 to ``depth`` words, those of one length at a time. Table number n
+    holds the keys of phrases of n + 1 words that are not too rare in the language;
+    phrases with a part that is, and where there is a table those that are, are left out."""
+    shard = without_rare(shard, tables[0])
+    kinds = len(shard.words) + 1
+    ahead = Index(shard.numbers, kinds)
+    back = Index(shard.numbers[::-1], kinds) if depth > 2 else None
+    found = single_words(ahead)
+    for length in range(2, depth + 1):
+        left = length % 2 == 0
+        found = extend(ahead if left else back, found, left)
+        for size in range(2, min(length, len(tables)) + 1):
+            for start in {0, length - size}:
+                keys = phrase_keys(shard, found.numbers[:, start : start + size])
+                found = found.take(np.flatnonzero(may_hold(tables[size - 1], keys)))
+        yield ahead, back, found
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -188,43 +214,34 @@ def count_words(docs: DataFrame) -> DataFrame:
             n = np.bincount(shard.numbers, minlength=len(shard.words) + 1)[1:]
             columns = [
                 pa.array([shard.lang] * len(n), pa.string()), shard.words.cast(pa.string()),
-                pa.array(shard.hashes[1:].astype(np.int64)), pa.array(n.astype(np.int64)),
+                pa.array(phrase_keys(shard, np.arange(1, len(n) + 1)[:, None])), pa.array(n.astype(np.int64)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "key", "n"])
 
     return docs.mapInArrow(work, "lang STRING, word STRING, key BIGINT, n BIGINT")
 
 
-def count_pairs(docs: DataFrame, words) -> DataFrame:
-    """(key, n) of the pairs of words that are no rare ones, of every shard."""
+def count_keys(docs: DataFrame, tables, length: int) -> DataFrame:
+    """(key, n) of the phrases of so many words whose parts are not too rare, of every
+    shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in read_shards(batches):
-            shard = without_rare(shard, words.value)
-            index = Index(shard.numbers, len(shard.words) + 1)
-            pairs = extend(index, single_words(index), left=True)
-            keys = pair_hashes(shard, pairs.numbers[:, 0], pairs.numbers[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pairs.count)], names=["key", "n"])
+            *_, (_, _, found) = frequent_phrases(shard, [t.value for t in tables], length)
+            keys = phrase_keys(shard, found.numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found.count)], names=["key", "n"])
 
     return docs.mapInArrow(work, "key BIGINT, n BIGINT")
 
 
-def count_phrases(docs: DataFrame, words, pairs) -> DataFrame:
-    """(lang, phrase, words, n, n_left, n_right) of every shard: phrases of which no
-    pair is rare, and how often a word of their piece stands left and right of them."""
+def count_phrases(docs: DataFrame, tables) -> DataFrame:
+    """(lang, phrase, words, n, n_left, n_right) of every shard: phrases that are not too
+    rare, and how often such a word of their piece stands left and right of them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in read_shards(batches):
-            shard = without_rare(shard, words.value)
-            kinds = len(shard.words) + 1
-            ahead, back = Index(shard.numbers, kinds), Index(shard.numbers[::-1], kinds)
-            found = single_words(ahead)
-            for length in range(2, DEPTH + 1):
-                left = length % 2 == 0
-                found = extend(ahead if left else back, found, left)
-                one, two = (0, 1) if left else (length - 2, length - 1)
-                keys = pair_hashes(shard, found.numbers[:, one], found.numbers[:, two])
-                found = found.take(np.flatnonzero(may_hold(pairs.value, keys)))
+            for ahead, back, found in frequent_phrases(shard, [t.value for t in tables], DEPTH):
+                length = found.numbers.shape[1]
                 told = [shard.words.take(pa.array(found.numbers[:, i] - 1)) for i in range(length)]
                 phrase = pc.binary_join_element_wise(*told, pa.scalar(b" ", pa.binary()))
                 n = len(found.count)
@@ -266,11 +283,12 @@ def mine_phrases(
     counted = count_words(docs).groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
     counted = scratch.keep(counted, "words")
     often = F.col("n") >= min_count
-    words = context.broadcast(sieve_bits(counted.filter(often), "key", often=often)["often"])
-    by_key = count_pairs(docs, words).groupBy("key").agg(F.sum("n").alias("n")).filter(often)
-    pairs = context.broadcast(sieve_bits(by_key, "key", often=often)["often"])
+    tables = [context.broadcast(sieve_bits(counted.filter(often), "key", often=often)["often"])]
+    for length in range(2, DEPTH + 1):
+        keys = count_keys(docs, tables, length).groupBy("key").agg(F.sum("n").alias("n")).filter(often)
+        tables.append(context.broadcast(sieve_bits(keys, "key", often=often)["often"]))
     phrases = (
-        count_phrases(docs, words, pairs)
+        count_phrases(docs, tables)
         .groupBy("lang", "phrase", "words")
         .agg(*[F.sum(c).alias(c) for c in ("n", "n_left", "n_right")])
         .filter(often)
