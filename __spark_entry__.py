@@ -38,17 +38,22 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return prepare_corpus(documents(spark, sf_dir), Scratch(spark))
 
 
-def trained(spark: SparkSession, sf_dir: str, iterations: int = 1) -> LdaModel:
+def trained(
+    spark: SparkSession, sf_dir: str, iterations: int = 1, k: int = K, likelihood: bool = False
+) -> LdaModel:
     prepared = corpus(spark, sf_dir)
-    lda = LDA(k=K, iterations=iterations, alpha=ALPHA, beta=BETA, seed=SEED)
+    lda = LDA(k=k, iterations=iterations, alpha=ALPHA, beta=BETA, seed=SEED, likelihood=likelihood)
     return lda.fit(prepared.tokens, prepared.vocab)
 
 
-def edge_trained(spark: SparkSession, sf_dir: str, iterations: int = 1) -> LdaModel:
+def edge_trained(
+    spark: SparkSession, sf_dir: str, iterations: int = 1, k: int = K, likelihood: bool = False
+) -> LdaModel:
     prepared = corpus(spark, sf_dir)
     lda = LDA(
-        k=K, iterations=iterations, alpha=EDGE_ALPHA, beta=EDGE_BETA, seed=SEED, mode="edge"
-    )
+        k=k, iterations=iterations, alpha=EDGE_ALPHA, beta=EDGE_BETA, seed=SEED, mode="edge",
+        likelihood=likelihood,
+    )
     return lda.fit_bag(prepared.bag, prepared.vocab)
 
 
@@ -134,17 +139,29 @@ def topic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.withColumn("weight", F.round(F.col("weight") * 1e6, 6))
 
 
-def topic_weights_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edge_weights(spark: SparkSession, sf_dir: str, normalize: bool) -> DataFrame:
     model = edge_trained(spark, sf_dir, iterations=0)
-    weights = sampling.topic_weights(
-        model.edge_rows(),
-        sampling.edge_weight(EDGE_BETA),
-        K,
-        ["doc_id", "term_id"],
-    )
+    weight = sampling.edge_weight(EDGE_BETA)
+    return sampling.topic_weights(model.edge_rows(), weight, K, ["doc_id", "term_id"], normalize)
+
+
+def topic_weights_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = edge_weights(spark, sf_dir, normalize=False)
     return weights.withColumn("weight", F.round(F.col("weight") * 1e6, 6))
 
 
+def metrics(model: LdaModel) -> DataFrame:
+    """Without the times, which are other ones each time."""
+    return rounded(model.iteration_metrics().drop("seconds"), "log_likelihood", 2)
+
+
+def many_topics(k: int) -> dict[str, Query]:
+    return {
+        f"gibbs_sweep_k{k}": lambda s, d: token_topics(trained(s, d, k=k)),
+        f"edge_sweep_k{k}": lambda s, d: cell_topics(edge_trained(s, d, k=k)),
+    }
+
+
 def cell_topics(model: LdaModel) -> DataFrame:
     return model.word_topic_counts("doc_term").select("doc_id", "term_id", "topic", "n")
 
@@ -249,14 +266,16 @@ def model_queries() -> dict[str, Query]:
         "topic_totals": on_start(lambda rows: counts.topic_totals(rows, K)),
         "topic_weights": topic_weights,
         "topic_weights_edge": topic_weights_edge,
+        "topic_shares_edge": lambda s, d: rounded(edge_weights(s, d, normalize=True), "weight"),
         "gibbs_sweep": on_model(token_topics),
         "edge_sweep": on_edge_model(cell_topics),
         "fit_lda": lambda s, d: token_topics(trained(s, d, iterations=2)),
         "fit_lda_edge": lambda s, d: cell_topics(edge_trained(s, d, iterations=2)),
-        "iteration_metrics": lambda s, d: trained(s, d, iterations=2).iteration_metrics(),
+        "iteration_metrics": lambda s, d: metrics(trained(s, d, iterations=2, likelihood=True)),
+        "iteration_metrics_edge": lambda s, d: metrics(edge_trained(s, d, iterations=2, likelihood=True)),
         "tokens_changed": lambda s, d: trained(s, d, iterations=2)
         .iteration_metrics()
-        .drop("seconds"),
+        .select("iteration", "tokens_changed"),
         "theta": on_model(lambda m: rounded(m.theta(), "theta")),
         "theta_all_documents": lambda s, d: rounded(
             trained(s, d).theta(documents(s, d)), "theta"
@@ -273,6 +292,8 @@ def model_queries() -> dict[str, Query]:
         "describe_topics": on_model(lambda m: rounded(m.describe_topics(10), "phi")),
         "describe_topics_all": on_model(lambda m: m.describe_topics().drop("phi")),
         "top_documents_per_topic": on_model(lambda m: m.top_documents_per_topic(20)),
+        "top_documents_per_topic_5000": on_model(lambda m: m.top_documents_per_topic(5000)),
+        "assignment_arrays": on_model(lambda m: m.assignment_arrays()),
         "top_topics_per_document": on_model(
             lambda m: rounded(m.top_topics_per_document(3), "weight")
         ),
@@ -285,6 +306,7 @@ def model_queries() -> dict[str, Query]:
             lambda m: rounded(m.perplexity("map", "doc_term"), "perplexity", 4)
         ),
         "log_prior": on_edge_model(lambda m: rounded(m.log_prior(), "log_prior", 2)),
+        "log_prior_doc_term": on_edge_model(lambda m: rounded(m.log_prior("doc_term"), "log_prior", 2)),
         "log_sum_exp": lambda s, d: rounded(
             log_sum_exp(
                 table(s, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")),
@@ -312,7 +334,7 @@ def model_queries() -> dict[str, Query]:
         "phi_lines": on_model(phi_lines),
         "others_lines": on_model(others_lines),
         "twords_lines": on_model(twords_lines),
-    }
+    } | {name: query for k in oracles.MANY for name, query in many_topics(k).items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,8 @@ K = 5
 SEED = 42
 ALPHA, BETA = 0.3, 0.5
 EDGE_ALPHA, EDGE_BETA = 1.3, 1.5
+# Numbers of topics of the sweeps with many of them.
+MANY = (24, 64)
 
 # Constants of the public xxHash64 algorithm, which Spark's
 # xxhash64 function follows, and the seed that function starts from.
@@ -99,34 +101,39 @@ VOCAB = """vocab AS MATERIALIZED (
 ENCODED = """enc AS MATERIALIZED (
   SELECT doc_id, pos, term_id FROM tok JOIN vocab USING (term))"""
 
-FIRST = f"""t0 AS MATERIALIZED (
-  SELECT doc_id, pos, term_id, floor(u * {K}::DOUBLE)::INT AS topic
+
+def first_topics(k: int = K) -> str:
+    return f"""t0 AS MATERIALIZED (
+  SELECT doc_id, pos, term_id, floor(u * {k}::DOUBLE)::INT AS topic
   FROM ({with_uniform('enc', 0)}))"""
 
+
+FIRST = first_topics()
+
 CORPUS = [WORDS, VOCAB, ENCODED]
 START_STATE = [*CORPUS, FIRST]
 
 
-def counts(state: str, key: str, prefix: str) -> str:
+def counts(state: str, key: str, prefix: str, topics: int = K) -> str:
     columns = ", ".join(
-        f"count(*) FILTER (topic = {k}) AS {prefix}{k}" for k in range(K)
+        f"count(*) FILTER (topic = {k}) AS {prefix}{k}" for k in range(topics)
     )
     return f"SELECT {key}{', ' if key else ''}{columns} FROM {state}{' GROUP BY ' + key if key else ''}"
 
 
-def tables(state: str, tag: str) -> list[str]:
+def tables(state: str, tag: str, topics: int = K) -> list[str]:
     """Counts of a state by term, by document, by (document, term), and in total."""
     return [
-        f"w{tag} AS MATERIALIZED ({counts(state, 'term_id', 'w')})",
-        f"d{tag} AS MATERIALIZED ({counts(state, 'doc_id', 'd')})",
-        f"c{tag} AS MATERIALIZED (SELECT *, {plus('n')} AS cnt FROM ({counts(state, 'doc_id, term_id', 'n')}))",
-        f"s{tag} AS MATERIALIZED ({counts(state, '', 's')})",
+        f"w{tag} AS MATERIALIZED ({counts(state, 'term_id', 'w', topics)})",
+        f"d{tag} AS MATERIALIZED ({counts(state, 'doc_id', 'd', topics)})",
+        f"c{tag} AS MATERIALIZED (SELECT *, {plus('n', topics)} AS cnt FROM ({counts(state, 'doc_id, term_id', 'n', topics)}))",
+        f"s{tag} AS MATERIALIZED ({counts(state, '', 's', topics)})",
         f"v{tag} AS MATERIALIZED (SELECT count(*)::DOUBLE AS vocab_size FROM vocab)",
     ]
 
 
-def plus(prefix: str) -> str:
-    return " + ".join(f"{prefix}{k}" for k in range(K))
+def plus(prefix: str, topics: int = K) -> str:
+    return " + ".join(f"{prefix}{k}" for k in range(topics))
 
 
 def collapsed_terms(k: int) -> str:
@@ -144,28 +151,29 @@ def edge_terms(k: int) -> str:
     )
 
 
-def choose(source: str) -> str:
+def choose(source: str, topics: int = K) -> str:
     """Draw from weights p0 .. with the uniform u: smallest topic above the mark."""
     sums = ["p0 AS c0"]
-    for k in range(1, K):
+    for k in range(1, topics):
         sums.append(f"c{k - 1} + p{k} AS c{k}")
-    cases = " ".join(f"WHEN c{k} > u * c{K - 1} THEN {k}" for k in range(K - 1))
+    last = topics - 1
+    cases = " ".join(f"WHEN c{k} > u * c{last} THEN {k}" for k in range(last))
     return (
-        f"SELECT doc_id, pos, term_id, was, (CASE {cases} ELSE {K - 1} END)::INT AS topic"
+        f"SELECT doc_id, pos, term_id, was, (CASE {cases} ELSE {last} END)::INT AS topic"
         f" FROM (SELECT *, {', '.join(sums)} FROM {source})"
     )
 
 
-def sweep(number_: int) -> list[str]:
+def sweep(number_: int, topics: int = K) -> list[str]:
     """CTEs of collapsed sweep number 1, 2, ..."""
     before, after = f"t{number_ - 1}", f"t{number_}"
     tag = f"_{number_ - 1}"
-    weights = ", ".join(f"{collapsed_terms(k)} AS p{k}" for k in range(K))
+    weights = ", ".join(f"{collapsed_terms(k)} AS p{k}" for k in range(topics))
     return [
-        *tables(before, tag),
+        *tables(before, tag, topics),
         f"p{tag} AS (SELECT doc_id, pos, term_id, topic AS was, u, {weights} FROM "
         f"({with_uniform(before, number_)}) JOIN w{tag} USING (term_id) JOIN d{tag} USING (doc_id), s{tag}, v{tag})",
-        f"{after} AS MATERIALIZED ({choose('p' + tag)})",
+        f"{after} AS MATERIALIZED ({choose('p' + tag, topics)})",
     ]
 
 
@@ -177,15 +185,15 @@ COPIES = """enc AS MATERIALIZED (
 EDGE_START = [WORDS, VOCAB, COPIES, FIRST]
 
 
-def edge_step(number_: int) -> list[str]:
+def edge_step(number_: int, topics: int = K) -> list[str]:
     before, after = f"t{number_ - 1}", f"t{number_}"
     tag = f"_{number_ - 1}"
-    weights = ", ".join(f"{edge_terms(k)} AS p{k}" for k in range(K))
+    weights = ", ".join(f"{edge_terms(k)} AS p{k}" for k in range(topics))
     return [
-        *tables(before, tag),
+        *tables(before, tag, topics),
         f"p{tag} AS (SELECT doc_id, pos, term_id, topic AS was, u, {weights} FROM "
         f"({with_uniform(before, number_)}) JOIN c{tag} USING (doc_id, term_id) JOIN d{tag} USING (doc_id), s{tag}, v{tag})",
-        f"{after} AS MATERIALIZED ({choose('p' + tag)})",
+        f"{after} AS MATERIALIZED ({choose('p' + tag, topics)})",
     ]
 
 
@@ -196,11 +204,11 @@ EDGE_TRAINED = [*EDGE_START, *edge_step(1), *tables("t1", "")]
 TOPICS = f"topics AS (SELECT unnest(range({K}))::INT AS topic)"
 
 
-def long(source: str, keys: str, prefix: str, value: str = "n") -> str:
+def long(source: str, keys: str, prefix: str, value: str = "n", topics: int = K) -> str:
     """Wide counts to one row per topic."""
     return " UNION ALL ".join(
         f"SELECT {keys}{', ' if keys else ''}{k}::INT AS topic, {prefix}{k} AS {value} FROM {source}"
-        for k in range(K)
+        for k in range(topics)
     )
 
 
@@ -217,7 +225,7 @@ PHI_LONG = "phi AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-def likelihood(smoothing: str, alpha: float, beta: float, grain: str) -> str:
+def likelihood(smoothing: str, alpha: float, beta: float, grain: str, tag: str = "") -> str:
     """SELECT of the log likelihood and the number of tokens."""
     less = 1 if smoothing == "map" else 0
     n = "w" if grain == "term" else "n"
@@ -227,10 +235,10 @@ def likelihood(smoothing: str, alpha: float, beta: float, grain: str) -> str:
         f" * (d{k} + {alpha}::DOUBLE - {less})"
         for k in range(K)
     )
-    words = "JOIN w USING (term_id)" if grain == "term" else ""
+    words = f"JOIN w{tag} USING (term_id)" if grain == "term" else ""
     return (
         f"SELECT sum(cnt * ln(({dot}) / ({norm}))) AS ll, sum(cnt) AS tokens"
-        f" FROM c {words} JOIN d USING (doc_id), s, v"
+        f" FROM c{tag} {words} JOIN d{tag} USING (doc_id), s{tag}, v{tag}"
     )
 
 
@@ -272,8 +280,9 @@ def statements() -> dict[str, str]:
       SELECT row_number() OVER (ORDER BY url, page_id) - 1 AS doc_id, page_id, url FROM pages"""
     sql["tokenize"] = chain(WORDS) + " SELECT doc_id, pos, term FROM tok"
     sql["encode_tokens"] = chain(*CORPUS) + " SELECT doc_id, pos, term_id FROM enc"
-    sql["decode_terms"] = chain(*CORPUS) + (
-        " SELECT doc_id, pos, term_id, term FROM enc JOIN vocab USING (term_id)"
+    # The word a token was encoded from is the one it must be decoded to.
+    sql["decode_terms"] = chain(WORDS, VOCAB) + (
+        " SELECT doc_id, pos, term_id, term FROM tok JOIN vocab USING (term)"
     )
     sql["fit_vocabulary"] = chain(WORDS, VOCAB) + " SELECT term_id, term, n_tokens, n_docs FROM vocab"
     sql["fit_vocabulary_min_df"] = chain(WORDS) + """
@@ -345,6 +354,16 @@ def statements() -> dict[str, str]:
     ) + " SELECT doc_id, term_id, topic, round(weight * 1e6, 6) AS weight FROM (" + long(
         "p", "doc_id, term_id", "p", "weight"
     ) + ")"
+    total = " + ".join(f"p{k}" for k in range(K))
+    shares = ", ".join(f"p{k} / ({total}) AS g{k}" for k in range(K))
+    sql["topic_shares_edge"] = chain(
+        *EDGE_START,
+        *tables("t0", ""),
+        f"p AS (SELECT doc_id, term_id, {cell_weights} FROM c JOIN d USING (doc_id), s, v)",
+        f"g AS (SELECT doc_id, term_id, {shares} FROM p)",
+    ) + " SELECT doc_id, term_id, topic, round(weight, 6) AS weight FROM (" + long(
+        "g", "doc_id, term_id", "g", "weight"
+    ) + ")"
     sql["gibbs_sweep"] = chain(*START_STATE, *sweep(1)) + " SELECT doc_id, pos, term_id, topic FROM t1"
     sql["edge_sweep"] = chain(*EDGE_TRAINED) + (
         " SELECT doc_id, term_id, topic, n FROM (" + long("c", "doc_id, term_id", "n") + ") WHERE n > 0"
@@ -355,10 +374,40 @@ def statements() -> dict[str, str]:
     sql["fit_lda_edge"] = chain(*EDGE_START, *edge_step(1), *edge_step(2), *tables("t2", "")) + (
         " SELECT doc_id, term_id, topic, n FROM (" + long("c", "doc_id, term_id", "n") + ") WHERE n > 0"
     )
+    for topics in MANY:
+        start = [*CORPUS, first_topics(topics)]
+        sql[f"gibbs_sweep_k{topics}"] = chain(*start, *sweep(1, topics)) + (
+            " SELECT doc_id, pos, term_id, topic FROM t1"
+        )
+        start = [WORDS, VOCAB, COPIES, first_topics(topics)]
+        sql[f"edge_sweep_k{topics}"] = chain(*start, *edge_step(1, topics)) + (
+            " SELECT doc_id, term_id, topic, count(*) AS n FROM t1 GROUP BY ALL"
+        )
     sql["tokens_changed"] = chain(*START_STATE, *sweep(1), *sweep(2)) + """
       SELECT 1::INT AS iteration, count(*) FILTER (topic <> was) AS tokens_changed FROM t1
       UNION ALL SELECT 2::INT, count(*) FILTER (topic <> was) FROM t2"""
 
+    # One row per sweep: tokens whose topic changed, and the likelihood before it.
+    def metrics(start: list[str], step, changed: str, alpha: float, beta: float) -> str:
+        rows = " UNION ALL ".join(
+            f"SELECT {i}::INT AS iteration, ({changed.format(i=i, before=i - 1)})::BIGINT AS tokens_changed,"
+            f" round((SELECT ll FROM ({likelihood('mean', alpha, beta, 'term', f'_{i - 1}')})), 2) AS log_likelihood"
+            for i in (1, 2)
+        )
+        return chain(*start, *step(1), *step(2), *tables("t2", "_2")) + " " + rows
+
+    sql["iteration_metrics"] = metrics(
+        START_STATE, sweep, "SELECT count(*) FILTER (topic <> was) FROM t{i}", ALPHA, BETA
+    )
+    gained = " + ".join(f"greatest(a.n{k} - b.n{k}, 0)" for k in range(K))
+    sql["iteration_metrics_edge"] = metrics(
+        EDGE_START,
+        edge_step,
+        f"SELECT sum({gained}) FROM c_{{i}} a JOIN c_{{before}} b USING (doc_id, term_id)",
+        EDGE_ALPHA,
+        EDGE_BETA,
+    )
+
     sql["theta"] = chain(*TRAINED) + " UNION ALL ".join(
         f" SELECT doc_id, {k}::INT AS topic, round({theta(k)}, 6) AS theta FROM d" for k in range(K)
     )
@@ -413,6 +462,18 @@ def statements() -> dict[str, str]:
         SELECT topic, doc_id, weight,
                row_number() OVER (PARTITION BY topic ORDER BY weight DESC, doc_id DESC)::INT AS rank
         FROM (""" + long("d", "doc_id", "d", "weight") + """)) WHERE rank <= 20"""
+    sql["top_documents_per_topic_5000"] = sql["top_documents_per_topic"].replace("rank <= 20", "rank <= 5000")
+    sql["assignment_arrays"] = chain(*TRAINED) + (
+        " SELECT doc_id, (r // 1024)::BIGINT AS part, list(term_id::BIGINT ORDER BY term_id) AS term_ids,"
+        " list(topic ORDER BY term_id) AS topics FROM (SELECT *, row_number() OVER (PARTITION BY doc_id"
+        " ORDER BY term_id) - 1 AS r FROM ("
+    ) + best_cell(
+        [
+            f"(w{k} + {BETA}::DOUBLE) / (s{k} + vocab_size * {BETA}::DOUBLE) * (d{k} + {ALPHA}::DOUBLE)"
+            for k in range(K)
+        ],
+        "c JOIN w USING (term_id) JOIN d USING (doc_id), s, v",
+    ) + ")) GROUP BY doc_id, r // 1024"
     sql["top_topics_per_document"] = chain(*TRAINED) + """
       SELECT doc_id, rank, topic, round(n::DOUBLE / total, 6) AS weight FROM (
         SELECT doc_id, topic, n, sum(n) OVER (PARTITION BY doc_id) AS total,
@@ -442,6 +503,10 @@ def statements() -> dict[str, str]:
     sql["log_prior"] = chain(*EDGE_TRAINED) + f"""
       SELECT round((SELECT sum({EDGE_BETA - 1.0}::DOUBLE * ({term_part})) FROM w, s, v)
                  + (SELECT sum({rest!r}::DOUBLE * ({doc_part})) FROM d), 2) AS log_prior"""
+    cell_part = term_part.replace("(w", "(n")
+    sql["log_prior_doc_term"] = chain(*EDGE_TRAINED) + f"""
+      SELECT round((SELECT sum({EDGE_BETA - 1.0}::DOUBLE * ({cell_part})) FROM c, s, v)
+                 + (SELECT sum({rest!r}::DOUBLE * ({doc_part})) FROM d), 2) AS log_prior"""
     sql["log_sum_exp"] = """
       WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)
       SELECT vec_id, round(max(m) + ln(sum(exp(x - m))), 6) AS log_sum_exp

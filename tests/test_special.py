@@ -52,3 +52,28 @@ def test_log_sum_exp(spark):
 def test_log_sum_exp_of_minus_infinity_only(spark):
     rows = spark.createDataFrame([(0, float("-inf"))], "g INT, x DOUBLE")
     assert math.isnan(special.log_sum_exp(rows, "g", "x").first()[1])
+
+
+def test_log_sum_exp_over_many_bands(spark):
+    inf = float("inf")
+    groups = {
+        "one": [3.0, 3.5],
+        "six": [64.0 * i + 1 for i in range(6)],
+        "thousand": [64.0 * i - 32000 for i in range(1000)],
+        "equal": [-7.0] * 1000 + [-7.0 - 64 * 5],
+        "high": [inf, 0.0, -inf],
+        "low": [-inf, -inf],
+    }
+    rows = [(g, x) for g, values in groups.items() for x in values] + [(None, 1.0), (None, 2.0)]
+    frame = special.log_sum_exp(spark.createDataFrame(rows, "g STRING, x DOUBLE"), "g", "x")
+    got = {r.g: r.log_sum_exp for r in frame.collect()}
+    for g, values in [*groups.items(), (None, [1.0, 2.0])]:
+        top = max(values)
+        if top in (inf, -inf):
+            assert got[g] == inf if top > 0 else math.isnan(got[g])
+        else:
+            told = top + math.log(math.fsum(math.exp(x - top) for x in values))
+            assert got[g] == pytest.approx(told, rel=1e-14)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for forbidden in ("Window", "collect_list", "Python"):
+        assert forbidden not in plan

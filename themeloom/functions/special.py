@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.plans.joins import lookup
-
 # Width of the bands in which exponentials are summed; exp(64) * 2^63 is finite.
 BAND = 64.0
-# Bands per key that can still be seen in the result.
-BANDS = 5
 
 # Coefficients of 1/x^2, 1/x^4, ... in the asymptotic series of
 # the digamma function, -B(2n) / 2n.
@@ -36,49 +32,36 @@ def log_sum_exp(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Overflow-safe log of the sum of exponentials per key: (key, log_sum_exp).
 
     Values are summed in bands of fixed width, so the rows of a key are
-    partially aggregated before the shuffle and never joined back to their
-    maximum. Bands further down than ``BANDS`` weigh less than exp(-192) each
-    way and cannot change a double.
+    partially aggregated before the shuffle and never joined to their maximum.
+    What is joined to its key's highest band is a band, (base, sum), of which there
+    are as many as the values of the key span, and all of them are added.
     """
     x = F.col(value).cast("double")
-    lowest = x == F.lit(float("-inf"))
-    banded = rows.select(
-        F.col(key),
-        x.alias("_x"),
-        F.when(lowest, x).otherwise(x - F.pmod(x, F.lit(BAND))).alias("_base"),
-        lowest.alias("_lowest"),
-    )
-    bands = banded.groupBy(key, "_base").agg(
-        F.sum(F.when(F.col("_lowest"), 0.0).otherwise(F.exp(F.col("_x") - F.col("_base")))).alias(
-            "_sum"
-        ),
-        F.max("_x").alias("_max"),
-    )
-    by_height = Window.partitionBy(key).orderBy(F.desc("_base"))
-    tops = (
-        bands.withColumn("_rank", F.row_number().over(by_height))
-        .filter(F.col("_rank") <= BANDS)
-        .groupBy(key)
-        .agg(F.max("_max").alias("_top"), F.collect_list(F.struct("_base", "_sum")).alias("_bands"))
-    )
-    scaled = F.aggregate(
-        "_bands",
-        F.lit(0.0),
-        lambda total, band: total + band["_sum"] * F.exp(band["_base"] - F.col("_top")),
-    )
-    return tops.select(key, (F.col("_top") + F.ln(scaled)).alias("log_sum_exp"))
+    infinite = F.abs(x) == F.lit(float("inf"))
+    base = F.when(infinite, x).otherwise(x - F.pmod(x, F.lit(BAND)))
+    banded = rows.select(F.col(key), x.alias("_x"), base.alias("_base"))
+    above = F.when(F.col("_x") == F.col("_base"), 1.0).otherwise(F.exp(F.col("_x") - F.col("_base")))
+    bands = banded.groupBy(key, "_base").agg(F.sum(above).alias("_sum"))
+    # One shuffle by key serves both sides of the join.
+    bands = bands.repartition(key)
+    tops = bands.groupBy(key).agg(F.max("_base").alias("_top")).withColumnRenamed(key, "_key")
+    met = bands.join(tops, F.col(key).eqNullSafe(F.col("_key")))
+    scale = F.when(F.col("_base") == F.col("_top"), 1.0).otherwise(F.exp(F.col("_base") - F.col("_top")))
+    sums = met.groupBy(key, "_top").agg(F.sum(F.col("_sum") * scale).alias("_sum"))
+    # As in the sum over values less their maximum, minus infinity alone gives NaN.
+    lowest = F.col("_top") == F.lit(float("-inf"))
+    found = F.when(lowest, F.lit(float("nan"))).otherwise(F.col("_top") + F.ln("_sum"))
+    return sums.select(key, found.alias("log_sum_exp"))
 
 
 def dirichlet_expectation(
     rows: DataFrame, row_id: str = "row_id", alpha: str = "alpha"
 ) -> DataFrame:
     """Adds ``e_log_theta`` = digamma(alpha) - digamma(sum of alpha in the row)."""
-    totals = rows.groupBy(row_id).agg(
-        F.sum(F.col(alpha).cast("double")).alias("_total"), F.count("*").alias("_rows")
-    )
-    totals = totals.select(row_id, digamma(F.col("_total")).alias("_digamma_total"), "_rows")
-    joined = lookup(rows, totals, row_id, weight="_rows", spread_by=rows.columns)
-    return joined.select(
+    totals = rows.groupBy(row_id).agg(F.sum(F.col(alpha).cast("double")).alias("_total"))
+    totals = totals.select(row_id, digamma(F.col("_total")).alias("_digamma_total"))
+    # A row of very many entries is a skewed key of the join, which adaptive execution splits.
+    return rows.join(totals, row_id).select(
         *rows.columns,
         (digamma(F.col(alpha).cast("double")) - F.col("_digamma_total")).alias("e_log_theta"),
     )

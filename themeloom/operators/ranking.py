@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,14 +13,15 @@ from pyspark.sql import functions as F
 from themeloom.operators.buckets import Bucket, blocks_of, by_bucket, column, matrix
 from themeloom.operators.counts import spread, vector_sum
 from themeloom.operators.estimates import dense_words
+from themeloom.plans.joins import lookup
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
 
 # Fixed value: up to this rank Spark drops the other rows of a window before the
 # shuffle; longer lists are numbered by a distributed sort instead.
 WINDOW_ROWS = 1000
-# Arrays of one document hold at most the vocabulary.
-ARRAY_TERMS = 1 << 22
+# Terms in one part of the arrays of a document.
+PART_TERMS = 1024
 
 
 def describe_topics(
@@ -151,15 +153,18 @@ def topic_assignments(
     return by_bucket(table, vectors, k, work, f"doc_id BIGINT, term_id {kind}, topic INT")
 
 
-def assignment_arrays(assignments: DataFrame, vocab_size: int) -> DataFrame:
-    """Assignments as two arrays per document, by term id: (doc_id, term_ids, topics).
-
-    An array is no longer than the vocabulary, which is checked; larger
-    vocabularies keep the long form.
-    """
-    if vocab_size > ARRAY_TERMS:
-        raise ValueError(f"{vocab_size} terms do not fit in one array; use the long form")
-    pairs = F.sort_array(F.collect_list(F.struct("term_id", "topic")))
-    return assignments.groupBy("doc_id").agg(pairs.alias("_pairs")).select(
-        "doc_id", F.col("_pairs.term_id").alias("term_ids"), F.col("_pairs.topic").alias("topics")
+def assignment_arrays(assignments: DataFrame, scratch: Scratch) -> DataFrame:
+    """Assignments as two arrays per document and part, by term id:
+    (doc_id, part, term_ids, topics), PART_TERMS terms in every part but the last of a
+    document. Long documents are parted before anything is gathered."""
+    placed = dense_index(
+        assignments, ["doc_id", "term_id"], "_place", scratch, f"assignments-{uuid.uuid4().hex[:8]}"
+    )
+    placed = scratch.keep(placed, f"placed-assignments-{uuid.uuid4().hex[:8]}")
+    firsts = placed.groupBy("doc_id").agg(F.min("_place").alias("_first"), F.count("*").alias("_terms"))
+    near = lookup(placed, firsts, "doc_id", weight="_terms", spread_by=["term_id"])
+    part = F.floor((F.col("_place") - F.col("_first")) / PART_TERMS).alias("part")
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("term_id").cast("bigint").alias("term_id"), "topic")))
+    return near.groupBy("doc_id", part).agg(pairs.alias("_pairs")).select(
+        "doc_id", "part", F.col("_pairs.term_id").alias("term_ids"), F.col("_pairs.topic").alias("topics")
     )

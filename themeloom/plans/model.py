@@ -165,7 +165,7 @@ class LdaModel:
         return found.distinct() if self.layout.split and not edge else found
 
     def assignment_arrays(self) -> DataFrame:
-        return ranking.assignment_arrays(self.topic_assignments(), self.vocab_size)
+        return ranking.assignment_arrays(self.topic_assignments(), self.scratch)
 
     # -- diagnostics -----------------------------------------------------------
 
