@@ -143,13 +143,16 @@ def pair_prices(kept: DataFrame, masses: DataFrame) -> DataFrame:
     cells = kept.join(langs, "lang").withColumn(
         "block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
     )
-    # Every source is in every block, with or without terms there.
+    # Every source is in every block, with or without terms there, and knows how many
+    # terms the block has: some may occur in no source of two tiles.
+    held = cells.select("lang", "block", "term").distinct().groupBy("lang", "block").agg(F.count("*").alias("held"))
     marks = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    marks = marks.join(held, ["lang", "block"], "left")
     no_term = F.lit(None).cast("string")
     rows = cells.select("lang", "block", "tiles", "source", "term", "n", "total").unionByName(
         marks.select(
             "lang", "block", "tiles", "source", no_term.alias("term"), F.col("mass").alias("n"),
-            F.lit(0).cast("bigint").alias("total"),
+            F.coalesce("held", F.lit(0).cast("bigint")).alias("total"),
         )
     )
     # Tiles of sources meet in pairs, so a task holds two tiles of one block.
@@ -167,14 +170,14 @@ def pair_prices(kept: DataFrame, masses: DataFrame) -> DataFrame:
 def walk_block(group: pa.Table) -> pa.Table:
     """Prices of all pairs of sources of two tiles over one block of terms."""
     lang, a, b = (group.column(c)[0].as_py() for c in ("lang", "a", "b"))
-    marks = {}
+    marks, places = {}, 0
     cells: list[tuple[str, str, int]] = []
     totals: dict[str, int] = {}
     for own, source, term, n, total in zip(
         *(group.column(c).to_pylist() for c in ("own", "source", "term", "n", "total")), strict=True
     ):
         if term is None:
-            marks[source] = (own, n)
+            marks[source], places = (own, n), total
         else:
             cells.append((source, term, n))
             totals[term] = total
@@ -182,7 +185,7 @@ def walk_block(group: pa.Table) -> pa.Table:
     row = {s: i for i, s in enumerate(sources)}
     # Frequent terms first, so that the zeros of rare ones make large equal subtrees.
     spot = {t: i for i, t in enumerate(sorted(totals, key=lambda t: (-totals[t], t)))}
-    counts = np.zeros((len(sources), len(spot)), np.int64)
+    counts = np.zeros((len(sources), places), np.int64)
     for source, term, n in cells:
         counts[row[source], spot[term]] = n
     forest = Forest(counts, [marks[s][1] for s in sources])

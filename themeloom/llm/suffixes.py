@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from themeloom.llm.grouping import Texts, suffix_array
 from themeloom.llm.lines import sieve, sifted
 from themeloom.llm.shingles import ODD, mix
-from themeloom.llm.sieves import may_hold, sieve_bits
+from themeloom.llm.sieves import SIEVE_BITS, may_hold
 from themeloom.plans.joins import lookup
 from themeloom.plans.scratch import Scratch
 
@@ -46,7 +47,9 @@ PART_BITS, LONGEST_PART, GAP = 10, 4096, 64
 SEEN = 100_000
 # Bytes of stretches in a shard, of a text whose suffixes are sorted, and of texts
 # sorted side by side, about.
-SHARD, LANE, SIDE = 16 << 20, 256, 2 << 20
+SHARD, LANE, SIDE = 4 << 20, 256, 1 << 20
+# Bytes of text whose keys are counted in one task, about.
+COUNTED = 64 << 20
 SPANS = "array<struct<low:bigint,high:bigint>>"
 # Fixed value: the smallest BIGINT stands for a missing doc_id.
 NO_ID = -(1 << 63)
@@ -152,9 +155,25 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
-def key_places(docs: DataFrame) -> DataFrame:
-    """(key, id): each key with a document that has it; of one batch, the smallest
-    and the largest."""
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+
+
+def unpacked(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(x), kind) for x in column.to_pylist()]
+
+
+def shards_of(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The stretches of equal numbers of a sorted list."""
+    heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
+    for low, high in zip(heads.tolist(), [*heads[1:].tolist(), len(shard)], strict=True):
+        yield int(shard[low]), slice(low, high)
+
+
+def key_places(docs: DataFrame, shards: int) -> DataFrame:
+    """(shard, keys, ids): keys with a document that has each; of one batch, the smallest
+    and the largest. Keys are sorted and stored as differences. Equal keys, and all of
+    one word of the table of bits, are in one shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,21 +187,50 @@ def key_places(docs: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
                 low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
                 two = low != high
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([keys[first], keys[first][two]])),
-                        pa.array(np.concatenate([low, high[two]])),
-                    ],
-                    names=["key", "id"],
+                keys, owner = np.concatenate([keys[first], keys[first][two]]), np.concatenate([low, high[two]])
+                shard = ((keys & (SIEVE_BITS - 1)) >> 6) % shards
+                order = np.lexsort((keys, shard))
+                keys, owner, shard = keys[order], owner[order], shard[order]
+                rows = [
+                    (number, packed(np.diff(keys[part], prepend=0)), packed(owner[part]))
+                    for number, part in shards_of(shard)
+                ]
+                yield pa.RecordBatch.from_pylist(
+                    [dict(zip(("shard", "keys", "ids"), row, strict=True)) for row in rows],
+                    schema=pa.schema({"shard": pa.int64(), "keys": pa.binary(), "ids": pa.binary()}),
                 )
 
-    return docs.select("id", "text").mapInArrow(work, "key BIGINT, id BIGINT")
-
-
-def shared_keys(places: DataFrame) -> dict[str, np.ndarray]:
-    """Bits of the keys that ``several`` documents have, and of those with ``many`` places."""
-    counts = places.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
-    return sieve_bits(counts.filter("low < high"), "key", several=F.lit(True), many=F.col("n") > MANY)
+    return docs.select("id", "text").mapInArrow(work, "shard BIGINT, keys BINARY, ids BINARY")
+
+
+def shared_keys(docs: DataFrame, shards: int) -> dict[str, np.ndarray]:
+    """Bits of the keys that ``several`` documents have, and of those with ``many`` places.
+    SIEVE_BITS / 64 rows at most reach the driver."""
+
+    def count(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(x) for x in unpacked(group.column("keys"), "<i8")])
+        ids = np.concatenate(unpacked(group.column("ids"), "<i8"))
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+        many = several & (np.diff(np.append(first, len(keys))) > MANY)
+        slots = keys[first] & (SIEVE_BITS - 1)
+        order = np.flatnonzero(several)
+        order = order[np.argsort(slots[order])]
+        word, bit = slots[order] >> 6, np.int64(1) << (slots[order] & 63)
+        heads = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+        either = (bit, np.where(many[order], bit, 0))
+        one, two = (np.bitwise_or.reduceat(b, heads) if len(heads) else b for b in either)
+        return pa.table({"word": word[heads], "several": one, "many": two})
+
+    found = key_places(docs, shards).groupBy("shard").applyInArrow(count, "word BIGINT, several BIGINT, many BIGINT")
+    words = found.toArrow()
+    tables = {}
+    for name in ("several", "many"):
+        tables[name] = np.zeros(SIEVE_BITS >> 6, np.int64)
+        tables[name][words.column("word").to_numpy()] = words.column(name).to_numpy()
+    return tables
 
 
 def cut_parts(some: Pieces, grams: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,16 +327,16 @@ def stretches(parts: DataFrame, table, shards: int) -> DataFrame:
                 lengths = count + WINDOW - 1
                 ends = np.cumsum(lengths)
                 data = some.raw[ramps(head, lengths)]
-                first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
                 columns = [[] for _ in range(7)]
-                for low, high in zip(first, np.append(first[1:], len(shard)), strict=True):
+                for number, part in shards_of(shard):
+                    columns[0].append(number)
                     told = (
-                        int(shard[low]), key[low:high], count[low:high].astype(np.int32),
-                        data[ends[low] - lengths[low] : ends[high - 1]], names[some.text[owner[low:high]]],
-                        start[low:high].astype(np.int32), ids[some.text[owner[low:high]]],
+                        key[part], count[part].astype(np.int32),
+                        data[ends[part.start] - lengths[part.start] : ends[part.stop - 1]],
+                        names[some.text[owner[part]]], start[part].astype(np.int32), ids[some.text[owner[part]]],
                     )
-                    for column, value in zip(columns, told, strict=True):
-                        column.append(value if isinstance(value, int) else value.tobytes())
+                    for column, value in zip(columns[1:], told, strict=True):
+                        column.append(packed(value))
                 kinds = [pa.int64(), *[pa.binary()] * 6]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=PACKED
@@ -307,13 +355,13 @@ def ramps(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(before - starts, counts)
 
 
-def earlier_windows(packed: DataFrame) -> DataFrame:
+def earlier_windows(shards: DataFrame) -> DataFrame:
     """(name, low, high): windows of a part that occur in a document before the first
     one that holds the part."""
 
     def work(group: pa.Table) -> pa.Table:
         def whole(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+            return np.concatenate(unpacked(group.column(name), kind))
 
         keys, counts, data = whole("keys", "<i8"), whole("counts", "<i4").astype(np.int64), whole("bytes", "u1")
         names, starts, ids = whole("names", "<i8"), whole("starts", "<i4").astype(np.int64), whole("ids", "<i8")
@@ -340,7 +388,7 @@ def earlier_windows(packed: DataFrame) -> DataFrame:
             }
         )
 
-    return packed.groupBy("shard").applyInArrow(work, "name BIGINT, low BIGINT, high BIGINT")
+    return shards.groupBy("shard").applyInArrow(work, "name BIGINT, low BIGINT, high BIGINT")
 
 
 def smallest_documents(
@@ -468,7 +516,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, spans): byte ranges to remove from each document that has any, not yet
     merged. ``docs`` needs (doc, id, text); ``id`` is never null."""
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(shared_keys(key_places(docs)))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    table = context.broadcast(shared_keys(docs, max(context.defaultParallelism, size // COUNTED)))
     parts = scratch.keep(shared_parts(docs, table), "parts", compression="zstd")
     once = parts.groupBy("part").agg(
         F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("bytes", True).alias("bytes")
