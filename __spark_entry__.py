@@ -229,6 +229,33 @@ def twords_lines(model: LdaModel) -> DataFrame:
     )
 
 
+def read_back(suffix: str) -> Query:
+    """Lines of a file of a model, as any reader of lines finds them."""
+    return on_model(lambda model: model.spark.read.text(f"{written(model)}/model{suffix}"))
+
+
+def assignment_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(files.ASSIGNMENTS)(spark, sf_dir).select(F.col("value").alias("line"))
+
+
+def value_file(suffix: str, key: str, factor: float, name: str) -> Query:
+    """Values of the lines of a file, by their place in the line."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        values = F.posexplode(F.split(F.rtrim("value"), " ")).alias(key, "_text")
+        rows = read_back(suffix)(spark, sf_dir).select(values)
+        return rows.select(key, F.round(F.col("_text").cast("double") * factor, 6).alias(name))
+
+    return query
+
+
+def top_words_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_back(files.TOP_WORDS)(spark, sf_dir)
+    part = [F.regexp_extract("value", r"^\t(.*) (\S+)$", i) for i in (1, 2)]
+    word = F.when(F.startswith("value", F.lit("\t")), part[0]).otherwise(F.col("value"))
+    return rows.select(word.alias("word"), F.round(part[1].try_cast("double"), 6).alias("phi"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Top ten words of each topic after two sweeps over the smallest corpus."""
     return trained(spark, "/root/testdata/sf0.001", iterations=2).describe_topics(10)
@@ -334,6 +361,10 @@ def model_queries() -> dict[str, Query]:
         "phi_lines": on_model(phi_lines),
         "others_lines": on_model(others_lines),
         "twords_lines": on_model(twords_lines),
+        "tassign_file": assignment_file,
+        "theta_file": value_file(files.THETA, "topic", 1.0, "theta"),
+        "phi_file": value_file(files.PHI, "term_id", 1e3, "phi_permille"),
+        "twords_file": top_words_file,
     } | {name: query for k in oracles.MANY for name, query in many_topics(k).items()}
 
 

@@ -538,6 +538,14 @@ def statements() -> dict[str, str]:
     sql["phi_lines"] = chain(*TRAINED, PHI_LONG) + (
         " SELECT topic AS line_no, term_id, round(phi * 1e3, 6) AS value_permille FROM phi"
     )
+    sql["tassign_file"] = chain(*START_STATE, *sweep(1)) + """
+      SELECT string_agg(term_id || ':' || topic, ' ' ORDER BY pos) || ' ' AS line FROM t1 GROUP BY doc_id"""
+    sql["theta_file"] = chain(*TRAINED) + " UNION ALL ".join(
+        f" SELECT {k}::INT AS topic, round({theta(k)}, 6) AS theta FROM d" for k in range(K)
+    )
+    sql["phi_file"] = chain(*TRAINED, PHI_LONG) + (
+        " SELECT term_id::INT AS term_id, round(phi * 1e3, 6) AS phi_permille FROM phi"
+    )
     sql["others_lines"] = chain(*CORPUS) + f"""
       SELECT unnest(['alpha={ALPHA}', 'beta={BETA}', 'ntopics={K}',
                      'ndocs=' || (SELECT count(DISTINCT doc_id) FROM enc),
@@ -550,4 +558,5 @@ def statements() -> dict[str, str]:
         SELECT topic, term_id, phi,
                row_number() OVER (PARTITION BY topic ORDER BY n DESC, term_id)::INT AS rank FROM phi)
       JOIN vocab USING (term_id) WHERE rank <= 10"""
+    sql["twords_file"] = f"SELECT word, phi FROM ({sql['twords_lines']})"
     return sql

@@ -89,3 +89,32 @@ def test_missing_columns_are_named(spark, tiny):
     with pytest.raises(ValueError, match="body"):
         text.corpus_from_table(tiny, text="body")
     assert tiny.select(F.count("*")).first()[0] == 3
+
+
+def test_files_are_listed_folder_by_folder(spark, tmp_path):
+    import inspect
+
+    from themeloom.sources import listing
+
+    names = ["a/x.txt", "a/y.log", "a/_hidden", "a/.dot", "b/x.txt", "b/deep/x.txt", "c/empty é.txt", "top.txt"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if i % 2 else f"text {i}")
+
+    def listed(*patterns):
+        rows = listing.list_files(spark, [f"{tmp_path}/{p}" for p in patterns]).collect()
+        return sorted(r.path.removeprefix(f"{tmp_path}/") for r in rows)
+
+    assert listed("*/x.txt") == ["a/x.txt", "b/x.txt"]
+    assert listed("a", "top.txt", "missing") == ["a/x.txt", "a/y.log", "top.txt"]
+    assert listed("{b,c}/*") == ["b/deep/x.txt", "b/x.txt", "c/empty é.txt"]
+    assert listed("[a-b]/?.*") == ["a/x.txt", "a/y.log", "b/x.txt"]
+    for patterns in (["*/*.txt"], ["{b,c}/*"], ["a"], ["top.txt"]):
+        paths = [f"{tmp_path}/{p}" for p in patterns]
+        found = {r.path: r.text for r in text.whole_files(spark, paths).collect()}
+        assert sorted(found) == sorted(listing.file_uri(r.path) for r in listing.list_files(spark, paths).collect())
+        assert {t for t in found.values()} <= {"", *(f"text {i}" for i in range(8))}
+    assert text.whole_files(spark, f"{tmp_path}/a/y.log").count() == 1
+    assert text.whole_files(spark, f"{tmp_path}/a/y.log", empty=False).count() == 0
+    for module in (text, listing):
+        assert "_jvm" not in inspect.getsource(module)

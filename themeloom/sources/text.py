@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import split_lines, trim_control
 from themeloom.plans.numbering import dense_index
 from themeloom.plans.scratch import Scratch
+from themeloom.sources.listing import file_uri, list_files
 
 
 def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -21,39 +23,26 @@ def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return whole_files(spark, paths).select("path", trim_control(F.col("text")).alias("text"))
 
 
-def whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def whole_files(spark: SparkSession, paths: str | list[str], empty: bool = True) -> DataFrame:
     """One row per file, untouched: (path, text).
 
-    The text source passes over empty files; their names are added from the
-    directory listing, as an empty file is a document too.
+    Spark's readers pass over empty files. An empty file is a document too, so their
+    names are taken from a listing that executors make; ``empty=False`` spares it, for
+    stores that pyarrow cannot open.
     """
     paths = [paths] if isinstance(paths, str) else paths
     files = spark.read.text(paths, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    empty = [(name, "") for name in _empty_files(spark, paths)]
     if not empty:
         return rows
-    return rows.unionAll(spark.createDataFrame(empty, "path STRING, text STRING"))
-
-
-def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Names of empty files, from the same directory listing Spark makes."""
-    context = spark.sparkContext
-    listed = []
-    for name in paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        system = path.getFileSystem(context._jsc.hadoopConfiguration())
-        for status in system.globStatus(path) or []:
-            listed.extend(
-                system.listStatus(status.getPath()) if status.isDirectory() else [status]
-            )
-    return [
-        status.getPath().toUri().toString()
-        for status in listed
-        if status.getLen() == 0
-        and status.isFile()
-        and not status.getPath().getName().startswith((".", "_"))
-    ]
+    none = list_files(spark, paths).filter("size = 0").select("path").distinct().mapInArrow(as_uris, "path STRING")
+    return rows.unionAll(none.select("path", F.lit("").alias("text")))
+
+
+def as_uris(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = pa.array([file_uri(path) for path in batch.column(0).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([names], names=["path"])
 
 
 def corpus_from_table(table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
