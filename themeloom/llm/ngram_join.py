@@ -446,7 +446,10 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
         candidates = scratch.keep(candidates, f"candidates{step}")
         ends = candidates.select(F.col("x").alias("doc_id")).union(candidates.select("y")).distinct()
         sets = scratch.keep(members_of(docs, ends), f"members{step}")
-        return scratch.keep(exact_links(candidates, sets, percent), f"links{step}")
+        links = scratch.keep(exact_links(candidates, sets, percent), f"links{step}")
+        scratch.drop(f"candidates{step}")
+        scratch.drop(f"members{step}")
+        return links
 
     bands = plan_bands(classes, percent)
     stars = scratch.keep(meetings(indexed(docs, bands)), "meetings")
@@ -462,6 +465,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
         .select("x", "y", "n", "m", "one", "two"),
         "met",
     )
+    scratch.drop("meetings")
     pairs = met.filter(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
     first = verified(plausible(pairs, percent), "1")
     roots = connected_components(first, scratch)
@@ -475,12 +479,14 @@ def ngram_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT)
         "center", "doc", "n", "sketch", F.coalesce("root", "doc").alias("component")
     )
     placed = scratch.keep(placed, "around")
+    scratch.drop("met")
     apart = placed.groupBy("center").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
     ).filter("lo < hi")
     groups = placed.join(apart.select("center", "size"), "center")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     second = verified(around_centers(groups, least, percent), "2")
+    scratch.drop("around")
     # Documents of several classes hold them together.
     several = linked.groupBy("doc_id").agg(F.countDistinct("a", "b").alias("n")).filter("n > 1").select("doc_id")
     shared = (
