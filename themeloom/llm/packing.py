@@ -26,6 +26,8 @@ from themeloom.llm.bpe import Encoder, read_vocabulary
 from themeloom.plans.scratch import Scratch
 
 WINDOW = 1024
+# Bytes of text tokenised at a time, about.
+TOKENISED = 4 << 20
 # Rounds of the solver, and the change of the solution at which it ends.
 ROUNDS, SETTLED = 600, 1e-6
 # Places in the plan are found by length * RANKS + rank.
@@ -174,7 +176,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         full = 0
         seen = np.zeros(window, np.int64)
-        for batch in batch_parts(batches):
+        for batch in batch_parts(batches, size=TOKENISED):
             texts = batch.column("text").to_pylist()
             held: list[list[bytes]] = [[] for _ in texts]
             for owners, tokens in encoder.encode(texts):
