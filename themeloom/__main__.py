@@ -48,8 +48,11 @@ def main(argv: list[str] | None = None) -> int:
         checkpoint_interval=given.checkpoint_interval,
     )
     spark = SparkSession.builder.appName("themeloom").getOrCreate()
-    corpus, model = train_directory(spark, given.directory, lda, given.token_lines)
+    seconds: dict[str, float] = {}
+    corpus, model = train_directory(spark, given.directory, lda, given.token_lines, seconds)
     corpus.summary().show()
+    for step, time in seconds.items():
+        print(f"{step}: {time:.1f} seconds")
     model.iteration_metrics().show(given.niters)
     model.perplexity().show()
     if given.twords > 0:
