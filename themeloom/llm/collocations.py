@@ -89,14 +89,19 @@ def make_shard(lang: str, words: list[bytes], counts: np.ndarray) -> Shard:
     counts = counts[counts > 0]
     numbers = np.zeros(len(words) + len(counts), np.int64)
     numbers[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = told.indices.to_numpy() + 1
+    return Shard(lang, told.dictionary, numbers, hashes_of(lang, told.dictionary))
+
+
+def hashes_of(lang: str, words: pa.Array) -> np.ndarray:
+    """Hashes of words of a language, from number 1 on."""
     salt = mix(word_hashes(lang.encode().hex().encode() or b"-"))[0]
-    hashes = mix(word_hashes(b" ".join(told.dictionary.to_pylist())) ^ salt)
-    return Shard(lang, told.dictionary, numbers, np.append(np.uint64(0), hashes))
+    hashes = mix(word_hashes(b" ".join(words.cast(pa.binary()).to_pylist())) ^ salt)
+    return np.append(np.uint64(0), hashes)
 
 
 def without_rare(shard: Shard, table: np.ndarray) -> Shard:
     """The same with 0 in place of words that are rare in the language."""
-    keys = phrase_keys(shard, np.arange(1, len(shard.words) + 1)[:, None])
+    keys = phrase_keys(shard.hashes, np.arange(1, len(shard.words) + 1)[:, None])
     known = np.append(False, may_hold(table, keys))
     return Shard(shard.lang, shard.words, np.where(known[shard.numbers], shard.numbers, 0), shard.hashes)
 
@@ -179,11 +184,12 @@ def neighbours(index: Index, start: np.ndarray, count: np.ndarray) -> np.ndarray
     return sums[start + count] - sums[start]
 
 
-def phrase_keys(shard: Shard, numbers: np.ndarray) -> np.ndarray:
-    """48-bit keys of phrases (phrase, place); different ones may share one."""
-    key = shard.hashes[numbers[:, 0]]
+def phrase_keys(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """48-bit keys of phrases (phrase, place) of words with hashes; different ones may
+    share one."""
+    key = hashes[numbers[:, 0]]
     for place in range(1, numbers.shape[1]):
-        key = mix(key * FACTOR + shard.hashes[numbers[:, place]] + ODD)
+        key = mix(key * FACTOR + hashes[numbers[:, place]] + ODD)
     return (key >> np.uint64(16)).astype(np.int64)
 
 
@@ -201,24 +207,36 @@ def frequent_phrases(shard: Shard, tables: list[np.ndarray], depth: int) -> Iter
         found = extend(ahead if left else back, found, left)
         for size in range(2, min(length, len(tables)) + 1):
             for start in {0, length - size}:
-                keys = phrase_keys(shard, found.numbers[:, start : start + size])
+                keys = phrase_keys(shard.hashes, found.numbers[:, start : start + size])
                 found = found.take(np.flatnonzero(may_hold(tables[size - 1], keys)))
         yield ahead, back, found
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(lang, word, key, n) of every shard."""
+    """(lang, word, n) of every shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in read_shards(batches):
             n = np.bincount(shard.numbers, minlength=len(shard.words) + 1)[1:]
             columns = [
-                pa.array([shard.lang] * len(n), pa.string()), shard.words.cast(pa.string()),
-                pa.array(phrase_keys(shard, np.arange(1, len(n) + 1)[:, None])), pa.array(n.astype(np.int64)),
+                pa.array([shard.lang] * len(n), pa.string()), shard.words.cast(pa.string()), pa.array(n.astype(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "key", "n"])
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
+
+    return docs.mapInArrow(work, "lang STRING, word STRING, n BIGINT")
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """(key) of words (lang, word)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang in batch.column(0).unique():
+                some = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                keys = phrase_keys(hashes_of(lang.as_py(), some), np.arange(1, len(some) + 1)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
-    return docs.mapInArrow(work, "lang STRING, word STRING, key BIGINT, n BIGINT")
+    return words.select("lang", "word").mapInArrow(work, "key BIGINT")
 
 
 def count_keys(docs: DataFrame, tables, length: int) -> DataFrame:
@@ -228,7 +246,7 @@ def count_keys(docs: DataFrame, tables, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in read_shards(batches):
             *_, (_, _, found) = frequent_phrases(shard, [t.value for t in tables], length)
-            keys = phrase_keys(shard, found.numbers)
+            keys = phrase_keys(shard.hashes, found.numbers)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found.count)], names=["key", "n"])
 
     return docs.mapInArrow(work, "key BIGINT, n BIGINT")
@@ -280,10 +298,11 @@ def mine_phrases(
     docs = docs.select(
         F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
-    counted = count_words(docs).groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+    counted = count_words(docs).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = scratch.keep(counted, "words")
     often = F.col("n") >= min_count
-    tables = [context.broadcast(sieve_bits(counted.filter(often), "key", often=often)["often"])]
+    known = word_keys(counted.filter(often))
+    tables = [context.broadcast(sieve_bits(known, "key", often=F.lit(True))["often"])]
     for length in range(2, DEPTH + 1):
         keys = count_keys(docs, tables, length).groupBy("key").agg(F.sum("n").alias("n")).filter(often)
         tables.append(context.broadcast(sieve_bits(keys, "key", often=often)["often"]))
