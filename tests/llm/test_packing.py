@@ -90,3 +90,17 @@ def test_repeated_rows_missing_ids_clashes_and_no_rows(spark, scratch):
 def test_the_id_after_a_document(spark, scratch, end_id):
     row = packed(spark, scratch, ["a"], end_id=end_id).iloc[0]
     assert np.frombuffer(row.ids, "<u4").tolist() == [64, end_id]
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from themeloom.llm.batches import parts
+
+    texts = ["x" * n for n in (5, 0, 4000, 10, 10, 10, 9000, 1) * 50]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    for size in (1, 3000, 20_000, 10**9):
+        found = list(parts([batch, batch.slice(0, 0)], size=size))
+        assert [t for b in found for t in b.column(0).to_pylist()] == texts
+        assert all(b.num_rows == 1 or b.nbytes <= 2 * size for b in found)
+    assert [b.num_rows for b in parts([batch], rows=300)] == [300, 100]
