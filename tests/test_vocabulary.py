@@ -112,3 +112,23 @@ def test_edges_round_trip(spark, scratch, tiny):
     )
     assert graph.graph_counts(edges).first() == (3, 6, 6)
     assert graph.graph_counts(edges.limit(0)).first() == (0, 0, 0)
+
+
+def test_frequent_terms_of_a_large_vocabulary_are_met_where_words_are_split(spark, scratch, words_corpus, monkeypatch):
+    words = vocabulary.document_words(words_corpus)
+    vocab = vocabulary.fit_vocabulary(words, scratch)
+    size = vocabulary.vocabulary_bytes(vocab)
+    expected = sorted(map(tuple, vocabulary.encode_tokens(vocabulary.tokenize(words_corpus), vocab, size).collect()))
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT", size // 2)
+    least = joins.frequent_from(vocab, "n_tokens", size)
+    assert 0 < vocab.filter(vocab.n_tokens >= least).count() <= vocab.count() // 2
+    stored = vocabulary.keep_encoded(words, vocab, size, scratch)
+    assert sorted(map(tuple, stored.collect())) == expected
+    shuffled = spark.read.parquet(f"{scratch.root}/tokens").count()
+    assert 0 < shuffled < vocab.filter(vocab.n_tokens < least).agg({"n_tokens": "sum"}).first()[0] + 1
+    back = vocabulary.decode_terms(stored, vocab, size)
+    assert back.count() == len(expected)
+    # No key at all fits.
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT", 0)
+    assert joins.frequent_from(vocab, "n_tokens", size) is None
+    assert sorted(map(tuple, vocabulary.keep_encoded(words, vocab, size, scratch).collect())) == expected
