@@ -407,3 +407,12 @@ def test_empty_corpus(spark, scratch):
             assert model.log_likelihood().first()[0] == 0.0
             assert model.perplexity().first()[0] is None
             assert not math.isnan(len(model.history))
+
+
+def test_a_bucket_fits_in_a_worker_of_four(spark):
+    """At most 64 MB of rows, which a task holds several times over."""
+    from themeloom.plans.layout import TOKEN_BYTES, plan_layout
+
+    lengths = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(20_000).cast("bigint").alias("n"))
+    layout = plan_layout(spark, lengths)
+    assert layout.tokens / layout.buckets * TOKEN_BYTES <= 64 << 20

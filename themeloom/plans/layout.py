@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Memory of the rows of a bucket aimed at, which a task holds at once.
-BUCKET_BYTES = 160 * 1024 * 1024
+BUCKET_BYTES = 64 * 1024 * 1024
 # Memory of a token; of an (document, term) cell that is and 16 bytes a topic.
 TOKEN_BYTES = 80
 # Documents below this many tokens are never split.
