@@ -133,7 +133,7 @@ def init_assignments_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = trained(spark, sf_dir, iterations=0)
     rows = sampling.join_counts(
-        model.state, model.words, model.docs, model.totals, eta=BETA, vocab_size=model.vocab_size
+        model.placed_rows(), model.words, None, model.totals, eta=BETA, vocab_size=model.vocab_size
     )
     weights = sampling.topic_weights(rows, sampling.collapsed_weight(ALPHA), K, ["doc_id", "pos"])
     return weights.withColumn("weight", F.round(F.col("weight") * 1e6, 6))

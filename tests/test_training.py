@@ -416,3 +416,14 @@ def test_a_bucket_fits_in_a_worker_of_four(spark):
     lengths = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(20_000).cast("bigint").alias("n"))
     layout = plan_layout(spark, lengths)
     assert layout.tokens / layout.buckets * TOKEN_BYTES <= 64 << 20
+
+
+def test_counts_of_documents_are_made_where_rows_lie(corpus):
+    """Neither tokens nor cells are shuffled to stand beside the counts of their document."""
+    for mode, least in (("collapsed", 0.3), ("edge", 1.3)):
+        trained = LDA(k=3, iterations=0, alpha=least, beta=least, seed=1, mode=mode).fit(corpus.tokens, corpus.vocab)
+        asked = [trained.placed_rows(), trained.placed_rows(cells=True), trained.edge_rows()]
+        for rows in asked:
+            assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        lengths = {r.doc_id: r.n for r in corpus.tokens.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+        assert {r.doc_id: sum(r.nd) for r in asked[0].collect()} == lengths

@@ -28,7 +28,7 @@ def log_or_nan(x: Column) -> Column:
 def log_likelihood(
     cells: DataFrame,
     words: DataFrame,
-    docs: DataFrame,
+    docs: DataFrame | None,
     totals: Sequence[int],
     *,
     alpha: float,
@@ -42,25 +42,22 @@ def log_likelihood(
 
     ``mean`` smooths with (n + eta) / (N_k + V eta) and (n + alpha) / (n_d + K
     alpha). ``map`` takes one off each count in the numerators and norms theta
-    to one.
+    to one. Without ``docs``, ``cells`` have ``nd``, the counts of their document.
     """
     if smoothing not in SMOOTHINGS:
         raise ValueError(f"smoothing must be one of {SMOOTHINGS}, not {smoothing!r}")
     k = len(totals)
     less = 1.0 if smoothing == "map" else 0.0
     mass = float(vocab_size * eta)
-    theta_n = F.transform("n", lambda n: n + F.lit(alpha) - F.lit(less))
-    thetas = docs.select(*doc_keys, theta_n.alias("_theta")).select(
-        *doc_keys,
-        "_theta",
-        F.aggregate("_theta", F.lit(0.0), lambda s, x: s + F.abs(x)).alias("_norm"),
-    )
+    near = cells if docs is None else cells.join(docs.withColumnRenamed("n", "nd"), list(doc_keys))
+    theta = F.transform("nd", lambda n: n + F.lit(alpha) - F.lit(less))
+    summed = F.aggregate("_theta", F.lit(0.0), lambda s, x: s + F.abs(x))
+    kept = [*doc_keys, "term_id", "cnt", *(["n"] if grain == "doc_term" else [])]
+    near = near.select(*kept, theta.alias("_theta")).withColumn("_norm", summed)
     total = F.lit(list(totals)).cast("array<bigint>")
     phi = F.transform(
         "n", lambda n, t: (n + F.lit(eta) - F.lit(less)) / (F.get(total, t) + F.lit(mass))
     )
-    near = cells.select(*doc_keys, "term_id", "cnt", *([F.col("n")] if grain == "doc_term" else []))
-    near = near.join(thetas, list(doc_keys))
     if grain_keys(grain) == ["term_id"]:
         count = vector_sum("n")
         phis = words.select("term_id", phi.alias("_phi"), count.alias("_tokens"))

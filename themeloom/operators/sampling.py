@@ -59,18 +59,14 @@ def edge_weight(eta: float) -> Weight:
     return lambda topic: f"(get(n, {topic}) - 1 + {double(eta)}) * get(factor, {topic})"
 
 
-def edge_factors(
-    docs: DataFrame, totals: Sequence[int], alpha: float, eta: float, vocab_size: int
-) -> DataFrame:
-    """Document factors of the edge weight from ``n`` ARRAY<BIGINT>:
-    ``factor`` holds (N_dk - 1 + alpha) / (N_k - 1 + V eta)."""
+def edge_factor(name: str, totals: Sequence[int], alpha: float, eta: float, vocab_size: int) -> Column:
+    """Document factors of the edge weight from counts of the document, ARRAY<BIGINT>:
+    (N_dk - 1 + alpha) / (N_k - 1 + V eta)."""
     total = F.lit(list(totals)).cast("array<bigint>")
     mass = F.lit(vocab_size * eta)
-    factors = F.transform(
-        "n",
-        lambda n, topic: (n - 1 + F.lit(alpha)) / (F.get(total, topic) - 1 + mass),
+    return F.transform(
+        name, lambda n, topic: (n - 1 + F.lit(alpha)) / (F.get(total, topic) - 1 + mass)
     )
-    return docs.select("*", factors.alias("factor")).drop("n")
 
 
 def weight_array(weight: Weight, k: int) -> Column:
@@ -81,7 +77,7 @@ def weight_array(weight: Weight, k: int) -> Column:
 def join_counts(
     state: DataFrame,
     words: DataFrame,
-    docs: DataFrame,
+    docs: DataFrame | None,
     totals: Sequence[int],
     *,
     eta: float,
@@ -92,10 +88,10 @@ def join_counts(
 
     Terms come by broadcast while vocabulary times topics is small enough; beyond
     that the tokens are shuffled by term, frequent terms spread over salts. Sweeps
-    do without this join, see ``gibbs_sweep``.
+    do without this join, see ``gibbs_sweep``. Without ``docs``, ``state`` has nd.
     """
     k = len(totals)
-    near = state.join(docs.withColumnRenamed("n", "nd"), list(doc_keys))
+    near = state if docs is None else state.join(docs.withColumnRenamed("n", "nd"), list(doc_keys))
     counted = words.withColumn("_tokens", vector_sum("n"))
     return lookup(
         near,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators import counts, diagnostics, estimates, ranking, sampling
@@ -86,13 +86,31 @@ class LdaModel:
     @cached_property
     def cells(self) -> DataFrame:
         """(doc_id, term_id, cnt, n ARRAY): tokens of each term in each document."""
-        if self.mode == "edge":
-            return self.state
+        return self._placed_cells().select("doc_id", "term_id", "cnt", "n")
+
+    def _placed_cells(self) -> DataFrame:
+        """``cells`` with the keys of the layout."""
         keys = [*self.layout.doc_keys, "term_id"]
+        if self.mode == "edge":
+            return self.table.select(*keys, "cnt", "n")
         return counts.topic_vector(self.table, keys, self.k).select(
-            "doc_id", "term_id", counts.vector_sum("n").alias("cnt"), "n"
+            *keys, counts.vector_sum("n").alias("cnt"), "n"
         )
 
+    def placed_rows(self, cells: bool = False) -> DataFrame:
+        """Tokens, or ``cells``, with ``nd``, the topic counts of their document. They are
+        counted where the rows lie, and only joined for corpora with split documents."""
+        rows = self._placed_cells() if cells else self.table
+        if self.layout.split:
+            return rows.join(self.docs.withColumnRenamed("n", "nd"), "doc_id")
+        document = Window.partitionBy(*self.layout.doc_keys)
+        if "topic" in rows.columns:
+            told = [F.count_if(F.col("topic") == topic) for topic in range(self.k)]
+        else:
+            told = [F.sum(F.get("n", F.lit(topic))) for topic in range(self.k)]
+        known = rows.filter(F.col("doc_id").isNotNull())
+        return known.withColumn("nd", F.array(*[n.over(document) for n in told]))
+
     @cached_property
     def routes(self) -> DataFrame:
         """(term_id, bucket): the terms that each bucket holds."""
@@ -110,10 +128,9 @@ class LdaModel:
 
     def edge_rows(self) -> DataFrame:
         """Cells with what the edge weight needs: n and factor."""
-        factors = sampling.edge_factors(
-            self.docs, self.totals, self.alpha, self.eta, self.vocab_size
-        )
-        return self.cells.join(factors, "doc_id")
+        rows = self.placed_rows(cells=True)
+        factor = sampling.edge_factor("nd", self.totals, self.alpha, self.eta, self.vocab_size)
+        return rows.select("doc_id", "term_id", "cnt", "n", factor.alias("factor"))
 
     def word_topic_counts(self, grain: str = "term") -> DataFrame:
         keys = counts.grain_keys(grain)
@@ -197,9 +214,9 @@ class LdaModel:
                 vocab_size=self.vocab_size, smoothing=smoothing,
             )
         return diagnostics.log_likelihood(
-            self.cells,
+            self.placed_rows(cells=True),
             self.words,
-            self.docs,
+            None,
             self.totals,
             alpha=self.alpha,
             eta=self.eta,
