@@ -40,7 +40,7 @@ SAMPLED = 64
 # Cost of a pair that shares a key by chance, in keys.
 PAIR_COST = 40
 # Keys of a bucket aimed at, and keys sent off at a time by a task.
-BUCKET_KEYS, SENT_KEYS = 1_500_000, 1_000_000
+BUCKET_KEYS, SENT_KEYS = 750_000, 500_000
 # Meeting points with more sets are compared in blocks.
 BLOCK = 1024
 # Fixed value: marks the keys of the second index.
