@@ -74,3 +74,15 @@ def test_ids_that_are_no_text(spark, vocab, library):
 def test_other_kinds_of_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_words_are_merged_once(monkeypatch):
+    vocab, merged = bpe.read_vocabulary(PATH), []
+    merge = bpe.merge_words
+    monkeypatch.setattr(bpe, "merge_words", lambda words, vocab: merged.append(len(words)) or merge(words, vocab))
+    encoder = bpe.Encoder(vocab)
+    texts = [" ".join(f"a{i}" for i in range(start, start + 50_000)) for start in range(0, 250_000, 50_000)]
+    once = [bpe.id_lists(encoder, [text]).to_pylist() for text in texts]
+    known = sum(merged)
+    assert [bpe.id_lists(encoder, [text]).to_pylist() for text in texts] == once
+    assert sum(merged) == known

@@ -24,7 +24,7 @@ from themeloom.llm.batches import parts as batch_parts
 
 # Characters handled at a time, and words that a cache holds at most.
 PIECE = 1 << 19
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 # Classes of characters in the pattern that cuts words.
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 SPACE, APOSTROPHE = 32, 39
@@ -207,7 +207,10 @@ def merge_words(words: Sequence[bytes], vocab: Vocabulary) -> tuple[np.ndarray,
         place = np.cumsum(keep) - 1
         symbols, owner, ranks, becomes = symbols[keep], owner[keep], ranks[keep], becomes[keep]
         changed = place[at]
-        changed = np.union1d(changed, np.maximum(changed - 1, 0))
+        touched = np.zeros(len(symbols), bool)
+        touched[changed] = True
+        touched[np.maximum(changed - 1, 0)] = True
+        changed = np.flatnonzero(touched)
         ranks[changed], becomes[changed] = rank_of(changed)
     owners = np.concatenate([o for o, _ in done]) if done else np.zeros(0, np.int64)
     tokens = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int32)
@@ -226,11 +229,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[int, int] = {}
+        # Sorted hashes of the words, and the row of each.
+        self.hashes = np.zeros(0, np.uint64)
+        self.rows = np.zeros(0, np.int32)
         self.tokens = np.zeros(1 << 16, np.int32)
         self.used = 0
-        self.offsets = np.zeros(1 << 14, np.int64)
-        self.counts = np.zeros(1 << 14, np.int64)
+        self.offsets = np.zeros(1 << 14, np.int32)
+        self.counts = np.zeros(1 << 14, np.int32)
 
     def pieces(self, texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[str], list[bool]]]:
         """Parts of texts, about PIECE characters at a time: whose they are, the
@@ -298,11 +303,15 @@ class Encoder:
         hashes, where, back = np.unique(self._hash(codes, starts), return_index=True, return_inverse=True)
         if len(self.rows) + len(hashes) > max(CACHED_WORDS, 2 * len(hashes)):
             self._forget()
-        listed = hashes.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.rows]
-        if new:
-            ends = np.append(starts[1:], len(codes))
-            own = [whole[starts[where[i]] : ends[where[i]]] for i in new]
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            begin = starts[where[new]]
+            end = np.append(starts[1:], len(codes))[where[new]]
+            own = [whole[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
             tokens, counts = merge_words([w.encode("utf-8", "surrogatepass") for w in own], self.vocab)
             ids = [self.vocab.added.get(w) for w in own]
             for k, i in enumerate(ids):
@@ -317,8 +326,10 @@ class Encoder:
             self.offsets[row : row + len(new)] = self.used + np.cumsum(counts) - counts
             self.counts[row : row + len(new)] = counts
             self.used += len(tokens)
-            self.rows.update(zip((listed[i] for i in new), range(row, row + len(new)), strict=True))
-        return np.fromiter(map(self.rows.__getitem__, listed), np.int64, len(listed))[back]
+            self.rows = np.insert(self.rows, place[new], np.arange(row, row + len(new), dtype=np.int32))
+            self.hashes = np.insert(self.hashes, place[new], hashes[new])
+            place = np.searchsorted(self.hashes, hashes)
+        return self.rows[place][back]
 
 
 def room(array: np.ndarray, size: int) -> np.ndarray:
