@@ -159,3 +159,12 @@ def test_other_similarities(spark, scratch, percent):
     rows = near_copies(60, seed=5)
     _, root = plain_components(rows, percent)
     assert {r.doc_id: r.component_id for r in joined(spark, scratch, rows, percent=percent)} == root
+
+
+def test_index_sends_short_keys(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400)))], DOCS)
+    bands = ngram_join.allocate(80, ngram_join.band_starts(400, 80), *[np.ones(len(ngram_join.band_starts(400, 80)))] * 2)
+    rows = ngram_join.indexed(docs, bands).collect()
+    assert rows and all(5 * len(row.sets) == 8 * len(row.keys) for row in rows)
+    keys = np.array([0x0102030405060708, 0xFFFFFFFFFFFFFFFF], np.uint64)
+    assert ngram_join.long_keys(ngram_join.short_keys(keys)).tolist() == [0x0102030405000000, 0xFFFFFFFFFF000000]

@@ -39,6 +39,9 @@ SPARE, SPARE_ROOTS = 1.3, 1.0
 SAMPLED = 64
 # Cost of a pair that shares a key by chance, in keys.
 PAIR_COST = 40
+# Bytes of a key that are sent, its first ones: keys only meet those of their bucket, and
+# what meets by chance is compared exactly.
+KEY_BYTES = 5
 # Keys of a bucket aimed at, and keys sent off at a time by a task.
 BUCKET_KEYS, SENT_KEYS = 750_000, 500_000
 # Meeting points with more sets are compared in blocks.
@@ -207,6 +210,18 @@ def plan_bands(classes: DataFrame, percent: int) -> Bands:
     return allocate(percent, starts, sets, excess)
 
 
+def short_keys(keys: np.ndarray) -> bytes:
+    """KEY_BYTES of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :].tobytes()
+
+
+def long_keys(sent: bytes) -> np.ndarray:
+    """The keys again, with 0 for what was not sent."""
+    keys = np.zeros((len(sent) // KEY_BYTES, 8), np.uint8)
+    keys[:, 8 - KEY_BYTES :] = np.frombuffer(sent, np.uint8).reshape(-1, KEY_BYTES)
+    return keys.view("<u8").ravel()
+
+
 def indexed(docs: DataFrame, bands: Bands) -> DataFrame:
     """(bucket, keys, sets): index entries of all documents as packed numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(bands)
@@ -220,7 +235,7 @@ def indexed(docs: DataFrame, bands: Bands) -> DataFrame:
         yield pa.record_batch(
             {
                 "bucket": pa.array(found, pa.int64()),
-                "keys": pa.array([key[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary()),
+                "keys": pa.array([short_keys(key[i:j]) for i, j in zip(heads, ends, strict=True)], pa.binary()),
                 "sets": pa.array([own[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary()),
             }
         )
@@ -267,7 +282,7 @@ def meetings(entries: DataFrame) -> DataFrame:
     """(center, other): sets that share a key with a smaller one, by hash."""
 
     def meet(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
+        keys = long_keys(b"".join(x.as_buffer() for x in table.column("keys")))
         sets = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sets")])
         order = np.argsort(keys)
         keys, sets = keys[order], sets[order]
