@@ -118,3 +118,11 @@ def test_intervals_of_both_indexes(kinds):
             assert count == len(at)
             assert before == sum(i > 0 and text[i - 1] > 0 for i in at)
             assert after == sum(text[i + length] > 0 for i in at)
+
+
+def test_keys_are_short():
+    hashes = c.hashes_of("en", pa.array([b"w%d" % i for i in range(5000)], pa.binary()))
+    for length in (1, 2, 3):
+        numbers = np.stack([np.arange(1, 5001)] * length, axis=1)
+        keys = c.phrase_keys(hashes, numbers)
+        assert keys.min() >= 0 and keys.max() < 1 << 32 and len(np.unique(keys)) > 4990

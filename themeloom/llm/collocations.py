@@ -41,6 +41,8 @@ PARTED = bytes(
     10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
 FACTOR = np.uint64(0xD1342543DE82EF95)
+# Bits of the key of a phrase. Tables tell 27 of them apart, so more would only be shuffled.
+KEY_BITS = 32
 
 
 @dataclass(frozen=True)
@@ -185,12 +187,12 @@ def neighbours(index: Index, start: np.ndarray, count: np.ndarray) -> np.ndarray
 
 
 def phrase_keys(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """48-bit keys of phrases (phrase, place) of words with hashes; different ones may
-    share one."""
+    """Keys of KEY_BITS of phrases (phrase, place) of words with hashes; different ones
+    may share one."""
     key = hashes[numbers[:, 0]]
     for place in range(1, numbers.shape[1]):
         key = mix(key * FACTOR + hashes[numbers[:, place]] + ODD)
-    return (key >> np.uint64(16)).astype(np.int64)
+    return (key >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 def frequent_phrases(shard: Shard, tables: list[np.ndarray], depth: int) -> Iterator[tuple[Index, Index | None, Intervals]]:
