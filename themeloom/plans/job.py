@@ -34,7 +34,7 @@ def train_directory(
     docs = files.join(numbered, "path").select("doc_id", "text")
     corpus = prepare_lines(docs, scratch) if token_lines else prepare_corpus(docs, scratch)
     prepared = time.monotonic()
-    model = lda.fit(corpus.tokens, corpus.vocab)
+    model = lda.fit_packed(corpus.packed, corpus.vocab)
     if seconds is not None:
         seconds |= {"preprocessing": prepared - started, "training": time.monotonic() - prepared}
     return corpus, model
