@@ -1,5 +1,7 @@
 """Tokens held as arrays, a row for each document."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -88,3 +90,22 @@ def test_counts_of_packed_tokens(spark):
     ]
     codes, n = packed.counted(np.zeros(0, np.int64))
     assert len(codes) == len(n) == 0
+
+
+@pytest.mark.parametrize("split", [10, 1 << 16])
+def test_edge_cells_of_packed_tokens(spark, words_corpus, split):
+    """The first cells are those of a bag of counts, and no bag is stored for them."""
+    corpus = prepare_corpus(words_corpus, Scratch(spark))
+    lda = LDA(k=4, iterations=1, alpha=1.3, beta=1.5, seed=1, mode="edge", split_tokens=split)
+    model, bag = lda.fit_packed(corpus.packed, corpus.vocab), lda.fit_bag(corpus.bag, corpus.vocab)
+    assert rows_of(model.cells) == rows_of(bag.cells)
+    assert model.totals == bag.totals and model.layout == bag.layout
+    assert not os.path.exists(f"{model.scratch.root}/bag")
+
+
+def test_cells_of_documents_in_several_rows(spark, odd):
+    scratch = Scratch(spark)
+    corpus = prepare_corpus(odd, scratch)
+    lda = LDA(k=3, iterations=1, alpha=1.3, beta=1.5, seed=1, mode="edge")
+    model = lda.fit_packed(corpus.packed, corpus.vocab)
+    assert rows_of(model.state.select("doc_id", "term_id", "cnt")) == rows_of(corpus.bag)

@@ -103,6 +103,18 @@ def ramps(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(before - starts, sizes)
 
 
+def copies(count: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The copies 0 .. count - 1 of cells, ``step`` at a time: their cells, their numbers."""
+    ends = np.cumsum(count)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, step):
+        stop = min(start + step, int(ends[-1]))
+        first, last = np.searchsorted(ends, [start, stop - 1], side="right")
+        own = slice(first, last + 1)
+        low = np.maximum(start - (ends - count)[own], 0)
+        high = np.minimum(stop - (ends - count)[own], count[own])
+        yield np.repeat(np.arange(first, last + 1), high - low), ramps(low, high - low)
+
+
 def whole_sums(at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
     sums = np.zeros(size, np.int64)
     np.add.at(sums, at, weights)

@@ -9,19 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Arrays that stand side by side, one entry for each token.
-ARRAYS = ("pos", "term_id", "topic")
+# Arrays that stand side by side, one entry for each token or cell.
+ARRAYS = ("pos", "term_id", "topic", "cnt")
 
 
 def token_rows(packed: DataFrame) -> DataFrame:
-    """One row for each token, in the partition of its document."""
+    """One row for each token or cell, in the partition of its document."""
     arrays = [name for name in packed.columns if name in ARRAYS]
     others = [name for name in packed.columns if name not in ARRAYS]
     return packed.select(*others, F.inline(F.arrays_zip(*arrays)))
 
 
 def one_by_one(tokens: DataFrame) -> DataFrame:
-    """Tokens (doc_id, pos, term_id) as arrays of one each, with the other columns."""
+    """Tokens or cells as arrays of one each, with the other columns."""
     others = [name for name in tokens.columns if name not in ARRAYS]
     return tokens.select(*others, *[F.array(name).alias(name) for name in tokens.columns if name in ARRAYS])
 
@@ -95,6 +95,25 @@ def held_terms(packed: DataFrame) -> DataFrame:
     return packed.select("bucket", "term_id").mapInArrow(work, f"bucket BIGINT, term_id {kind}")
 
 
+def packed_cells(packed: DataFrame) -> DataFrame:
+    """Tokens of the terms of every row, (doc_id, term_id, cnt), the last two arrays. A
+    document in several rows has cells in each."""
+    kind = packed.schema["term_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            names, term = np.unique(flat(rows, "term_id"), return_inverse=True)
+            row = np.repeat(np.arange(rows.num_rows), sizes(rows))
+            codes, n = counted(row * max(len(names), 1) + term)
+            held = np.bincount(codes // max(len(names), 1), minlength=rows.num_rows)
+            terms = pa.array(names[codes % max(len(names), 1)]).cast(rows.column("term_id").type.value_type)
+            columns = [rows.column("doc_id"), lists(held, terms), lists(held, n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term_id", "cnt"])
+
+    doc = packed.schema["doc_id"].dataType.simpleString()
+    return packed.select("doc_id", "term_id").mapInArrow(work, f"doc_id {doc}, term_id {kind}, cnt ARRAY<BIGINT>")
+
+
 def document_topics(packed: DataFrame, k: int) -> DataFrame:
     """(doc_id, n ARRAY) of the tokens of every row."""
 

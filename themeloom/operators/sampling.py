@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions.uniform import document_keys, uniforms
-from themeloom.operators.buckets import BLOCK_CELLS, Bucket, by_bucket, column, matrix, ramps, table_like
+from themeloom.operators.buckets import BLOCK_CELLS, Bucket, by_bucket, column, copies, matrix, table_like
 from themeloom.operators.counts import vector_sum
 from themeloom.plans.joins import lookup
 
@@ -241,17 +241,9 @@ def edge_sweep(
 def drawn_copies(sums: np.ndarray, keys: np.ndarray, terms: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Counts by topic of the copies 0 .. count - 1 of cells with running sums of weights."""
     k = sums.shape[1]
-    ends = np.cumsum(count)
     found = np.zeros(len(count) * k, np.int64)
-    step = max(64, BLOCK_CELLS // k)
-    for start in range(0, int(ends[-1]) if len(ends) else 0, step):
-        stop = min(start + step, int(ends[-1]))
-        first, last = np.searchsorted(ends, [start, stop - 1], side="right")
-        low = np.maximum(start - (ends - count)[first : last + 1], 0)
-        high = np.minimum(stop - (ends - count)[first : last + 1], count[first : last + 1])
-        cell = np.repeat(np.arange(first, last + 1), high - low)
-        u = uniforms(keys[cell], terms[cell], ramps(low, high - low))
-        topic = first_above(sums[cell], u)
+    for cell, copy in copies(count, max(64, BLOCK_CELLS // k)):
+        topic = first_above(sums[cell], uniforms(keys[cell], terms[cell], copy))
         found += np.bincount(cell * k + topic, minlength=len(found))
     return found.reshape(-1, k)
 

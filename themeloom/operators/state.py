@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.uniform import document_key, uniform, uniforms
+from themeloom.operators.buckets import BLOCK_CELLS, copies, whole_sums
 from themeloom.operators.counts import topic_vector, vector_sum
 from themeloom.operators.packed import flat, lists, sizes, whole
 
@@ -112,6 +113,36 @@ def init_packed(placed: DataFrame, k: int, seed: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(work, schema)
 
 
+def init_packed_cells(placed: DataFrame, k: int, seed: int) -> DataFrame:
+    """First topic counts of the cells of each bucket, from arrays of terms and counts:
+    (bucket, doc_id, chunk, term_id, cnt, n), a row for each cell. The copies of a cell are
+    drawn in blocks and never are rows."""
+    term = placed.schema["term_id"].dataType.elementType.simpleString()
+
+    def work(rows: pa.Table) -> pa.Table:
+        lengths = sizes(rows)
+        names, code = np.unique(flat(rows, "term_id"), return_inverse=True)
+        doc = whole(rows.column("doc_id")).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        # Which chunk a cell is in follows from its document and term.
+        pair, first, at = np.unique(
+            np.repeat(doc.astype(np.int64), lengths) * len(names) + code, return_index=True, return_inverse=True
+        )
+        count = whole_sums(at, flat(rows, "cnt"), len(pair))
+        row = np.repeat(np.arange(rows.num_rows), lengths)[first]
+        keys, terms = rows.column("_key").to_numpy().astype(np.uint64)[row], names[pair % len(names)]
+        n = np.zeros(len(pair) * k, np.int64)
+        for cell, copy in copies(count, BLOCK_CELLS):
+            topic = np.floor(uniforms(keys[cell], terms[cell], copy) * k).astype(np.int64)
+            np.add.at(n, cell * k + topic, 1)
+        places = rows.select(["bucket", "doc_id", "chunk"]).take(pa.array(row))
+        cells = {"term_id": pa.array(terms), "cnt": pa.array(count), "n": lists(np.full(len(pair), k), n)}
+        return pa.table({name: places.column(name) for name in places.column_names} | cells)
+
+    keyed = placed.filter(F.size("term_id") > 0).withColumn("_key", document_key(seed, 0, F.col("doc_id")))
+    schema = f"bucket BIGINT, doc_id BIGINT, chunk INT, term_id {term}, cnt BIGINT, n ARRAY<BIGINT>"
+    return keyed.groupBy("bucket").applyInArrow(work, schema)
+
+
 def init_assignments(tokens: DataFrame, k: int, seed: int) -> DataFrame:
     """Uniform random topic for each token: (doc_id, pos, term_id, topic)."""
     u = uniform(document_key(seed, 0, F.col("doc_id")), F.col("term_id"), F.col("pos"))

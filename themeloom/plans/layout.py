@@ -91,8 +91,8 @@ def place(tokens: DataFrame, lengths: DataFrame, layout: Layout, by: list[str])
     return in_buckets(chunked, layout)
 
 
-def place_packed(packed: DataFrame, lengths: DataFrame, layout: Layout) -> DataFrame:
-    """``place`` for rows that hold arrays of tokens; those of documents that are cut are
+def place_packed(packed: DataFrame, lengths: DataFrame, layout: Layout, by: list[str]) -> DataFrame:
+    """``place`` for rows that hold arrays of tokens or cells; those of documents that are cut are
     taken apart first."""
     if not layout.split:
         return in_buckets(packed.withColumn("chunk", F.lit(0)), layout)
@@ -102,7 +102,7 @@ def place_packed(packed: DataFrame, lengths: DataFrame, layout: Layout) -> DataF
     told = packed.join(F.broadcast(long_docs), "doc_id", "left")
     short = told.filter(F.col("_chunks").isNull()).drop("_chunks").withColumn("chunk", F.lit(0))
     cut = token_rows(told.filter(F.col("_chunks").isNotNull()))
-    chunk = F.pmod(F.xxhash64("pos", "term_id"), F.col("_chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64(*by), F.col("_chunks")).cast("int")
     return in_buckets(short.unionByName(one_by_one(cut.withColumn("chunk", chunk).drop("_chunks"))), layout)
 
 

@@ -15,13 +15,12 @@ from themeloom.operators.packed import (
     document_topics,
     held_terms,
     one_by_one,
+    packed_cells,
     packed_lengths,
     term_topics,
-    token_rows,
 )
 from themeloom.operators.sampling import edge_sweep, gibbs_sweep
-from themeloom.operators.state import BLOCK, expand_bag, init_cells, init_packed
-from themeloom.operators.vocabulary import count_vectorize
+from themeloom.operators.state import BLOCK, expand_bag, init_cells, init_packed, init_packed_cells
 from themeloom.plans.layout import SPLIT_TOKENS, TOKEN_BYTES, Layout, place, place_packed, plan_layout
 from themeloom.plans.model import LdaModel
 from themeloom.plans.scratch import Scratch
@@ -107,12 +106,13 @@ class LDA:
 
     def fit_packed(self, packed: DataFrame, vocab: DataFrame, vocab_size: int | None = None) -> LdaModel:
         """Train on tokens in arrays, (doc_id, pos, term_id), as a corpus holds them."""
-        if self.mode == "edge":
-            return self.fit_bag(count_vectorize(token_rows(packed)), vocab, vocab_size)
         run = _Run(self, packed.sparkSession, vocab, vocab_size)
         lengths = packed_lengths(packed)
         layout = self._layout(run, lengths)
-        return self._collapsed(run, layout, place_packed(packed, lengths, layout))
+        if self.mode == "edge":
+            placed = place_packed(packed_cells(packed), lengths, layout, ["term_id"])
+            return self._edge(run, layout, init_packed_cells(placed, self.k, self.seed))
+        return self._collapsed(run, layout, place_packed(packed, lengths, layout, ["pos", "term_id"]))
 
     def fit_bag(self, bag: DataFrame, vocab: DataFrame, vocab_size: int | None = None) -> LdaModel:
         """Train on term counts (doc_id, term_id, cnt)."""
@@ -122,10 +122,14 @@ class LDA:
         layout = self._layout(run, lengths)
         largest = int(bag.agg(F.coalesce(F.max("cnt"), F.lit(0))).first()[0])
         if self.mode == "edge":
-            return self._edge(run, layout, place(bag, lengths, layout, ["term_id"]), largest)
+            first = init_cells(place(bag, lengths, layout, ["term_id"]), self.k, self.seed, largest)
+            if largest > BLOCK:
+                # Counts of huge cells come from all over.
+                first = first.repartition(layout.buckets, "bucket")
+            return self._edge(run, layout, first)
         # A cell of a long document may itself be long: cut first, then place.
         tokens = one_by_one(expand_bag(bag, largest))
-        return self._collapsed(run, layout, place_packed(tokens, lengths, layout))
+        return self._collapsed(run, layout, place_packed(tokens, lengths, layout, ["pos", "term_id"]))
 
     def _layout(self, run: _Run, lengths: DataFrame) -> Layout:
         row_bytes = TOKEN_BYTES + (16 * self.k if self.mode == "edge" else 0)
@@ -143,13 +147,9 @@ class LDA:
         first = init_packed(placed, k, self.seed)
         return run.train(first, layout, by_term, by_document, gibbs_sweep)
 
-    def _edge(self, run: _Run, layout: Layout, placed: DataFrame, largest: int) -> LdaModel:
+    def _edge(self, run: _Run, layout: Layout, cells: DataFrame) -> LdaModel:
         k = self.k
-        columns = ["bucket", "doc_id", "chunk", "term_id", "cnt", "n"]
-        first = init_cells(placed, k, self.seed, largest).select(*columns)
-        if largest > BLOCK:
-            # Counts of huge cells come from all over.
-            first = first.repartition(layout.buckets, "bucket")
+        first = cells.select("bucket", "doc_id", "chunk", "term_id", "cnt", "n")
 
         def by_term(cells: DataFrame) -> DataFrame:
             return add_vectors(cells, ["term_id"], k)
