@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.operators.buckets import Bucket, blocks_of, by_bucket, column, matrix
+from themeloom.operators.buckets import Bucket, blocks_of, by_bucket, matrix
 from themeloom.operators.counts import spread, vector_sum
 from themeloom.operators.estimates import dense_words
 from themeloom.plans.joins import lookup
