@@ -109,3 +109,35 @@ def test_cells_of_documents_in_several_rows(spark, odd):
     lda = LDA(k=3, iterations=1, alpha=1.3, beta=1.5, seed=1, mode="edge")
     model = lda.fit_packed(corpus.packed, corpus.vocab)
     assert rows_of(model.state.select("doc_id", "term_id", "cnt")) == rows_of(corpus.bag)
+
+
+@pytest.mark.parametrize("split", [10, 1 << 16])
+def test_edge_state_is_a_row_for_each_document_and_holds_no_zeros(spark, words_corpus, split):
+    corpus = prepare_corpus(words_corpus, Scratch(spark))
+    lda = LDA(k=64, iterations=1, alpha=1.3, beta=1.5, seed=1, mode="edge", split_tokens=split)
+    model = lda.fit_packed(corpus.packed, corpus.vocab)
+    rows = model.stored.collect()
+    if split > 10:
+        assert len(rows) == words_corpus.count()
+    entries = [(r.doc_id, *e) for r in rows for e in zip(r.term_id, r.topic, r.cnt, strict=True)]
+    assert all(e[3] > 0 for e in entries) and len(entries) <= corpus.tokens.count()
+    told = [(r.doc_id, r.term_id, k, n) for r in model.cells.collect() for k, n in enumerate(r.n) if n]
+    assert sorted(entries) == sorted(told)
+    assert sorted(told, key=str) == rows_of(model.word_topic_counts("doc_term"))
+    # A bucket holds as many tokens as in the other mode, however many topics there are.
+    few = LDA(k=2, iterations=0, seed=1, split_tokens=split).fit_packed(corpus.packed, corpus.vocab)
+    assert model.layout == few.layout
+
+
+def test_rows_are_packed_again(spark):
+    rows = [(7, 1, 0, 5, 1, 2), (7, 1, 0, 3, 1, 4), (7, 1, 0, 3, 0, 1), (7, 1, 1, 9, 0, 1), (7, None, 0, 2, 1, 1)]
+    names = "bucket BIGINT, doc_id BIGINT, chunk INT, term_id BIGINT, topic INT, cnt BIGINT"
+    frame = spark.createDataFrame(rows, names)
+    found = packed.pack(frame)
+    assert rows_of(found) == [
+        (7, 1, 0, [3, 3, 5], [0, 1, 1], [1, 4, 2]), (7, 1, 1, [9], [0], [1]), (7, None, 0, [2], [1], [1])
+    ]
+    assert rows_of(packed.token_rows(found)) == rows_of(frame)
+    assert rows_of(packed.cell_rows(found, 2)) == [
+        (7, 1, 0, 3, 5, [1, 4]), (7, 1, 0, 5, 2, [0, 2]), (7, 1, 1, 9, 1, [1, 0]), (7, None, 0, 2, 1, [0, 1])
+    ]
