@@ -427,3 +427,13 @@ def test_counts_of_documents_are_made_where_rows_lie(corpus):
             assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
         lengths = {r.doc_id: r.n for r in corpus.tokens.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
         assert {r.doc_id: sum(r.nd) for r in asked[0].collect()} == lengths
+
+
+def test_weights_of_cells_need_no_window_and_are_compiled(spark, two_edge_sweeps):
+    rows = two_edge_sweeps.edge_rows()
+    assert "Window" not in plan_of(rows) and "Exchange" not in plan_of(rows)
+    stored = spark.createDataFrame([(1, [3, 0], [0.5, 0.25])], "doc_id BIGINT, n ARRAY<BIGINT>, factor ARRAY<DOUBLE>")
+    for normalize, expected in ((False, [1.75, 0.125]), (True, [1.75 / 1.875, 0.125 / 1.875])):
+        found = sampling.topic_weights(stored, sampling.edge_weight(1.5), 2, ["doc_id"], normalize)
+        assert "lambdafunction" not in plan_of(found)
+        assert [tuple(r) for r in found.collect()] == [(1, 0, expected[0]), (1, 1, expected[1])]
