@@ -149,3 +149,43 @@ def test_large_groups_are_parted(monkeypatch):
     for s, i in zip(strings, ids):
         least[s] = min(least.get(s, i), i)
     assert got.tolist() == [least[s] for s in strings]
+
+
+@pytest.mark.parametrize("hashed", [1, 7, 64, 1 << 14])
+def test_windows_are_hashed_in_blocks_of_any_size(monkeypatch, hashed):
+    monkeypatch.setattr(suffixes, "HASHED", hashed)
+    rng = np.random.default_rng(5)
+    for size in (0, 19, 20, 49, 50, 51, 64, 300):
+        raw = rng.integers(0, 3, size).astype(np.uint8)
+        for gram in (suffixes.GRAM, suffixes.LONG_GRAM, suffixes.WINDOW):
+            keys, grams = suffixes.window_keys(raw, gram)
+            assert grams.tolist() == suffixes.gram_hashes(raw, gram).tolist()
+            near = suffixes.WINDOW - gram + 1
+            told = [int(grams[i : i + near].min()) >> 16 for i in range(size - suffixes.WINDOW + 1)]
+            assert keys.tolist() == told
+
+
+@pytest.mark.parametrize("equal_hashes", [False, True])
+def test_contents_of_stretches_are_told_apart_by_their_bytes(monkeypatch, equal_hashes):
+    if equal_hashes:
+        monkeypatch.setattr(suffixes, "BYTES", np.zeros(256, np.uint64))
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (50, 50, 61, 90)]
+    chosen = rng.integers(0, 4, 40)
+    keys = rng.integers(0, 3, 40)
+    data = np.concatenate([texts[i] for i in chosen])
+    lengths = np.array([len(texts[i]) for i in chosen])
+    found = suffixes.different(data, keys, np.cumsum(lengths) - lengths, lengths - suffixes.WINDOW + 1)
+    content, stretch = (x.tolist() for x in found)
+    pairs = list(zip(keys.tolist(), chosen.tolist()))
+    assert len(stretch) == len(set(pairs)) and [content[i] for i in stretch] == list(range(len(stretch)))
+    assert all((content[i] == content[j]) == (pairs[i] == pairs[j]) for i in range(40) for j in range(40))
+    assert [keys[i] for i in stretch] == sorted(keys[i] for i in stretch)
+
+
+def test_keys_of_neighbours_are_looked_up_once():
+    table = np.zeros(4, np.int64)
+    table[1] = 1 << 3
+    keys = np.array([67, 67, 5, 67, 5, 5])
+    assert suffixes.held_windows(table, keys).tolist() == [True, True, False, True, False, False]
+    assert suffixes.held_windows(table, keys[:0]).tolist() == []

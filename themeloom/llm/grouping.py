@@ -45,11 +45,12 @@ class Groups:
         self.place = np.empty(n, np.int64)
         self.place[self.order] = np.arange(n)
         told = value[self.order]
-        heads = np.flatnonzero(np.append(True, told[1:] != told[:-1])[:n])
+        new = np.append(True, told[1:] != told[:-1])[:n]
+        heads = np.flatnonzero(new)
         # A text may come to twice as many groups as it has suffixes.
         self.first = np.zeros(2 * n, np.int64)
         self.size = np.zeros(2 * n, np.int64)
-        rank = np.cumsum(np.isin(np.arange(n), heads)) - 1
+        rank = np.cumsum(new) - 1
         name = rank - rank[texts.starts][text] + 2 * texts.starts[text] if n else rank
         self.group = np.empty(n, np.int64)
         self.group[self.order] = name
@@ -127,7 +128,8 @@ class Groups:
             places = start[several][owner] + inside
             found = self.order[places]
             # Texts lie apart, but not in the order of lanes.
-            found = found[np.lexsort((found, owner))]
+            lane = owner * len(self.order)
+            found = np.sort(lane + found) - lane
             self.order[places], self.place[found] = found, places
         return name, start
 

@@ -38,8 +38,9 @@ GRAM, LONG_GRAM = 20, 48
 LONGEST = 128
 # Places from which on a key is cut again.
 MANY = 4096
-# Windows of text handled at a time; longer texts go in several pieces.
-PIECE = 1 << 20
+# Windows of text handled at a time; longer texts go in several pieces. Of these, what is
+# hashed at once, so that all its numbers stay near the core.
+PIECE, HASHED = 1 << 20, 1 << 14
 # A part ends where a hash has so many zero bits at its end, or after so many windows,
 # or before so many windows that are in no other document.
 PART_BITS, LONGEST_PART, GAP = 10, 4096, 64
@@ -93,17 +94,27 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 def window_keys(raw: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """48-bit key of every window, and the hashes of all grams."""
-    grams = gram_hashes(raw, gram)
-    keys = smallest(grams, WINDOW - gram + 1) >> np.uint64(16)
-    return keys.astype(np.int64), grams
+    grams = np.empty(max(len(raw) - gram + 1, 0), np.uint64)
+    keys = np.empty(max(len(raw) - WINDOW + 1, 0), np.int64)
+    width, done = WINDOW - gram + 1, 0
+    for at in range(0, len(grams), HASHED):
+        end = min(at + HASHED, len(grams))
+        grams[at:end] = gram_hashes(raw[at : end + gram - 1], gram)
+        # The windows that end in what is hashed by now.
+        ready = max(end - width + 1, 0)
+        keys[done:ready] = smallest(grams[done:end], width) >> np.uint64(16)
+        done = ready
+    return keys, grams
 
 
 def runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the longest stretches of equal values within ranges
     (start, count) that lie one behind the other."""
-    edges = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values))
     ranges = counts > 0
-    head = np.unique(np.concatenate([edges[:-1], starts[ranges]]))
+    new = np.zeros(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[starts[ranges]] = True
+    head = np.flatnonzero(new)
     owner = np.searchsorted(starts[ranges], head, side="right") - 1
     inside = owner >= 0
     inside[inside] = head[inside] < (starts[ranges] + counts[ranges])[owner[inside]]
@@ -112,6 +123,13 @@ def runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np
     return head, ends - head
 
 
+def held_windows(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``may_hold`` of the keys of windows, which is asked once for neighbours with one key."""
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    heads = np.flatnonzero(new)
+    return np.repeat(may_hold(table, keys[heads]), np.diff(np.append(heads, len(keys))))
+
+
 class Pieces:
     """Texts next to each other in one buffer, in pieces of at most PIECE windows."""
 
@@ -189,7 +207,9 @@ def key_places(docs: DataFrame, shards: int) -> DataFrame:
                 two = low != high
                 keys, owner = np.concatenate([keys[first], keys[first][two]]), np.concatenate([low, high[two]])
                 shard = ((keys & (SIEVE_BITS - 1)) >> 6) % shards
-                order = np.lexsort((keys, shard))
+                # The largest documents follow the smallest, both in the order of keys.
+                order = np.argsort(keys, kind="stable")
+                order = order[np.argsort(shard[order], kind="stable")]
                 keys, owner, shard = keys[order], owner[order], shard[order]
                 rows = [
                     (number, packed(np.diff(keys[part], prepend=0)), packed(owner[part]))
@@ -262,7 +282,7 @@ def shared_parts(docs: DataFrame, table) -> DataFrame:
             for some in pieces(utf8(batch.column(2))):
                 keys, grams = window_keys(some.raw)
                 out: list[tuple] = []
-                wanted = may_hold(several, keys) & some.inside()[: len(keys)]
+                wanted = held_windows(several, keys) & some.inside()[: len(keys)]
                 heads, counts = cut_parts(some, grams, wanted)
                 owners = some.owners(heads).tolist()
                 for piece, head, count in zip(owners, heads.tolist(), counts.tolist(), strict=True):
@@ -311,8 +331,8 @@ def stretches(parts: DataFrame, table, shards: int) -> DataFrame:
             names, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for some in pieces(x.as_py() for x in batch.column(2)):
                 keys, _ = window_keys(some.raw)
-                shared = may_hold(table.value["several"], keys)
-                many = shared & may_hold(table.value["many"], keys)
+                shared = held_windows(table.value["several"], keys)
+                many = shared & held_windows(table.value["many"], keys)
                 cut = [found(some, keys, shared & ~many)]
                 if many.any():
                     # Windows of other keys part the stretches.
@@ -431,6 +451,27 @@ def different(
 ) -> tuple[np.ndarray, np.ndarray]:
     """The number of each stretch's content, and one stretch of every content, in the
     order of keys."""
+    lengths = counts + WINDOW - 1
+    raw, step = data[ramps(at, lengths)], ramps(np.zeros(len(at), np.int64), lengths)
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), FACTOR))
+    hashes = np.add.reduceat(BYTES[raw] * powers[step], np.cumsum(lengths) - lengths) if len(at) else keys
+    order = np.lexsort((hashes, lengths, keys))
+    new = np.ones(len(keys), bool)
+    new[1:] = False
+    for values in (keys, lengths, hashes):
+        new[1:] |= values[order][1:] != values[order][:-1]
+    content, stretch = np.empty(len(keys), np.int64), np.empty(int(new.sum()), np.int64)
+    content[order] = np.cumsum(new) - 1
+    stretch[content] = np.arange(len(keys))
+    # Equal hashes are not yet equal bytes.
+    others = data[np.repeat(at[stretch[content]], lengths) + step]
+    return (content, stretch) if np.array_equal(raw, others) else exactly_different(data, keys, at, counts)
+
+
+def exactly_different(
+    data: np.ndarray, keys: np.ndarray, at: np.ndarray, counts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``different`` without hashes of our own."""
     raw = data.tobytes()
     numbers: dict[tuple[int, bytes], int] = {}
     order = np.argsort(keys, kind="stable")
